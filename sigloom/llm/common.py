@@ -70,6 +70,17 @@ def append_columns(df: DataFrame, inputs: list[str], fields: str, fn: Callable[.
     return work.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, column: str, fn: Callable[[list], list]) -> DataFrame:
+    """The rows for which ``fn`` of the column's values (a list per Arrow batch) gives true; all columns stay as they are."""
+    at = [c.lower() for c in df.columns].index(column.lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(fn(b.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def join_unique(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, total: int) -> DataFrame:
     """Left-join ``right`` (one row per key, no null key) to ``left`` without piling a hot key onto one task.
 

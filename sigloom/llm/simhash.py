@@ -66,7 +66,7 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable over ``edges`` (a, b), for nodes with an edge.
+    """(node, root): the smallest node reachable over ``edges`` (a, b), for every node that has an edge and isn't itself the smallest.
 
     Each round does a large-star and a small-star step and writes the new edges; the rounds needed
     grow with the logarithm of the longest chain. Nothing but counts and checksums reaches the driver.

@@ -1,7 +1,8 @@
 """Toxicity by a chain of linear classifiers.
 
-The categories are predicted in turn; each model sees which of the training vocabulary's words a
-text has and the probabilities of all earlier categories. In training those probabilities are
+The categories are predicted in turn; each model sees which of the training vocabulary's features a
+text has (its words, and the first ``STEM`` letters of longer ones, so that endings it has not met
+don't hide a word) and the probabilities of all earlier categories. In training those probabilities are
 out-of-fold predictions, so a later model learns from what an earlier one says of texts it has not
 seen. The models are fitted on a bounded sample of labelled rows (``SAMPLE``), chosen by a hash of
 the id; scoring reads every text whole, in Arrow batches, and shuffles nothing.
@@ -26,13 +27,20 @@ SAMPLE = 8_000
 VOCABULARY = 192
 LEAST_TEXTS = 6
 FOLDS = 3
-RIDGE = 4.0
+RIDGE = 1.0
+STEM = 4
 TOXIC_AT = 0.5
 #: The words by which a toxic text counts as an example of a category.
 INSULT = ["idiot", "moron", "fool", "imbecile", "loser", "clown", "scum", "jerk", "pig", "rat", "coward", "liar", "creep", "freak", "bastard"]
 CONTEMPT = ["stupid", "dumb", "pathetic", "worthless", "disgusting", "trash", "garbage", "useless", "ugly", "vile", "filthy", "disgrace", "hate", "shut", "despise"]
 
 
+def features(text: str | None) -> set[str]:
+    """The distinct words of a text (of fewer than 40 letters) and the stems of the longer ones."""
+    found = {w for w in set(common.PLAIN_WORD.findall(text.lower())) if len(w) < 40} if text else set()
+    return found | {w[:STEM] + "*" for w in found if len(w) > STEM}
+
+
 @dataclass
 class Chain:
     """categories in order; words; weights [category, word], intercepts, and links [category, earlier category]."""
@@ -59,7 +67,7 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray
     """Logistic regression by Newton steps; the last weight is the unpenalised intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, penalty = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, ridge), 1e-3]
-    share = (y.sum() + 1) / (len(y) + 2)
+    share = (y.sum() + 1) / (len(y) + 10)  # of no labels: seldom
     w[-1] = np.log(share / (1 - share))
     if len(np.unique(y)) < 2:
         return w
@@ -73,13 +81,13 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, limit: int) -> list[tuple[list[str], int]]:
-    """Distinct words and label of at most ``limit`` labelled texts; texts with the same words count once."""
+    """Features and label of at most ``limit`` labelled texts; texts with the same words count once."""
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__label"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(limit)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "__id").select("text", "__label")
 
     def words(texts: list) -> list:
-        return [[sorted({w for w in common.PLAIN_WORD.findall((t or "").lower()) if len(w) < 40}) for t in texts]]
+        return [[sorted(features(t)) for t in texts]]
 
     found = common.append_columns(rows, ["text"], "words array<string>", words).drop("text").collect()
     once = {(tuple(r["words"]), r["__label"]) for r in found}
@@ -137,7 +145,7 @@ def classify(df: DataFrame, chain: Chain, text: str = "text", threshold: float =
         chain, table = model.value
         sums, known = np.zeros((len(texts), len(chain.categories))), table.keys()
         for i, t in enumerate(texts):
-            for w in known & set(common.PLAIN_WORD.findall(t.lower())) if t else ():
+            for w in known & features(t):
                 sums[i] += table[w]
         p = chain.probabilities(sums)
         return [*(p[:, c] for c in range(p.shape[1])), p[:, -1] >= threshold]
