@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import os
+from collections.abc import Callable
 
 import numpy as np
+import regex
 
 #: Entries a worker's cache may hold before it starts anew; bounds its memory, never the result.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
+#: Characters before this one have no combining forms and lower case alone, so a chunk of them may be split before it is normalised.
+_PLAIN = "\u0250"
+#: Byte-level alphabet: a printable byte stands for itself, the others are numbered from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _loaded: dict[str, object] = {}
 
 
@@ -21,30 +29,47 @@ def library(path: str):
     return _loaded[path]
 
 
-class _Chunks(dict):
-    """Chunk between spaces -> its ids as little-endian unsigned 32-bit bytes."""
+class _Bounded(dict):
+    """A dictionary that computes what it lacks and starts anew when full."""
 
-    def __init__(self, tokenizer, entries: int):
+    def __init__(self, compute: Callable[[str], bytes], entries: int):
         super().__init__()
-        self.tokenizer, self.entries = tokenizer, entries
+        self.compute, self.entries = compute, entries
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+    def __missing__(self, key: str) -> bytes:
+        value = self.compute(key)
         if len(self) >= self.entries:
             self.clear()
-        self[chunk] = ids
-        return ids
+        self[key] = value
+        return value
 
 
 class SpaceDroppingEncoder:
-    """Ids of texts under a tokenizer that drops white space and never joins across it.
+    """Ids, as little-endian unsigned 32-bit bytes, of texts under a tokenizer that drops white space and never joins across it.
 
-    Such a tokenizer's pre-tokens lie between spaces, tabs and line ends, so the text is split there
-    and each chunk goes through a bounded cache; a miss is encoded by the library itself.
+    Two tiers of bounded caches stand before the library: chunks between spaces and, for a chunk that misses, its
+    pre-tokens by the tokenizer's own pattern. A word that comes with many kinds of punctuation or case
+    is then encoded once. Chunks with special strings, or with letters whose normal form or lower case depends on
+    their neighbours, go to the library whole.
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
-        self.chunks = _Chunks(library(path), entries)
+        tokenizer = library(path)
+        kind = json.loads(tokenizer.pre_tokenizer.__getstate__())
+        pattern = next(p["pattern"]["Regex"] for p in kind["pretokenizers"] if p["type"] == "Split")
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        find = regex.compile(pattern).findall
+        merge = tokenizer.model.tokenize
+        pretokens = _Bounded(lambda t: np.array([x.id for x in merge(t.encode().decode("latin-1").translate(_BYTE_LETTERS))], "<u4").tobytes(), 2 * entries).__getitem__
+
+        def chunk_ids(chunk: str) -> bytes:
+            if not chunk:
+                return b""
+            if max(chunk) < _PLAIN and not any(s in chunk for s in special):
+                return b"".join(map(pretokens, find(chunk.lower())))
+            return np.asarray(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+        self.chunks = _Bounded(chunk_ids, entries)
 
     def id_bytes(self, text: str | None) -> bytes:
         if not text:
