@@ -1,3 +1,275 @@
-"""Registered queries of the signal operators and their SQL."""
-def queries(): return {}
-def oracle_sql(): return {}
+"""Registered queries of the signal operators over the test tables, and the same results as DuckDB SQL.
+
+``events`` is read as one series per user, ``embeddings`` as an 8x8 electrode grid over time, ``orders`` as a
+second modality. Values are rounded to six places on both sides, as sums may differ in their last bits.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..frame import Compose, Identity, Lambda, SignalFrame, signal
+from ..functions import elementwise as e
+from ..operators import augment as g, filters as fl, normalize as n, shape as s, spatial as sp, windows as w
+from ..sources import datasets as ds
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def events(spark: SparkSession, sf_dir: str, scale: float = 1.0) -> SignalFrame:
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "value")
+    t = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    return signal(df.select(F.col("user_id").alias("channel"), t.alias("t"), (F.col("value") * scale).alias("value")), ("channel", "t"), fs=2048.0)
+
+
+def grid_signal(spark: SparkSession, sf_dir: str, missing: list[tuple[int, int]] | None = None) -> SignalFrame:
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("t"), F.posexplode("embedding").alias("channel", "value"))
+    return signal(df, ("channel", "t"), grids=sp.create_grid_layout(spark, 8, 8, missing=missing))
+
+
+EV = "ev as (select user_id as channel, row_number() over (partition by user_id order by event_id) - 1 as t, value::double as value from events)"
+LEN = "len as (select channel, max(t) + 1 as n from ev group by channel)"
+EMB = "em as (select vec_id as t, unnest(range(0, 64)) as channel, unnest(embedding)::double as value from embeddings)"
+
+
+def _add(name: str, build: Callable[[SparkSession, str], SignalFrame | DataFrame], sql: str | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = build(spark, sf_dir)
+        return out.df.withColumn("value", F.round(F.col("value"), 6) + F.lit(0.0)) if isinstance(out, SignalFrame) else out
+
+    _QUERIES[name] = run
+    if sql:
+        _SQL[name] = sql
+
+
+def _ev(name: str, op: Callable[[SignalFrame], SignalFrame], select: str, rest: str = "from ev", axes: str = "channel, t", scale: float = 1.0, more: str = "") -> None:
+    """A query over ``events``: its operator, and SQL for its value and source."""
+    source = EV if scale == 1.0 else EV.replace("value::double", f"value::double * {scale!r}::double")
+    _add(name, lambda spark, d: op(events(spark, d, scale)), f"with recursive {source}, {LEN}{more and ', ' + more} select {axes}, round({select}, 6) + 0.0::double as value {rest}")
+
+
+# Windows. In SQL, each sample joins the windows that hold it.
+def _windowed(size: int, stride: int) -> str:
+    return f"""win as (select e.channel, k.k as win, e.t - k.k * {stride} as pos, e.value, lag(e.value) over o as p1, lag(e.value, 2) over o as p2
+        from len l, unnest(range(0, greatest(0, (l.n - {size}) // {stride} + 1))) k(k), ev e
+        where l.n >= {size} and e.channel = l.channel and e.t between k.k * {stride} and k.k * {stride} + {size - 1}
+        window o as (partition by e.channel, k.k order by e.t))"""
+
+
+for _name, _op, _value in [
+    ("rms", w.RMS, "sqrt(avg(value * value))"), ("mav", w.MAV, "avg(abs(value))"), ("var", w.VAR, "var_samp(value)"), ("iav", w.IAV, "sum(abs(value))"),
+    ("zero_crossings", w.ZeroCrossings, "coalesce(sum((sign(value) <> sign(p1))::int)::double, 0)"), ("waveform_length", w.WaveformLength, "coalesce(sum(abs(value - p1)), 0)"),
+    ("slope_sign_changes", w.SlopeSignChanges, "coalesce(sum((sign(value - p1) <> sign(p1 - p2))::int)::double, 0)"),
+]:
+    _centre = "zero" in _name
+    for _size, _stride, _suffix in ((16, 8, ""), (16, 16, "_nonoverlap"), (5, 7, "_gaps")):
+        if _suffix and _name not in ("rms", "slope_sign_changes"):
+            continue
+        _src = "value - 100" if _centre else "value"
+        _ev(f"win_{_name}{_suffix}", (lambda o, a, b, c: lambda x: o(a, b)(x.with_value(F.col("value") - 100) if c else x))(_op, _size, _stride, _centre), _value, "from win group by channel, win", "channel, win as t", more=("e2 as (select channel, t, value - 100 as value from ev), " if _centre else "") + (_windowed(_size, _stride).replace("ev e", "e2 e") if _centre else _windowed(_size, _stride)))
+_ev("win_var_biased", w.VAR(16, 8, ddof=0), "var_pop(value)", "from win group by channel, win", "channel, win as t", more=_windowed(16, 8))
+_ev("win_zero_crossings_halved", lambda x: w.ZeroCrossings(16, 8, halved=True)(x.with_value(F.col("value") - 100)), "coalesce(sum(floor(abs(sign(value - 100) - sign(p1 - 100)) / 2))::double, 0)", "from win group by channel, win", "channel, win as t", more=_windowed(16, 8))
+_ev("chunks", w.Chunk(20, 10), "value", "from win", "channel, win as chunk, pos as t", more=_windowed(20, 10))
+_ev("median_filter", w.Median(5), "m", "from (select e.channel, e.t, q.m from ev e join len using (channel) join (select channel, t, median(value) over (partition by channel order by t rows between 2 preceding and 2 following) as m from ev) q on q.channel = e.channel and q.t = least(greatest(e.t, 2), n - 3))")
+
+# Elementwise.
+_ev("rectify", lambda x: e.Rectify()(x.with_value(F.col("value") - 100)), "abs(value - 100)")
+_ev("clamp_range", e.ClampRange(20, 200), "least(greatest(value, 20), 200)")
+_ev("standardize", e.Standardize(50.0, 12.5), "(value - 50.0::double) / (12.5::double + 1e-8)")
+_ev("standardize_by_channel", lambda x: e.Standardize(n.Mean()(x), 2.0)(x), "(value - m) / (2.0::double + 1e-8)", "from ev join (select channel, avg(value) as m from ev group by channel) using (channel)")
+_ev("diff_1", s.Diff(1), "value - p", "from (select channel, t - 1 as t, value, lag(value) over (partition by channel order by t) as p from ev) where p is not null")
+_ev("diff_2", s.Diff(2), "value - 2 * p + q", "from (select channel, t - 2 as t, value, lag(value) over o as p, lag(value, 2) over o as q from ev window o as (partition by channel order by t)) where q is not null")
+_ev("weighted_sum", lambda x: e.weighted_sum(x, e.Rectify()(x), 0.25), "0.25::double * value + 0.75::double * abs(value)")
+_ev("lambda_sql", Lambda("value * 2 + 1"), "value * 2 + 1")
+_ev("identity", Identity(), "value")
+_add("pserf", lambda spark, d: Lambda(lambda v: e.pserf(v / 500))(events(spark, d)))
+_add("sau", lambda spark, d: Lambda(lambda v: e.sau(v / 500 - 0.2))(events(spark, d)))
+_add("smu", lambda spark, d: Lambda(lambda v: e.smu(v / 500 - 0.2))(events(spark, d)))
+
+# Normalisation and reductions.
+_over = "over (partition by {})".format
+_ev("zscore_time", n.ZScore("t"), f"(value - avg(value) {_over('channel')}) / (stddev_samp(value) {_over('channel')} + 1e-8)")
+_ev("zscore_channel", n.ZScore("channel"), f"(value - avg(value) {_over('t')}) / (coalesce(stddev_samp(value) {_over('t')}, 'nan'::double) + 1e-8)", "from ev where t < 45")
+_QUERIES["zscore_channel"] = (lambda run: lambda spark, d: run(spark, d).where("t < 45"))(_QUERIES["zscore_channel"])
+_mm = f"(value - min(value) {_over('channel')}) / (max(value) {_over('channel')} - min(value) {_over('channel')} + 1e-8)"
+_ev("minmax", n.MinMax(), _mm)
+_ev("minmax_range", n.MinMax(range=(-1.0, 1.0)), f"{_mm} * 2.0::double - 1.0::double")
+_ev("lp_norm_l1", n.Normalize(1, "t"), f"value / greatest(sum(abs(value)) {_over('channel')}, 1e-8)")
+_ev("lp_norm_l2", n.Normalize(2, "t"), f"value / greatest(sqrt(sum(value * value) {_over('channel')}), 1e-8)")
+_ev("lp_norm_inf", n.Normalize(float("inf"), "t"), f"value / greatest(max(abs(value)) {_over('channel')}, 1e-8)")
+for _name, _op, _by in (("instance_norm", n.InstanceNorm(), "channel"), ("layer_norm", n.LayerNorm(1), "channel"), ("batch_norm", n.BatchNorm(), "t")):
+    _ev(_name, _op, f"(value - avg(value) {_over(_by)}) / sqrt(var_pop(value) {_over(_by)} + 1e-5)")
+_add("grid_norm", lambda spark, d: n.GridNorm(16)(grid_signal(spark, d)), f"with {EMB} select channel, t, round((value - avg(value) over (partition by channel // 16)) / (stddev_samp(value) over (partition by channel // 16) + 1e-15), 6) + 0.0::double as value from em")
+_ev("mean_time", n.Mean(), "avg(value)", "from ev group by channel", "channel")
+_ev("mean_time_keepdim", n.Mean(keepdim=True), "avg(value)", "from ev group by channel", "channel, 0::bigint as t")
+_ev("sum_time", n.Sum(), "sum(value)", "from ev group by channel", "channel")
+_ev("mean_channel", n.Mean("channel"), "avg(value)", "from ev group by t", "t")
+
+
+def _joints(spark: SparkSession, sf_dir: str) -> SignalFrame:
+    x = grid_signal(spark, sf_dir)
+    return x.to(x.df.where("channel < 60").selectExpr("t as batch", "channel div 3 as joint", "channel % 3 as xyz", "value"), ("batch", "joint", "xyz"))
+
+
+_add("euclidean_distance", lambda spark, d: n.euclidean_distance(_joints(spark, d), g.Scale(0.5)(_joints(spark, d))).select(F.round("value", 6).alias("value")), f"with {EMB} select round(avg(d), 6) as value from (select sqrt(sum((value * 0.5::double) ** 2)) as d from em where channel < 60 group by t, channel // 3)")
+_add("mae", lambda spark, d: n.mean_absolute_error(events(spark, d), g.Scale(0.5)(events(spark, d))).select(F.round("value", 6).alias("value")), f"with {EV} select round(avg(abs(value - value * 0.5::double)), 6) as value from ev")
+_add("memory_usage", lambda spark, d: n.memory_usage(events(spark, d), "channel"), f"with {EV} select channel, count(*) * 8 as n_bytes from ev group by channel")
+
+# Shape.
+_ev("index_int", s.Index(3, "t"), "value", "from ev where t = 3", "channel")
+_ev("index_negative", lambda x: s.Index(-1, "channel")(x), "value", "from ev where channel = (select max(channel) from ev)", "t")
+_ev("index_slice", s.Index(slice(4, 40, 3), "t"), "value", "from ev where t >= 4 and t < 40 and (t - 4) % 3 = 0", "channel, (t - 4) // 3 as t")
+_ev("index_gather", s.Index([7, 2, 2, 0], "t"), "value", "from ev join (values (0, 7), (1, 2), (2, 2), (3, 0)) g(pos, src) on t = src", "channel, pos::bigint as t")
+_add("reshape", lambda spark, d: s.Reshape((-1, 4, 16), ("t", "row", "col"), (_n_vectors(spark, d), 64))(grid_signal(spark, d).to(grid_signal(spark, d).df, ("t", "channel"))), f"with {EMB} select t, channel // 16 as row, channel % 16 as col, round(value, 6) + 0.0::double as value from em")
+_add("flatten", lambda spark, d: s.Flatten(1, 2, [3])(_joints(spark, d)), f"with {EMB} select t as batch, channel as joint, round(value, 6) + 0.0::double as value from em where channel < 60")
+_ev("squeeze_unsqueeze", Compose([s.Unsqueeze(0, "batch"), s.Unsqueeze(-1, "extra"), s.Squeeze("extra")]), "value", axes="0::bigint as batch, channel, t")
+_ev("transpose", s.Transpose(["t", "channel"]), "value")
+_ev("repeat", s.Repeat(3), "value", "from ev, unnest(range(0, 3)) r(r)", "channel + r * (select max(channel) + 1 from ev) as channel, t")
+_PLACES = {"constant": "j", "reflect": "case when (j % (2 * (n - 1)) + 2 * (n - 1)) % (2 * (n - 1)) <= n - 1 then (j % (2 * (n - 1)) + 2 * (n - 1)) % (2 * (n - 1)) else 2 * (n - 1) - (j % (2 * (n - 1)) + 2 * (n - 1)) % (2 * (n - 1)) end", "replicate": "least(greatest(j, 0), n - 1)", "circular": "(j % n + n) % n"}
+for _mode, _src in _PLACES.items():
+    _ev(f"pad_{_mode}", s.Pad((70, 40), mode=_mode, fill=1.5), "coalesce(value, 1.5)", f"from (select channel, j, {_src} as src from len, unnest(range(-70, n + 40)) u(j)) p left join ev on ev.channel = p.channel and ev.t = p.src", "p.channel, p.j + 70 as t")
+_ev("stack_repr", s.Stack({"raw": Identity(), "abs": e.Rectify()}), "case r when 0 then value else abs(value) end", "from ev, (values (0), (1)) v(r)", "r::bigint as representation, channel, t")
+_ev("concat_channel", s.Concat({"raw": Identity(), "double": g.Scale(2.0)}), "value * (1 + r)", "from ev, (values (0), (1)) v(r)", "channel + r * (select max(channel) + 1 from ev) as channel, t")
+
+
+def _n_vectors(spark: SparkSession, sf_dir: str) -> int:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+
+
+# Grids and spatial filters.
+_GAPS = [(0, 0), (2, 3), (5, 5)]
+
+
+def _spatial_sql(kernel: list[list[float]], gaps: list[tuple[int, int]] | None = None) -> str:
+    hole = " or ".join(f"(r = {r} and c = {c})" for r, c in gaps or []) or "false"
+    weights = ", ".join(f"({i - 1}, {j - 1}, {float(v)!r}::double)" for i, row in enumerate(kernel) for j, v in enumerate(row) if v)
+    return f"""with {EMB}, cell as (select r, c, row_number() over (order by r, c) - 1 as channel from range(0, 8) a(r), range(0, 8) b(c) where not ({hole})),
+        k as (select * from (values {weights}) k(dr, dc, weight))
+        select o.channel, em.t, round(sum(em.value * weight), 6) + 0.0::double as value from cell o, k, cell i, em
+        where i.r = o.r + k.dr and i.c = o.c + k.dc and em.channel = i.channel group by o.channel, em.t"""
+
+
+_CUSTOM = [[0, 1, 0], [1, 2, 1], [0, 1, 0.5]]
+for _name, _kernel in {**sp.KERNELS, "custom": _CUSTOM}.items():
+    if _name != "identity":
+        _add(f"spatial_{_name.lower()}", (lambda k: lambda spark, d: sp.SpatialFilter(k)(grid_signal(spark, d)))(_kernel), _spatial_sql(_kernel))
+_add("spatial_with_gaps", lambda spark, d: sp.SpatialFilter("NDD")(grid_signal(spark, d, _GAPS)), _spatial_sql(sp.KERNELS["NDD"], _GAPS))
+_add("spatial_other_grid_passes", lambda spark, d: sp.SpatialFilter("NDD", grids=[1])(grid_signal(spark, d)), f"with {EMB} select channel, t, round(value, 6) + 0.0::double as value from em")
+_add("channels_to_grid", lambda spark, d: sp.channels_to_grid(grid_signal(spark, d)), f"with {EMB} select 0 as grid, channel // 8 as row, channel % 8 as col, t, round(value, 6) + 0.0::double as value from em")
+_add("grid_layout_row", lambda spark, d: sp.create_grid_layout(spark, 5, 5, 20, "row", [(0, 0), (2, 2)]), "select 0 as grid, r::int as row, c::int as col, case when gap or k >= 20 then -1 else k end::int as electrode from (select *, sum((not gap)::int) over (order by r, c) - 1 as k from (select r, c, (r = 0 and c = 0) or (r = 2 and c = 2) as gap from range(0, 5) a(r), range(0, 5) b(c)))")
+_add("grid_layout_column", lambda spark, d: sp.create_grid_layout(spark, 5, 5, 20, "column", [(0, 0), (2, 2)]), _SQL["grid_layout_row"].replace("order by r, c", "order by c, r"))
+_add("grid_dims", lambda spark, d: sp.grid_dimensions(sp.create_grid_layout(spark, 5, 4, missing=[(0, 0)])), "select 0 as grid, 5 as n_rows, 4 as n_cols, 19::bigint as n_electrodes")
+
+
+# Filters. In SQL, a pass is a recursion over t for all series at once.
+def _iir_sql(sections: list[fl.Section], clamp: bool, scale: float) -> str:
+    parts, src = [EV.replace("value::double", f"value::double * {scale!r}::double")], "ev"
+    for i, (b0, b1, b2, a1, a2) in enumerate(sections):
+        parts.append(f"""r{i} as (select channel, 0::bigint as t, {b0!r}::double * value as y, value as x1, 0.0::double as x2, 0.0::double as y1 from {src} where t = 0
+            union all select r.channel, s.t, {b0!r}::double * s.value + {b1!r}::double * r.x1 + {b2!r}::double * r.x2 - {a1!r}::double * r.y - {a2!r}::double * r.y1, s.value, r.x1, r.y
+            from r{i} r join {src} s on s.channel = r.channel and s.t = r.t + 1)""")
+        parts.append(f"f{i} as (select channel, t, {'least(greatest(y, -1.0::double), 1.0::double)' if clamp else 'y'} as value from r{i})")
+        src = f"f{i}"
+    return f"with recursive {', '.join(parts)} select channel, t, round(value, 6) + 0.0::double as value from {src}"
+
+
+for _name, _op, _scale in [
+    ("highpass", fl.highpass(20.0, 2048.0), 0.002), ("lowpass", fl.lowpass(20.0, 2048.0), 0.002), ("bandpass", fl.bandpass(20.0, 450.0, 2048.0), 0.002),
+    ("lowpass_clamped", fl.lowpass(400.0, 2048.0, 2), 1.0), ("lowpass_noclamp", fl.lowpass(20.0, 2048.0, clamp=False), 1.0),
+]:
+    _add(_name, (lambda o, c: lambda spark, d: o(events(spark, d, c)))(_op, _scale), _iir_sql(_op.sections, _op.clamp, _scale))
+_ev(
+    "notch", fl.Notch(300.0, 60.0, 2048.0), "value - coalesce(gone, 0)", "from ev left join back using (channel, t)",
+    more="""bin as (select channel, n, unnest(range(greatest(0, ceil(270.0::double * n / 2048.0::double))::bigint, least(floor(330.0::double * n / 2048.0::double), n // 2)::bigint + 1)) as k from len),
+        co as (select channel, n, k, sum(value * cos(2 * pi() * ((k * t) % n) / n)) as re, sum(value * sin(2 * pi() * ((k * t) % n) / n)) as im from bin join ev using (channel) group by channel, n, k),
+        back as (select channel, t, sum(case when k = 0 or 2 * k = n then 1.0::double else 2.0::double end / n * (re * cos(2 * pi() * ((k * t) % n) / n) + im * sin(2 * pi() * ((k * t) % n) / n))) as gone from co join ev using (channel) group by channel, t)""",
+)
+
+# Augmentation with given draws, then drawn ones (rows only).
+_lin = "from (select channel, t, value, n, t * 3.0::double / (n - 1) as ap from ev join len using (channel))"
+_ev("magnitude_warp_apply", g.MagnitudeWarp([1.0, 0.8, 1.3, 0.9]), "value * (lo + (hi - lo) * (ap - k))", "from (select *, ([1.0, 0.8, 1.3, 0.9]::double[])[k + 1] as lo, ([1.0, 0.8, 1.3, 0.9]::double[])[least(k + 2, 4)] as hi from (select *, least(floor(ap), 2)::int as k " + _lin + "))")
+_SHIFTS = [0.0, 0.1, -0.2, 0.15, 0.15]
+_ev(
+    "time_warp_apply", g.TimeWarp(_SHIFTS), "a.value * (1 - f) + b.value * f",
+    """from (select *, src - floor(src) as f from (select channel, t, n, k1 + (k2 - k1) * (ap - k) as src from (select *,
+        least(greatest(k * (n - 1) / 4.0::double + (s)[k + 1] * (n / 3.0::double), 0), n - 1) as k1, least(greatest((k + 1) * (n - 1) / 4.0::double + (s)[k + 2] * (n / 3.0::double), 0), n - 1) as k2
+        from (select channel, t, n, t * 4.0::double / (n - 1) as ap, least(floor(t * 4.0::double / (n - 1)), 3)::int as k, [0.0, 0.1, -0.2, 0.15, 0.15]::double[] as s from ev join len using (channel))))) w
+        join ev a on a.channel = w.channel and a.t = floor(src)::bigint join ev b on b.channel = w.channel and b.t = least(floor(src)::bigint + 1, n - 1)""", "w.channel, w.t",
+)
+for _s in (9, -9):
+    _tag = "" if _s > 0 else "_left"
+    _to = f"(t + {_s} + n) % n"
+    _freed = f"({_to}) < {_s}" if _s > 0 else f"({_to}) >= n + {_s}"
+    _ev(f"time_shift_zero{_tag}", g.TimeShift(_s, "zero"), f"case when {_freed} then 0.0::double else value end", "from ev join len using (channel)", f"channel, {_to} as t")
+    _ev(f"time_shift_wrap{_tag}", g.TimeShift(_s, "wrap"), "value", "from ev join len using (channel)", f"channel, {_to} as t")
+    for _fill, _at in (("edge", f"{_s}" if _s > 0 else f"n + {_s} - 1"), ("edge_true", "0" if _s > 0 else "n - 1")):
+        _ev(f"time_shift_{_fill}{_tag}", g.TimeShift(_s, _fill), "b.value", f"from (select channel, t, n, case when t - {_s} between 0 and n - 1 then t - {_s} else {_at} end as src from ev join len using (channel)) q join ev b on b.channel = q.channel and b.t = q.src", "q.channel, q.t")
+_ev("scale_apply", g.Scale(1.1), "value * 1.1::double")
+_ev("cutout_apply", g.Cutout([5, 12], 10), "case when t between 5 and 14 or t between 12 and 21 then 0.0::double else value end")
+_ev("drop_slices_apply", g.DropSlices([1, 7], "channel"), "case when channel in (1, 7) then 0.0::double else value end")
+_add("channel_permute_apply", lambda spark, d: g.ChannelPermute([(7 * i + 3) % 64 for i in range(64)])(grid_signal(spark, d)), f"with {EMB} select i as channel, t, round(value, 6) + 0.0::double as value from em join range(0, 64) p(i) on channel = (7 * i + 3) % 64")
+for _name, _op in {"noise_draw": g.GaussianNoise(0.1, 3), "noise_snr_draw": g.NoiseAtSNR(20.0, 3), "dropout_draw": g.Dropout(0.1, 3), "magnitude_warp_draw": g.Randomly(g.draw_magnitude_warp(), 1.0, 5), "time_warp_draw": g.Randomly(g.draw_time_warp(), 1.0, 5), "time_shift_draw": g.Randomly(g.draw_time_shift(20), 1.0, 5)}.items():
+    _add(_name, (lambda o: lambda spark, d: o(events(spark, d)))(_op))
+
+
+# Datasets: events by type as modalities are uneven, so each user is a task.
+def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).df.select(F.col("channel").alias("task"), "t", "value")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    t = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    return df.select(F.col("o_custkey").cast("long").alias("task"), t.cast("long").alias("t"), F.col("o_totalprice").cast("double").alias("value"))
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = ds.align_modalities({"emg": _recordings(spark, sf_dir), "kinematics": _orders(spark, sf_dir)})
+    return both["emg"].withColumn("modality", F.lit("emg")).unionByName(both["kinematics"].withColumn("modality", F.lit("kinematics"))).select("modality", "task", "t", F.round("value", 6).alias("value"))
+
+
+_REC = EV + ", rec as (select channel as task, t, value from ev)"
+_ORD = "ord as (select o_custkey as task, row_number() over (partition by o_custkey order by o_orderkey) - 1 as t, o_totalprice::double as value from orders)"
+_add("align_truncate", _aligned, f"with {_REC}, {_ORD}, al as (select 'emg' as modality, * from rec union all select 'kinematics', * from ord), sz as (select task, min(n) as n from (select modality, task, max(t) + 1 as n from al group by 1, 2) group by 1) select modality, task, t, round(value, 6) as value from al join sz using (task) where t < n")
+
+
+def _split_sql(test: float, val: float) -> str:
+    return f"""sp as (select *, n // 2 as mid, floor(n * {test}::double / 2)::bigint as h from rec join (select task, max(t) + 1 as n from rec group by task) using (task)),
+        sq as (select *, t >= mid - h and t < mid + h as te, t - (mid - h) as u, h as vm, floor(2 * h * {val}::double / 2)::bigint as vh from sp),
+        sr as (select *, te and u >= vm - vh and u < vm + vh as va from sq),
+        done as (select task, value, case when va then 'val' when te then 'test' else 'train' end as split,
+            case when va then false when te then vh > 0 and u = vm + vh else h > 0 and t = mid + h end as seam,
+            case when va then u - (vm - vh) when te and u < vm then u when te then u - 2 * vh when t < mid then t else t - 2 * h end as t from sr)"""
+
+
+for _name, _test, _val in (("split_center", 0.2, 0.0), ("split_center_val", 0.2, 0.2), ("split_train_only", 0.0, 0.2)):
+    _add(_name, (lambda a, b: lambda spark, d: ds.center_split(_recordings(spark, d), ["task"], a, b).withColumn("value", F.round("value", 6)))(_test, _val), f"with {_REC}, {_split_sql(_test, _val)} select task, split, seam, t, round(value, 6) as value from done")
+_add("split_sizes", lambda spark, d: ds.center_split(_recordings(spark, d), ["task"]).groupBy("split").agg(F.count("*").alias("n")), f"with {_REC}, {_split_sql(0.2, 0.2)} select split, count(*) as n from done group by split")
+_STARTS = "st as (select row_number() over (order by task, start) - 1 as window_id, task, start from (select task, unnest(range(0, n - 20 + 1, 10)) as start from (select task, max(t) + 1 as n from rec group by task) where n >= 20))"
+_add("windows_deterministic", lambda spark, d: ds.window_starts(_recordings(spark, d), 20, 10), f"with {_REC}, {_STARTS} select * from st")
+_add("windows_fetch", lambda spark, d: ds.fetch_windows(_recordings(spark, d), ds.window_starts(_recordings(spark, d), 20, 10), 20).select("window_id", "task", "start", "t", F.round("value", 6).alias("value")), f"with {_REC}, {_STARTS} select window_id, task, start, rec.t - start as t, round(value, 6) as value from st join rec using (task) where rec.t between start and start + 19")
+_add("batch_assign", lambda spark, d: ds.batches(ds.window_starts(_recordings(spark, d), 20, 10), 32), f"with {_REC}, {_STARTS} select *, window_id // 32 as batch, window_id % 32 as item from st")
+_add("windows_random", lambda spark, d: ds.random_starts(_recordings(spark, d), 20, 500, 7))
+_add("latest_order_run", lambda spark, d: ds.latest_run(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("run_id"), F.lit("FINISHED").alias("status"), F.col("o_orderdate").alias("start_time"))).select("run_id", "status"), "select o_orderkey as run_id, 'FINISHED' as status from orders order by o_orderdate desc, o_orderkey limit 1")
+
+# Pipelines.
+_FEATURES = Compose([e.Rectify(), s.Stack({"rms": w.RMS(16, 8), "mav": w.MAV(16, 8), "var": w.VAR(16, 8)}), n.ZScore("t")])
+_ev(
+    "emg_features", _FEATURES, "(value - avg(value) over p) / (stddev_samp(value) over p + 1e-8)", "from feat window p as (partition by representation, channel)", "representation, channel, t",
+    more=_windowed(16, 8) + """, agg as (select channel, win as t, sqrt(avg(value * value)) as f0, avg(abs(value)) as f1, var_samp(abs(value)) as f2 from win group by channel, win),
+        feat as (select r::bigint as representation, channel, t, case r when 0 then f0 when 1 then f1 else f2 end as value from agg, (values (0), (1), (2)) v(r))""",
+)
+_add("filtered_features", lambda spark, d: Compose([fl.bandpass(20.0, 450.0, 2048.0), _FEATURES])(events(spark, d, 0.002)))
+_add("raw_ndd_rms", lambda spark, d: Compose([sp.SpatialFilter("NDD"), w.RMS(50, 25)])(grid_signal(spark, d)), f"select channel, k.k as t, round(sqrt(avg(value * value)), 6) + 0.0::double as value from ({_spatial_sql(sp.KERNELS['NDD']).replace('round(sum(em.value * weight), 6) + 0.0::double', 'sum(em.value * weight)')}) x, range(0, (select (max(vec_id) + 1 - 50) // 25 + 1 from embeddings)) k(k) where x.t between k.k * 25 and k.k * 25 + 49 group by channel, k.k")
+_add("kinematics_flatten", lambda spark, d: Compose([s.Flatten(1, 2, [3], "channel"), s.Index(slice(3, None), "channel"), n.Mean("batch")])(_joints(spark, d)), f"with {EMB} select channel - 3 as channel, round(avg(value), 6) + 0.0::double as value from em where channel >= 3 and channel < 60 group by channel")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
