@@ -80,60 +80,66 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray
     return w
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, limit: int) -> list[tuple[list[str], int]]:
-    """Features and label of at most ``limit`` labelled texts; texts with the same words count once."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, seeds: dict[str, list[str]], limit: int) -> DataFrame:
+    """(key, words, y): features and category labels of at most ``limit`` labelled texts; texts with the same features count once.
+
+    The first labels say whether a labelled-toxic text has a seed word of the category, the last is the label itself.
+    """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__label"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(limit)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "__id").select("text", "__label")
+    wanted = [set(s) for s in seeds.values()]
+
+    def measure(texts: list, marks: list) -> list:
+        found = [features(t) for t in texts]
+        return [[sorted(f) for f in found], [[int(y and not s.isdisjoint(f)) for s in wanted] + [y] for f, y in zip(found, marks, strict=True)]]
+
+    made = common.append_columns(rows, ["text", "__label"], "words array<string>, y array<int>", measure).select(F.xxhash64("words", "y").alias("key"), "words", "y")
+    return common.materialise(made.dropDuplicates(["key"]), "labelled-texts")
 
-    def words(texts: list) -> list:
-        return [[sorted(features(t)) for t in texts]]
-
-    found = common.append_columns(rows, ["text"], "words array<string>", words).drop("text").collect()
-    once = {(tuple(r["words"]), r["__label"]) for r in found}
-    return [(list(w), y) for w, y in sorted(once)]
-
-
-def choose_words(texts: list[list[str]], targets: np.ndarray, limit: int) -> list[str]:
-    """The words whose share among a category's texts differs most from their share elsewhere, in standard errors."""
-    where: dict[str, list[int]] = {}
-    for i, words in enumerate(texts):
-        for w in words:
-            where.setdefault(w, []).append(i)
-    names = [w for w, at in where.items() if len(at) >= LEAST_TEXTS]
-    if not names:
-        return []
-    n, best = len(texts), np.zeros(len(names))
-    df = np.array([len(where[w]) for w in names], float)
-    for y in targets.T:
-        hits, m = np.array([y[where[w]].sum() for w in names], float), y.sum()
+
+def choose_words(rows: DataFrame, n: int, positives: list[int], limit: int) -> list[str]:
+    """The features whose share among a category's texts differs most from their share elsewhere, in standard errors."""
+    seen = rows.select(F.explode("words").alias("word"), "y").groupBy("word").agg(F.count("*").alias("df"), *[F.sum(F.col("y")[k]).alias(f"h{k}") for k in range(len(positives))])
+    p = (F.col("df") + 1) / F.lit(n + 2.0)
+    scores = [F.lit(0.0)]
+    for k, m in enumerate(positives):
         if 0 < m < n:
-            p = (df + 1) / (n + 2)
-            best = np.maximum(best, np.abs(hits / m - (df - hits) / (n - m)) / np.sqrt(p * (1 - p) * (1 / m + 1 / (n - m))))
-    order = sorted(range(len(names)), key=lambda i: (-best[i], names[i]))
-    return sorted(names[i] for i in order[:limit])
-
-
-def train(rows: list[tuple[list[str], int]], seeds: dict[str, list[str]], last: str = "toxic", vocabulary: int = VOCABULARY, folds: int = FOLDS) -> Chain:
-    """Fit the chain: one category per seed list (a labelled-toxic text with a seed word is its example), then ``last``, the label itself."""
-    categories = [*seeds, last]
-    texts, label = [w for w, _ in rows], np.array([y for _, y in rows], float)
-    y = np.stack([*[label * np.array([not set(s).isdisjoint(w) for w in texts], float) for s in seeds.values()], label], axis=1) if rows else np.zeros((0, len(categories)))
-    words = choose_words(texts, y, vocabulary)
+            hits = F.col(f"h{k}")
+            scores.append(F.abs(hits / m - (F.col("df") - hits) / (n - m)) / F.sqrt(p * (1 - p) * (1 / m + 1 / (n - m))))
+    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    top = seen.where(F.col("df") >= LEAST_TEXTS).select("word", best.alias("score")).orderBy(F.desc("score"), "word").limit(limit)
+    return sorted(r["word"] for r in top.collect())
+
+
+def presence(rows: DataFrame, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``words`` each text has, as a 0/1 matrix, and its labels; a few bytes a text reach the driver."""
     index = {w: i for i, w in enumerate(words)}
-    x = np.zeros((len(rows), len(words)))
-    for i, ws in enumerate(texts):
-        x[i, [index[w] for w in ws if w in index]] = 1
-    k = len(categories)
-    weights, intercepts, links, held_out = np.zeros((k, len(words))), np.zeros(k), np.zeros((k, k)), np.zeros((len(rows), k))
-    fold = np.arange(len(rows)) * 7919 % folds
+
+    def bits(texts: list) -> list:
+        out = np.zeros((len(texts), len(words)), bool)
+        for i, ws in enumerate(texts):
+            out[i, [index[w] for w in ws if w in index]] = True
+        return [[row.tobytes() for row in np.packbits(out, axis=1)]]
+
+    found = common.append_columns(rows, ["words"], "bits binary", bits).select("key", "bits", "y").orderBy("key").collect()
+    x = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(words)) for r in found], float).reshape(len(found), len(words))
+    return x, np.array([list(r["y"]) for r in found], float)
+
+
+def train(x: np.ndarray, y: np.ndarray, words: list[str], categories: list[str], folds: int = FOLDS) -> Chain:
+    """Fit the chain: a model per category, whose inputs are the features and the earlier models' out-of-fold probabilities."""
+    n, k = len(x), len(categories)
+    y = y.reshape(n, k)
+    weights, intercepts, links, held_out = np.zeros((k, len(words))), np.zeros(k), np.zeros((k, k)), np.zeros((n, k))
+    fold = np.arange(n) % folds
     for c in range(k):
         seen = np.hstack([x, held_out[:, :c]])
         w = fit_linear(seen, y[:, c])
         weights[c], links[c, :c], intercepts[c] = w[: len(words)], w[len(words) : -1], w[-1]
-        for f in range(folds if len(rows) else 0):
+        for f in range(folds if n else 0):
             part = fit_linear(seen[fold != f], y[fold != f, c])
-            held_out[fold == f, c] = sigmoid(np.hstack([seen, np.ones((len(rows), 1))])[fold == f] @ part)
+            held_out[fold == f, c] = sigmoid(np.hstack([seen, np.ones((n, 1))])[fold == f] @ part)
     return Chain(categories, words, weights, intercepts, links)
 
 
@@ -155,7 +161,12 @@ def classify(df: DataFrame, chain: Chain, text: str = "text", threshold: float =
 
 
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", limit: int = SAMPLE) -> Chain:
-    return train(sample(docs, labels, id_col, text, label, limit), {"insult": INSULT, "contempt": CONTEMPT})
+    seeds = {"insult": INSULT, "contempt": CONTEMPT}
+    categories = [*seeds, "toxic"]
+    rows = sample(docs, labels, id_col, text, label, seeds, limit)
+    total = rows.agg(F.count("*"), *[F.sum(F.col("y")[k]) for k in range(len(categories))]).first()
+    words = choose_words(rows, int(total[0]), [int(t or 0) for t in total[1:]], VOCABULARY)
+    return train(*presence(rows, words), words, categories)
 
 
 def drop_toxic(df: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
