@@ -23,6 +23,9 @@ PLAIN_WORD = re.compile(r"\w+")
 #: A key with at least this share of all rows is hot; so there are at most HOT_SHARE of them.
 HOT_SHARE = 256
 
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1_000
+
 _own_folder: str | None = None
 
 
@@ -49,6 +52,14 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same table; Arrow batches of the session hold BATCH_ROWS rows at most from here on, as texts are long and each is held by the JVM and by Python."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def append_columns(df: DataFrame, inputs: list[str], fields: str, fn: Callable[..., list]) -> DataFrame:
     """Add columns computed in Arrow batches: ``fn`` gets a Python list per input column and returns a list per field.
 
@@ -56,18 +67,24 @@ def append_columns(df: DataFrame, inputs: list[str], fields: str, fn: Callable[.
     """
     new = T._parse_datatype_string(fields)
     kept = without(df, new.names)
-    work = kept.select(*kept.columns, *[df[c].alias(f"__in_{i}") for i, c in enumerate(inputs)])
+    n, place, more = len(kept.columns), [], []
+    for c in inputs:  # a column that stays is read where it is
+        if c in kept.columns:
+            place.append(kept.columns.index(c))
+        else:
+            place.append(n + len(more))
+            more.append(df[c].alias(f"__in_{len(more)}"))
+    work = kept.select(*kept.columns, *more) if more else kept
     schema = T.StructType([*kept.schema.fields, *new.fields])
     types = [f.type for f in to_arrow_schema(new)]
-    n = len(kept.columns)
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = schema.names
         for b in batches:
-            made = fn(*[b.column(n + i).to_pylist() for i in range(len(inputs))])
+            made = fn(*[b.column(i).to_pylist() for i in place])
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *[pa.array(v, t) for v, t in zip(made, types, strict=True)]], names=names)
 
-    return work.mapInArrow(run, schema)
+    return in_small_batches(work).mapInArrow(run, schema)
 
 
 def keep_rows(df: DataFrame, column: str, fn: Callable[[list], list]) -> DataFrame:
@@ -78,7 +95,7 @@ def keep_rows(df: DataFrame, column: str, fn: Callable[[list], list]) -> DataFra
         for b in batches:
             yield b.filter(pa.array(fn(b.column(at).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return in_small_batches(df).mapInArrow(run, df.schema)
 
 
 def join_unique(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, total: int) -> DataFrame:

@@ -216,7 +216,7 @@ def _groups(table: DataFrame, lengths: list[int], total: int) -> Iterator[tuple[
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) per document and test item that it holds."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = common.in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     spark = docs.sparkSession
     found = []
     for index in shards(items, item_id, item_text, answer):

@@ -148,5 +148,5 @@ def scan(df: DataFrame, notices: dict[str, str] | None = None, id_col: str = "do
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "license", "coverage", "first_word", "n_words"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = common.in_small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, license string, coverage double, first_word long, n_words long")

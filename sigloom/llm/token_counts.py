@@ -58,7 +58,7 @@ def frequent_pretokens(df: DataFrame, text: str, pattern: str, keep: int = FREQU
         both.update(pickle.loads(b))
         return pickle.dumps(dict(prune(both, keep)))
 
-    rdd = df.select(F.col(text).cast("string")).mapInArrow(sketch, "sketch binary").rdd.map(lambda r: bytes(r[0]))
+    rdd = common.in_small_batches(df).select(F.col(text).cast("string")).mapInArrow(sketch, "sketch binary").rdd.map(lambda r: bytes(r[0]))
     parts = rdd.getNumPartitions()
     if not parts:
         return []

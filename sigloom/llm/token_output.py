@@ -32,7 +32,7 @@ def write_orc(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str
     """Encode ``text``, append ``end_id`` and write one sorted ORC shard per id range under ``path``."""
     spark = df.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first())
+    ranged = common.in_small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first())
     ranged = ranged.withColumn("shard", F.spark_partition_id())
     end = np.asarray([end_id], "<u4").tobytes()
 

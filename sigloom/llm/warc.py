@@ -119,7 +119,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str =
     """Write the archive under ``path`` (a URI that all executors reach) and return its manifest as a DataFrame."""
     spark = pages.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary").alias("payload"))
+    own = common.in_small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary").alias("payload"))
     roles = revisits(own).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to")
     rows = own.withColumns({"digest": F.sha1("payload"), "refers_to": F.lit(None).cast("long")}).unionByName(roles)
     # Of equal ids, the rows that say what is a revisit come first; then the pages by digest, so equal ones are neighbours.
