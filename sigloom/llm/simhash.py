@@ -45,13 +45,13 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    """(doc_id, same, fp): fp is the fingerprint's 64 bits as a signed long, same a hash of the text that tells rows with one id apart."""
 
     def made(texts: list) -> list:
         return [np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)]
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return common.append_columns(rows, ["text"], "fp long", made).drop("text")
+    return common.append_columns(rows.withColumn("same", F.xxhash64("text")), ["text"], "fp long", made).drop("text")
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -95,18 +95,26 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row; component_id is the smallest id that links reach."""
+def _labelled(df: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """(doc_id, same, fp, component_id) for each row."""
     prints = common.materialise(fingerprints(df, id_col, text, width), "fingerprints")
     nodes = common.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct-fingerprints")
     found = components(links(nodes.where("rep is not null").select("rep", "fp")))
     labels = common.materialise(nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "labels")
-    rows = common.join_unique(prints, labels, "fp", nodes.select("fp", "n"), prints.count())
-    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return common.join_unique(prints, labels, "fp", nodes.select("fp", "n"), prints.count())
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row; component_id is the smallest id that links reach."""
+    return _labelled(df, id_col, text, width).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """One row per component: that of the smallest id. Rows with a null id stay; all columns stay."""
-    ids = near_duplicates(df, id_col, text, width).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = df.join(ids, df[id_col] == ids["__keep"], "left_semi").dropDuplicates([id_col])
+    """One row per component: that of the smallest id. Rows with a null id stay; all columns stay.
+
+    Rows that share an id are told apart by their text; of a component's texts with its smallest id one stays.
+    """
+    first = _labelled(df, id_col, text, width).where("doc_id = component_id").groupBy(F.col("component_id").alias("__keep")).agg(F.min("same").alias("__same"))
+    here, same = df[id_col].cast("long"), F.xxhash64(df[text].cast("string"))
+    kept = df.join(first, (here == F.col("__keep")) & (same == F.col("__same")), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(df.where(F.col(id_col).isNull()))
