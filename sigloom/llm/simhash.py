@@ -115,6 +115,8 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "tex
     Rows that share an id are told apart by their text; of a component's texts with its smallest id one stays.
     """
     first = _labelled(df, id_col, text, width).where("doc_id = component_id").groupBy(F.col("component_id").alias("__keep")).agg(F.min("same").alias("__same"))
-    here, same = df[id_col].cast("long"), F.xxhash64(df[text].cast("string"))
-    kept = df.join(first, (here == F.col("__keep")) & (same == F.col("__same")), "left_semi").dropDuplicates([id_col])
+    # The join and the choice among repeated rows need the same partitioning, so texts are shuffled once.
+    rows = df.withColumn("__same", F.xxhash64(df[text].cast("string")))
+    kept = rows.join(first.withColumnRenamed("__same", "__first"), (F.col(id_col).cast("long") == F.col("__keep")) & (F.col("__same") == F.col("__first")), "left_semi")
+    kept = kept.dropDuplicates([id_col, "__same"]).drop("__same")
     return kept.unionByName(df.where(F.col(id_col).isNull()))
