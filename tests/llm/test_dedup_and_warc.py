@@ -68,6 +68,33 @@ def test_one_of_each_group_stays(spark):
     assert simhash.drop_near_duplicates(d.limit(0)).count() == 0 and simhash.near_duplicates(d.limit(0)).count() == 0
 
 
+def brute_sets(texts):
+    words = [(t or "").lower().split() for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def test_stage_drops_near_copies_of_five_word_shingles(spark):
+    rng = random.Random(13)
+    texts = []
+    for _ in range(40):  # an edited word per about 60, as in an edited copy: op4's radius sees few of these
+        t = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 120, 300, 1000]))]
+        for _ in range(rng.randrange(1, 4)):
+            u = list(t)
+            for i in rng.sample(range(len(u)), len(u) // rng.choice([20, 40, 60])):
+                u[i] = "edited"
+            texts.append(" ".join(u))
+        texts.append(" ".join(t))
+    sets, root = brute_sets(texts), list(range(len(texts)))
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(a & b) >= 0.8 * len(a | b)]
+    for _ in texts:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(d).collect()}
+    assert kept == set(root) and len(near) > 20
+    assert len(set(brute_components({i: brute_print(t) for i, t in enumerate(texts)}).values())) > len(kept)
+
+
 PAGES = [(1, "http://a/1", "same"), (5, "http://a/5", "same"), (3, None, "same"), (2, "u\r\nX: y", None), (4, "é", ""), (6, "z", "long " * 50_000), (7, "z", "WARC/1.1\r\n\r\nblock\r\n\r\n"), (8, "dup", "twice"), (8, "dup", "twice"), (None, "n", "same"), (None, "n2", "only")]
 
 
