@@ -7,7 +7,8 @@ the alignment matches.
 
 Candidate stretches are found without loss: a stretch that covers ``least`` of a notice holds that share of its
 words, so a text with too few of the notice's distinct words, and a window with too few of its words, can't
-match. Windows are twice the notice's length and start half a window apart, over the whole text.
+match. A stretch spans at most 1 / ``least`` of the notice's length, so windows of that size are taken at each of the notice's
+words in the text. Words that the alignment matches far from the rest, at a window's ends, are trimmed off.
 
 One row per document and notice found: its best window's coverage and place. A stretch that several notices
 cover is given to the one with the most words matched. Null and empty texts and texts
@@ -94,14 +95,32 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def windows(at: np.ndarray, size: int, least: int) -> Iterator[int]:
-    """Starts of the windows of ``size`` words, half a window apart, that hold at least ``least`` of the places ``at``."""
-    if len(at) < least:
-        return
-    # Only windows with a place in them are looked at.
-    starts = np.unique(np.concatenate([np.maximum(0, at // (size // 2) * (size // 2) - k * (size // 2)) for k in (0, 1)]))
-    inside = np.searchsorted(at, starts + size) - np.searchsorted(at, starts)
-    yield from starts[inside >= least].tolist()
+def windows(at: np.ndarray, size: int, least: int) -> list[int]:
+    """Of the places ``at``, the starts of windows of ``size`` words that hold at least ``least`` of them."""
+    return at[np.searchsorted(at, at + size) - np.arange(len(at)) >= least].tolist()
+
+
+def dense(matched: list[tuple[int, int]], need: int, least: float) -> list[tuple[int, int]]:
+    """The longest run of the matched places, of ``need`` at least, that makes up ``least`` of the words it spans."""
+    for n in range(len(matched), need - 1, -1):
+        for k in range(len(matched) - n + 1):
+            if n >= least * (matched[k + n - 1][0] - matched[k][0] + 1) - 1e-9:
+                return matched[k : k + n]
+    return []
+
+
+def stretch(ws: list[str], start: int, size: int, notice: list[str], need: int, least: float) -> tuple[int, int, int] | None:
+    """(words matched, first word, words) of the notice in the window, or none."""
+    if ws[start : start + len(notice)] == notice:
+        return len(notice), start, len(notice)
+    run = dense(align(ws[start : start + size], notice), need, least)
+    if not run:
+        return None
+    best = (len(run), start + run[0][0], run[-1][0] - run[0][0] + 1)
+    # What was trimmed off may stand beside the run: there it is aligned again.
+    low = max(0, best[1] - run[0][1])
+    again = dense(align(ws[low : best[1] + best[2] + len(notice) - 1 - run[-1][1]], notice), need, least)
+    return max(best, (len(again), low + again[0][0], again[-1][0] - again[0][0] + 1)) if len(again) > len(run) else best
 
 
 def find(text: str | None, notices: list[tuple[str, list[str]]], least: float = LEAST) -> list[tuple[str, float, int, int]]:
@@ -116,12 +135,11 @@ def find(text: str | None, notices: list[tuple[str, list[str]]], least: float =
             continue
         at = np.flatnonzero(np.fromiter((w in distinct for w in ws), bool, len(ws)))
         best = (0.0, 0, 0)
-        for start in windows(at, 2 * len(notice), need):
-            part = ws[start : start + 2 * len(notice)]
-            matched = align(part, notice)
-            first, last = (matched[0][0], matched[-1][0]) if matched else (0, 0)
-            if len(matched) >= need and len(matched) >= least * (last - first + 1):
-                best = max(best, (len(matched) / len(notice), -(start + first), last - first + 1))
+        size = int(len(notice) / least + 1e-9)
+        for start in windows(at, size, need):
+            got = stretch(ws, start, size, notice, need, least)
+            if got:
+                best = max(best, (got[0] / len(notice), -got[1], got[2]))
         if best[0]:
             found.append((name, best[0], -best[1], best[2], round(best[0] * len(notice))))
     # Of notices found in the same stretch, the one with the most words matched.

@@ -127,6 +127,17 @@ def test_license_scan(spark):
         assert r.coverage == pytest.approx(lcs(ws[r.first_word : r.first_word + r.n_words], notice) / len(notice))
 
 
+def test_notices_are_found_behind_strays_of_their_words():
+    table = [(n, licenses.words(t)) for n, t in licenses.NOTICES.items()]
+    for name, notice in table:
+        for stray in (notice[0], notice[-1]):
+            for d in range(0, 2 * len(notice) + 1, 3):
+                for pad in range(0, len(notice), 4):
+                    ws = [*["x"] * pad, stray, *["x"] * d, *notice, *["x"] * d, stray, *["x"] * 9]
+                    got = licenses.find(" ".join(ws), table)
+                    assert [(g[0], g[1]) for g in got] == [(name, 1.0)], (name, stray, d, pad)
+
+
 # --- decontamination
 
 
