@@ -10,8 +10,8 @@ words, so a text with too few of the notice's distinct words, and a window with
 match. A stretch spans at most 1 / ``least`` of the notice's length, so windows of that size are taken at each of the notice's
 words in the text. Words that the alignment matches far from the rest, at a window's ends, are trimmed off.
 
-One row per document and notice found: its best window's coverage and place. A stretch that several notices
-cover is given to the one with the most words matched. Null and empty texts and texts
+Of stretches that overlap, of one notice or several, the one with the most words matched stays. One row per document and notice
+found: the coverage and place of the best of its stretches that stay. Null and empty texts and texts
 without words give no row. Null ids are carried; repeated rows repeat in the result. Other columns
 are ignored; an empty table gives no rows.
 """
@@ -126,7 +126,7 @@ def stretch(ws: list[str], start: int, size: int, notice: list[str], need: int,
 def find(text: str | None, notices: list[tuple[str, list[str]]], least: float = LEAST) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first word, words) of the notices that the text holds."""
     ws = words(text)
-    have, found = set(ws), []
+    have, found = set(ws), set()
     for name, notice in notices:
         distinct = set(notice)
         need = int(np.ceil(least * len(notice) - 1e-9))
@@ -134,21 +134,21 @@ def find(text: str | None, notices: list[tuple[str, list[str]]], least: float =
         if len(distinct & have) < len(distinct) - (len(notice) - need):
             continue
         at = np.flatnonzero(np.fromiter((w in distinct for w in ws), bool, len(ws)))
-        best = (0.0, 0, 0)
         size = int(len(notice) / least + 1e-9)
         for start in windows(at, size, need):
             got = stretch(ws, start, size, notice, need, least)
             if got:
-                best = max(best, (got[0] / len(notice), -got[1], got[2]))
-        if best[0]:
-            found.append((name, best[0], -best[1], best[2], round(best[0] * len(notice))))
-    # Of notices found in the same stretch, the one with the most words matched.
-    found.sort(key=lambda f: (-f[4], -f[1], f[0]))
-    out: list[tuple] = []
-    for f in found:
-        if all(f[2] >= g[2] + g[3] or g[2] >= f[2] + f[3] for g in out):
-            out.append(f[:4])
-    return sorted(out)
+                found.add((-got[0], -got[0] / len(notice), got[2], name, got[1]))
+    # Stretches that stay, by place; no two of them overlap.
+    taken: list[tuple[int, int]] = []
+    best: dict[str, tuple] = {}
+    for _, coverage, n, name, first in sorted(found):
+        k = bisect_left(taken, (first, 0))
+        if (k and sum(taken[k - 1]) > first) or (k < len(taken) and taken[k][0] < first + n):
+            continue
+        taken.insert(k, (first, n))
+        best[name] = min(best.get(name, (0.0, 0, 0)), (coverage, first, n))
+    return sorted((name, -coverage, first, n) for name, (coverage, first, n) in best.items())
 
 
 def scan(df: DataFrame, notices: dict[str, str] | None = None, id_col: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:

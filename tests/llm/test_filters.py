@@ -138,6 +138,18 @@ def test_notices_are_found_behind_strays_of_their_words():
                     assert [(g[0], g[1]) for g in got] == [(name, 1.0)], (name, stray, d, pad)
 
 
+def test_a_notice_is_found_after_a_longer_one_that_holds_its_words():
+    table = [(n, licenses.words(t)) for n, t in licenses.NOTICES.items()]
+    by, nc, sa = (licenses.NOTICES[f"CC-BY-{x}4.0"] for x in ("", "NC-", "SA-"))
+    for longer, name in ((nc, "CC-BY-NC-4.0"), (sa, "CC-BY-SA-4.0")):
+        for gap in ("", "x " * 3, "x " * 40):
+            got = licenses.find(f"{longer} {gap}{by} {by}", table)
+            at = 7 + len(gap.split())
+            assert got == [("CC-BY-4.0", 1.0, at, 6), (name, 1.0, 0, 7)]
+            assert licenses.find(f"{by} {gap}{longer}", table) == [("CC-BY-4.0", 1.0, 0, 6), (name, 1.0, at - 1, 7)]
+    assert licenses.find(nc, table) == [("CC-BY-NC-4.0", 1.0, 0, 7)]
+
+
 # --- decontamination
 
 
