@@ -179,32 +179,36 @@ def places(patterns: list[Pattern]) -> dict[int, np.ndarray]:
     return {s: np.array(rows, np.int64) for s, rows in out.items()}
 
 
-def cut(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text: str) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 for each piece of each document."""
-    end = np.asarray([end_id], "<u4").tobytes()
+def cut(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text: str, buckets: int = 1) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 for each piece of each document, and a bucket: pieces are dealt to the buckets in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, step = tokens.encoder(tokenizer), 4 * capacity
-        for b in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = enc.id_bytes(t) + end
-                for i, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    for c, v in zip(rows, (d, i, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        from pyspark import TaskContext
 
-    return common.in_small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        enc, at = tokens.encoder(tokenizer), TaskContext.get().partitionId()
+        for b in batches:
+            ids, ends = enc.encode(b.column(1), end_id)
+            pieces = -(-np.diff(ends) // capacity)  # each text has an end id, so a piece at least
+            of = np.repeat(np.arange(len(pieces)), pieces)
+            piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(np.diff(ends)[of] - start, capacity)
+            first, flat = ends[of] + start, memoryview(ids).cast("B")
+            sums = [zlib.crc32(flat[4 * x : 4 * y]) for x, y in zip(first.tolist(), (first + length).tolist(), strict=True)]
+            bucket = (at + np.arange(len(of))) % buckets
+            at += len(of)
+            columns = [b.column(0).take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(bucket, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "bucket"])
+
+    return common.in_small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int")
 
 
 def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset."""
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = common.materialise(cut(df, tokenizer, capacity, end_id, id_col, text), "pieces")
+    pieces = common.materialise(cut(df, tokenizer, capacity, end_id, id_col, text, buckets), "pieces")
     # Ranks within a length: a length's pieces are spread over buckets, ranked there, and raised by the counts of the buckets before.
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     sizes = common.materialise(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {int(r[0]): int(r[1]) for r in sizes.groupBy("length").agg(F.sum("n")).collect()}
     plan = spark.sparkContext.broadcast(places(choose_patterns(histogram, capacity)))

@@ -25,6 +25,8 @@ from . import common, tokens
 
 #: Entries of the broadcast table, and of each partition's sketch.
 FREQUENT = 16_384
+#: Entries of a worker's table before it starts anew from the broadcast one.
+CACHED = 300_000
 #: A partition's counter is cut back to FREQUENT entries when it has grown to this many.
 TRACKED = 262_144
 
@@ -82,7 +84,7 @@ def count_tokens(df: DataFrame, path: str, pattern: str, limit: int, text: str =
     class Lengths(dict):
         def __missing__(self, pretoken: str) -> int:
             n = len(tokens.library(path).encode(pretoken, add_special_tokens=False).ids)
-            if len(self) >= tokens.CACHE_ENTRIES:
+            if len(self) >= CACHED:
                 self.clear()
                 self.update(table.value)
             self[pretoken] = n

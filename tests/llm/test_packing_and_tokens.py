@@ -1,7 +1,9 @@
+import os
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 from sigloom.llm import packing, token_counts, token_output, tokens  # noqa: E402
@@ -108,5 +110,46 @@ def test_orc_round_trip(spark, tmp_path):
     some = token_output.read_orc(spark, path, [7, 31])
     assert sorted(r.doc_id for r in some.collect()) == [7, 31]
     assert "In(doc_id" in some._jdf.queryExecution().toString()
+    assert token_output.read_orc(spark, path, [1_000]).count() == 0
     token_output.write_orc(table(spark, []), f"file://{tmp_path}/none", P.path("word_bpe_49k.json"), 2)
     assert token_output.digest(token_output.read_orc(spark, f"file://{tmp_path}/none")).count() == 0
+
+
+def test_orc_files_have_indexes_and_an_id_reads_one_shard(spark, tmp_path):
+    from pyarrow import orc
+
+    n, path = 6_000, f"{tmp_path}/ids"
+    docs = spark.range(n).select((F.col("id") * 2).alias("doc_id"), F.lit("some words").alias("text"))
+    token_output.write_orc(docs, f"file://{path}", P.path("word_bpe_49k.json"), 2, shards=4)
+    files = sorted(f for f in os.listdir(path) if f.endswith(".orc"))
+    shards = spark.read.parquet(f"file://{path}/_shards").orderBy("shard").collect()
+    assert [r.file for r in shards] == files and sum(r.n_rows for r in shards) == n
+    assert all(a.largest < b.least for a, b in zip(shards, shards[1:], strict=False))
+    assert all(orc.ORCFile(f"{path}/{f}").row_index_stride == token_output.ROW_INDEX for f in files)
+    one = token_output.read_orc(spark, f"file://{path}", [2_000])
+    assert len(one.inputFiles()) == 1 and one.count() == 1
+    assert 0 < rows_scanned(spark, one) <= token_output.ROW_INDEX < shards[0].n_rows  # the row index passes over the other row groups
+    assert rows_scanned(spark, token_output.read_orc(spark, f"file://{path}", [2_001])) == 0  # within a row group's range, so only the Bloom filter can tell
+
+
+def rows_scanned(spark, df):
+    """Rows that the file scan hands on."""
+    df = df.select("doc_id")
+    df.collect()
+    todo = [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+        if "Scan" in plan.nodeName():
+            return plan.metrics().apply("numOutputRows").value()
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+
+
+def test_rows_with_one_id_span_shards(spark, tmp_path):
+    docs = spark.range(4_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w "), F.col("id") % 50).alias("text"))
+    path = f"file://{tmp_path}/same"
+    token_output.write_orc(docs, path, P.path("word_bpe_49k.json"), 2, shards=4)
+    rows = token_output.digest(token_output.read_orc(spark, path)).orderBy("start").collect()
+    assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows]).tolist()[:-1]]
+    assert spark.read.parquet(f"{path}/_shards").agg(F.max("n_rows")).first()[0] < 2_000
