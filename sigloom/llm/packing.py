@@ -6,11 +6,12 @@ whatever the number of documents), patterns of lengths are chosen on it, and the
 to the patterns' places by their rank within their length, in parallel.
 
 The patterns come from bin completion branch-and-bound: around the largest length left, the
-undominated fillings of what remains are enumerated (a filling is dominated if another puts a longer
-piece in a shorter one's place), the least waste first; a branch whose waste exceeds what the incumbent
+undominated fillings of what remains are enumerated one after another, the least waste first. A filling is dominated if
+one piece left out could stand for some of its pieces that are together no longer (several pieces of just its length
+included), or for none, and still fit. A branch whose waste exceeds what the incumbent
 allows is pruned; best-fit-decreasing gives the first incumbent and each better packing replaces it.
-Pattern steps repeat as often as the counts allow. The search ends at the lower bound or after
-``NODES`` steps, with the incumbent.
+A pattern is laid as often as the counts allow and, as another branch, once. The search ends at the lower bound, when no branch is left,
+or after ``NODES`` steps, with the incumbent; nothing depends on the clock.
 
 Null and empty texts are one piece: the end id. Only longer documents are cut. Null ids sort first, and
 rows with the same id and text are told apart by nothing and packed each. An empty table gives an
@@ -19,10 +20,10 @@ empty result. Other columns are dropped.
 
 from __future__ import annotations
 
-import time
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +32,31 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import common, tokens
 
 CAPACITY = 2048
-#: Pattern steps of the search, and fillings tried at each.
+#: Pattern steps of the search.
 NODES = 6_000
-FILLINGS = 4
 
-Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, copies), ...) longest first, times
+Filling = tuple[tuple[int, int], ...]  # (length, copies), longest first
+Pattern = tuple[Filling, int]  # and times
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, most: int = FILLINGS) -> list[tuple[tuple[int, int], ...]]:
-    """Undominated fillings of ``room`` from the sizes (ascending) with their counts: least waste first, then the longest pieces first."""
-    sizes = [s for s in sizes if s <= room]
-    if not sizes:
-        return [()]
+def dominated(filling: Filling, sizes: list[int], counts: dict[int, int], room: int) -> bool:
+    """Whether a piece that is left out can stand for some of the filling's: longer than these together, or as long and they are several."""
+    used = dict(filling)
+    slack = room - sum(s * c for s, c in filling)
+    some, several = 1, 0  # sums of any of the pieces, and of two or more of them, as bits
+    for s, c in filling:
+        for _ in range(c):
+            several |= several << s | (some & ~1) << s
+            some |= some << s
+    for x in sizes:
+        if counts[x] > used.get(x, 0) and (several >> x & 1 or some >> max(0, x - slack) & (1 << min(slack, x)) - 1):
+            return True
+    return False
+
+
+def fillings(sizes: list[int], counts: dict[int, int], room: int, most_waste: int | None = None) -> Iterator[Filling]:
+    """All undominated fillings of ``room`` from the sizes (ascending) with their counts, lazily: the least waste first, then the longest pieces."""
+    sizes = [s for s in sizes if s <= room and counts[s]]
     full = (1 << (room + 1)) - 1
     reach = [1]  # sums that the first k sizes can make, as bits
     for s in sizes:
@@ -53,33 +67,25 @@ def fillings(sizes: list[int], counts: dict[int, int], room: int, most: int = FI
             left -= take
             step *= 2
         reach.append(bits)
-    found: list[tuple[tuple[int, int], ...]] = []
-    best = reach[-1].bit_length() - 1
-    sums = [best, *(t for t in range(best - 1, max(best - 8, 0), -1) if reach[-1] >> t & 1)]
-
-    def rest(k: int, left: int, made: tuple[tuple[int, int], ...], branch: int) -> None:
-        """Complete ``made`` with the first k sizes, the longest first, as many copies as fit."""
-        while left and len(found) < most:
-            k = min(k, bisect_right(sizes, left))
-            while k and not any(left >= c * sizes[k - 1] and reach[k - 1] >> (left - c * sizes[k - 1]) & 1 for c in range(1, min(counts[sizes[k - 1]], left // sizes[k - 1]) + 1)):
-                k -= 1
-            if not k:
-                return
+
+    def rest(k: int, left: int) -> Iterator[Filling]:
+        """Every way to make ``left`` of the first k sizes. The longest one used is chosen in turn; ``reach`` leaves no dead end."""
+        if not left:
+            yield ()
+            return
+        k = min(k, bisect_right(sizes, left))
+        while k and reach[k] >> left & 1:
             s = sizes[k - 1]
-            copies = next(c for c in range(min(counts[s], left // s), 0, -1) if reach[k - 1] >> (left - c * s) & 1)
-            if branch:
-                rest(k - 1, left, made, branch - 1) if reach[k - 1] >> left & 1 else None
-            made, left, k = (*made, (s, copies)), left - copies * s, k - 1
-        if not left and made not in found:
-            found.append(made)
-
-    for t in sums:
-        if len(found) >= most:
-            break
-        rest(len(sizes), t, (), 0)
-        if len(found) < most and t == best:
-            rest(len(sizes), t, (), 2)
-    return found[:most]
+            for c in range(min(counts[s], left // s), 0, -1):
+                if reach[k - 1] >> (left - c * s) & 1:
+                    for more in rest(k - 1, left - c * s):
+                        yield ((s, c), *more)
+            k -= 1
+
+    least = 0 if most_waste is None else max(0, room - most_waste)
+    for total in range(reach[-1].bit_length() - 1, least - 1, -1):
+        if reach[-1] >> total & 1:
+            yield from (f for f in rest(len(sizes), total) if not dominated(f, sizes, counts, room))
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -125,42 +131,54 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(tuple(sorted(m.items(), reverse=True)), t) for group in open_.values() for m, t in group]
 
 
-def choose_patterns(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, seconds: float = 40.0) -> list[Pattern]:
+def choose_patterns(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
     """Patterns that hold each length as often as it counts, in as few sequences as the search finds."""
     best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
     fewest, mass = sum(t for _, t in best), sum(s * n for s, n in counts.items())
-    until, steps = time.monotonic() + seconds, 0
-    # A stack of (counts left, sizes left, patterns so far, waste so far, fillings not tried).
-    stack: list[tuple] = []
-
-    def node(left: dict[int, int], made: list[Pattern], waste: int) -> None:
-        sizes = sorted(s for s, n in left.items() if n)
-        top = sizes[-1]
-        left = {s: left[s] for s in sizes}
+    left, made, waste, steps = {s: n for s, n in counts.items() if n}, [], 0, 0
+    turns = [0]  # at each node of the branch, how many of its choices were tried
+
+    def choice(turn: int) -> Pattern | None:
+        """The node's choices: each filling laid as often as it can be, then (if that is more) once."""
+        top = max(left)
         usable = {**left, top: left[top] - 1}
-        tried = fillings([s for s in sizes if usable[s]], usable, capacity - top)
-        stack.append((left, top, made, waste, tried[::-1]))
-
-    if counts and fewest > bound:
-        node(dict(counts), [], 0)
-    while stack and fewest > bound and steps < nodes and time.monotonic() < until:
-        left, top, made, waste, tried = stack[-1]
-        if not tried:
-            stack.pop()
+        allowed = (fewest - 1) * capacity - mass - waste
+        if allowed < 0:
+            return None
+        filling = next(islice(fillings(sorted(left), usable, capacity - top, allowed), turn // 2, None), None)
+        if filling is None:
+            return None
+        held = dict(filling)
+        held[top] = held.get(top, 0) + 1
+        pattern = tuple(sorted(held.items(), reverse=True))
+        return pattern, 1 if turn % 2 else min(left[s] // c for s, c in pattern)
+
+    def lay(pattern: Filling, times: int) -> None:
+        for s, c in pattern:
+            left[s] = left.get(s, 0) - times * c
+            if not left[s]:
+                del left[s]
+
+    while turns and fewest > bound and steps < nodes:
+        found = choice(turns[-1]) if left else None
+        if not left and sum(t for _, t in made) < fewest:
+            best, fewest = list(made), sum(t for _, t in made)
+        if found is None:  # back to the node before
+            turns.pop()
+            if made:
+                pattern, times = made.pop()
+                lay(pattern, -times)
+                waste -= times * (capacity - sum(s * c for s, c in pattern))
             continue
-        fill = dict(tried.pop())
-        fill[top] = fill.get(top, 0) + 1
-        times = min(left[s] // c for s, c in fill.items())
-        lost = waste + times * (capacity - sum(s * c for s, c in fill.items()))
+        pattern, times = found
+        turns[-1] += 1 if times > 1 else 2 - turns[-1] % 2
         steps += 1
-        if lost > (fewest - 1) * capacity - mass:
-            continue
-        rest = {s: n - times * fill.get(s, 0) for s, n in left.items() if n > times * fill.get(s, 0)}
-        now = [*made, (tuple(sorted(fill.items(), reverse=True)), times)]
-        if rest:
-            node(rest, now, lost)
-        else:
-            best, fewest = now, sum(t for _, t in now)
+        lost = times * (capacity - sum(s * c for s, c in pattern))
+        if waste + lost <= (fewest - 1) * capacity - mass:
+            lay(pattern, times)
+            made.append(found)
+            waste += lost
+            turns.append(0)
     return best
 
 

@@ -1,5 +1,6 @@
 import os
 import zlib
+from itertools import product
 
 import numpy as np
 import pytest
@@ -78,6 +79,41 @@ def test_patterns_are_optimal_on_small_cases():
         assert used == counts
 
 
+def undominated(sizes, counts, room):
+    """By definition: no other filling has places for all pieces of this one, each place a piece at least as long as what it holds."""
+    every = [c for c in product(*[range(counts[s] + 1) for s in sizes]) if sum(n * s for n, s in zip(c, sizes, strict=True)) <= room]
+
+    def pieces(c):
+        return [s for s, n in zip(sizes, c, strict=True) for _ in range(n)][::-1]
+
+    def holds(rooms, what):
+        if not what:
+            return True
+        return any(holds([*rooms[:i], r - what[0], *rooms[i + 1 :]], what[1:]) for i, r in enumerate(rooms) if r >= what[0])
+
+    return {c for c in every if not any(g != c and holds(pieces(g), pieces(c)) for g in every)}
+
+
+def test_fillings_are_the_undominated_ones():
+    rng = np.random.default_rng(5)
+    for _ in range(120):
+        sizes = sorted(set(rng.integers(1, 20, rng.integers(1, 6)).tolist()))
+        counts, room = {s: int(rng.integers(1, 4)) for s in sizes}, int(rng.integers(5, 40))
+        found = [tuple(dict(f).get(s, 0) for s in sizes) for f in packing.fillings(sizes, counts, room)]
+        sums = [sum(n * s for n, s in zip(c, sizes, strict=True)) for c in found]
+        assert sums == sorted(sums, reverse=True) and len(set(found)) == len(found)
+        assert set(found) == undominated(sizes, counts, room)
+
+
+def test_search_closes_the_gap_that_best_fit_leaves():
+    sizes = [38, 37, 36, 35, 29, 29, 24, 17, 16, 10, 9, 9]
+    counts = {s: sizes.count(s) for s in sizes}
+    assert sum(t for _, t in packing.best_fit(counts, 60)) == 6
+    made = packing.choose_patterns(counts, 60)
+    assert sum(t for _, t in made) == exact(sizes, 60) == 5
+    assert made == packing.choose_patterns(counts, 60)
+
+
 def test_counts_equal_library(spark):
     lib = library("byte_bpe_50k.json")
     texts = [*TEXTS, "  lead  and   trail  ", "\n\n\nx", "tab\t\tt <|endoftext|><|endoftext|>"]
