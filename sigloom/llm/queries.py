@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common, decontaminate, licenses, packing, quality, simhash, token_counts, token_output, toxicity, urls, warc
 
 #: The url rules of the contract, as (host, path prefix, verdict).
-URL_RULES = [("com", "en/", "block"), ("example.com", "en/7", "allow"), ("net", "de/", "block"), ("example.net", "de/8", "block"), ("org", "es/", "block")]
+URL_RULES = [("com", "en/", "block"), ("example.com", "en/7", "allow"), ("net", "de/", "allow"), ("example.net", "de/8", "block"), ("org", "es/", "block")]
 TOKEN_LIMIT = 1024
 PACK_END_ID, OUTPUT_END_ID = 0, 2
 
@@ -86,37 +86,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Levels that the SQL unrolls; it fails on a table with longer paths.
+_SQL_LEVELS = 8
+
+
 def _url_sql() -> str:
-    """The template tree as one chain of common table expressions, with the same formulas as ``urls``."""
-    fits = [(f"{h}/{p}", v, f"((host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}'))") for h, p, v in sorted(URL_RULES, key=lambda r: -len(r[0]) - len(r[1]))]
-    rule = " ".join(f"when {c} then '{t}'" for t, _, c in fits)
-    verdict = " ".join(f"when {c} then '{v}'" for _, v, c in fits)
+    """The template tree as one chain of common table expressions, with the same formulas as ``urls``. The contract's rules stand here once more, the longest first."""
     spam = " or ".join(f"contains(host, '{s}')" for s in urls.SPAM_HOSTS)
-    deep = urls.DEPTH
     steps = [
         "u as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages)",
-        f"p as (select *, case {rule} end as rule, case {verdict} end as rule_verdict, list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda x: x <> '') as parts from u)",
-        f"l as (select *, case when len(parts) > {deep} then list_append(parts[1:{deep}], '**') else parts end as shape, case when rule_verdict = 'block' then 1 when rule_verdict = 'allow' then 0 when {spam} then 1 end as bad from p)",
-        "t0 as (select host, shape, shape as template, count(*) as n, count(*) filter (bad = 1) as bad, count(*) filter (bad = 0) as good from l group by host, shape)",
+        """r as (select *, case when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/en/7') then 'example.com/en/7'
+            when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/de/8') then 'example.net/de/8'
+            when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/en/') then 'com/en/'
+            when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/de/') then 'net/de/'
+            when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/es/') then 'org/es/' end as rule from u)""",
+        "p as (select *, case rule when 'com/en/' then 'block' when 'example.com/en/7' then 'allow' when 'net/de/' then 'allow' when 'example.net/de/8' then 'block' when 'org/es/' then 'block' end as rule_verdict, list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda x: x <> '') as parts from r)",
+        f"l as (select *, case when len(parts) > {_SQL_LEVELS} then error('a path has more segments than the SQL has levels') else parts end as shape, case when rule_verdict = 'block' then 1 when rule_verdict = 'allow' then 0 when {spam} then 1 end as bad from p)",
+        "t0 as materialized (select host, shape, shape as template, count(*) as n, count(*) filter (bad = 1) as bad, count(*) filter (bad = 0) as good from l group by host, shape)",
     ]
     name = "t0"
-    for k in range(deep + 1):
+    for k in range(_SQL_LEVELS):
         steps.append(f"w{k} as (select host as h, template[1:{k}] as node from {name} where len(template) > {k} group by 1, 2 having count(distinct template[{k + 1}]) > {urls.MAX_CHILDREN})")
-        steps.append(f"x{k} as (select host, shape, case when w.h is not null then list_concat(list_append(template[1:{k}], '*'), template[{k + 2}:]) else template end as template, n, bad, good from {name} t left join w{k} w on t.host = w.h and t.template[1:{k}] = w.node and len(t.template) > {k})")
+        steps.append(f"x{k} as materialized (select host, shape, case when w.h is not null then list_concat(list_append(template[1:{k}], '*'), template[{k + 2}:]) else template end as template, n, bad, good from {name} t left join w{k} w on t.host = w.h and t.template[1:{k}] = w.node and len(t.template) > {k})")
         name = f"x{k}"
-    for k in reversed(range(deep + 1)):
+    for k in reversed(range(_SQL_LEVELS)):
         steps += [
             f"a{k} as (select host as h, template[1:{k}] as node, template[{k + 2}:] as below, template[{k + 1}] as seg, sum(n) as n, (sum(bad) + 0.5::double) / (sum(n) + 1.0::double) as share from {name} where len(template) > {k} group by 1, 2, 3, 4)",
             f"b{k} as (select *, coalesce(share - lag(share) over o > 2 * sqrt(share * (1 - share) / (n + 1.0::double) + lag(share * (1 - share) / (n + 1.0::double)) over o), false)::int as new from a{k} window o as (partition by h, node, below order by share, seg))",
             f"c{k} as (select *, sum(new) over (partition by h, node, below order by share, seg) as class from b{k})",
             f"d{k} as (select h, node, below, seg, list_aggregate(list_sort(list(seg) over (partition by h, node, below, class)), 'string_agg', '|') as name from c{k})",
-            f"y{k} as (select host, shape, case when d.h is not null then list_concat(list_append(template[1:{k}], d.name), template[{k + 2}:]) else template end as template, n, bad, good from {name} t left join d{k} d on t.host = d.h and t.template[1:{k}] = d.node and t.template[{k + 2}:] = d.below and t.template[{k + 1}] = d.seg and len(t.template) > {k})",
+            f"y{k} as materialized (select host, shape, case when d.h is not null then list_concat(list_append(template[1:{k}], d.name), template[{k + 2}:]) else template end as template, n, bad, good from {name} t left join d{k} d on t.host = d.h and t.template[1:{k}] = d.node and t.template[{k + 2}:] = d.below and t.template[{k + 1}] = d.seg and len(t.template) > {k})",
         ]
         name = f"y{k}"
-    steps += [
-        f"hp as (select host, (sum(good) + 1.0::double) / (sum(good) + sum(bad) + 2.0::double) as p from {name} group by 1)",
-        f"tp as (select t.host, t.template, (sum(good) + {urls.STRENGTH}::double * any_value(p)) / (sum(good) + sum(bad) + {urls.STRENGTH}::double) as purity from {name} t join hp on t.host = hp.host group by 1, 2)",
-    ]
+    steps.append(f"tp as (select host, template, (sum(good) + {urls.STRENGTH * urls.NEUTRAL}::double) / (sum(good) + sum(bad) + {urls.STRENGTH}::double) as purity from {name} group by 1, 2)")
     return f"""with {", ".join(steps)}
         select page_id, l.host, path, rule, coalesce(rule_verdict, case when purity < {urls.LEAST_PURITY} then 'block' else 'allow' end) as verdict,
                '/' || array_to_string(m.template, '/') as template, round(purity, 6) as purity

@@ -3,17 +3,17 @@
 A rule is (host, path prefix, block or allow); it fits its host and all subdomains, and the longest one that fits
 decides. Every other url is judged by its template:
 
-1. Segments of the path become shapes: digits are ``#``, so ``/en/825.html`` is ``en/#.html``. Segments past
-   ``DEPTH`` are one ``**``.
+1. Segments of the path become shapes: digits are ``#``, so ``/en/825.html`` is ``en/#.html``. Paths are taken whole.
 2. Per host the shapes form a tree. A segment place with more than ``MAX_CHILDREN`` different children becomes ``*``.
+   The tree is grown level by level; levels at which no host has two different segments hold nothing to decide and are passed over.
 3. From the deepest level up, siblings whose share of bad urls differs by less than two standard errors
    from the next one's (in order of that share) are merged, so like branches pool their labels.
-4. A template's purity is its share of good labels, smoothed with ``STRENGTH`` labels' worth of its host's
-   smoothed share; below ``LEAST_PURITY`` the template is rejected.
+4. A template's purity is its share of good labels, smoothed with ``STRENGTH`` labels' worth of ``NEUTRAL``; below
+   ``LEAST_PURITY`` the template is rejected. So it takes labels of the template itself: one without labels is allowed, whatever its host's other branches are.
 
 All of it is DataFrame functions: counts are aggregated before any shuffle, the tree holds no more
-rows than there are distinct shapes, and the join of urls with their template is one that Spark splits where a host
-is hot. A null url, or one without ``://``, has an empty host and path, no rule, and the template of the empty host.
+rows than there are distinct shapes, siblings are merged over distinct wildcarded templates, and hot keys of the joins back are
+salted or broadcast. A null url, or one without ``://``, has an empty host and path, no rule, and the template of the empty host.
 Repeated rows are judged alike; other columns are kept by ``judge`` unless named like a result column. No labels: all allowed.
 """
 
@@ -25,10 +25,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common
 
-DEPTH = 3
 MAX_CHILDREN = 16
 LEAST_PURITY = 0.3
-STRENGTH = 2.0
+STRENGTH, NEUTRAL = 2.0, 0.5
+#: Parts into which the shapes below one node are dealt for the join with the wildcards.
+SALT = 16
 #: (host, path prefix, verdict)
 Rule = tuple[str, str, str]
 #: Name parts that mark a host as spam; they label its urls as bad for the tree.
@@ -55,49 +56,75 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
 
 
 def shape_of(path: Column) -> Column:
-    """The path's segments with digits as ``#``; at most DEPTH, then ``**``."""
-    parts = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda s: s != "")
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
+    """The path's segments with digits as ``#``."""
+    return F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda s: s != "")
 
 
 def _replaced(template: Column, k: int, value: Column) -> Column:
     return F.transform(template, lambda s, i: F.when(i == k, value).otherwise(s))
 
 
-def templates(urls: DataFrame) -> DataFrame:
-    """(host, shape, template, purity) of every distinct host and shape of ``urls`` (host, shape, bad)."""
+def _key(host: str, segments: str) -> Column:
+    """Neither holds a slash, so this tells them apart."""
+    return F.concat(F.col(host), F.lit("/"), F.array_join(segments, "/"))
+
+
+def levels(tree: DataFrame) -> list[int]:
+    """The levels at which a host has two different segments, at most as many as the longest path has."""
+    places = tree.select("host", F.posexplode("shape").alias("k", "seg")).groupBy("host", "k").agg(F.min("seg").alias("lo"), F.max("seg").alias("hi"))
+    return sorted(r[0] for r in places.where("lo <> hi").select("k").distinct().collect())
+
+
+def wildcards(tree: DataFrame, k: int) -> DataFrame:
+    """``template`` with ``*`` at level k below the nodes that have more than MAX_CHILDREN children there."""
+    node, deep = F.slice("template", 1, k), F.size("template") > k
+    place = tree.where(deep).select("host", node.alias("node"), F.element_at("template", k + 1).alias("seg")).distinct()
+    wide = place.groupBy("host", "node").agg(F.count("*").alias("children")).where(F.col("children") > MAX_CHILDREN)
+    wide = wide.select(F.col("host").alias("w_host"), F.col("node").alias("w_node"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("w_salt"))
+    there = (F.col("host") == F.col("w_host")) & (node == F.col("w_node")) & (F.pmod(F.xxhash64("shape"), F.lit(SALT)) == F.col("w_salt")) & deep
+    star = F.when(F.col("w_host").isNotNull(), _replaced(F.col("template"), k, F.lit("*"))).otherwise(F.col("template"))
+    return tree.join(wide, there, "left").withColumn("template", star).drop("w_host", "w_node", "w_salt")
+
+
+def merged(small: DataFrame, k: int) -> DataFrame:
+    """``merged`` with the joint name, at level k, of siblings that are alike."""
+    node, seg, below = F.slice("merged", 1, k), F.get("merged", F.lit(k)), F.slice("merged", k + 2, F.greatest(F.size("merged"), F.lit(1)))
+    branch = small.where(F.size("merged") > k).groupBy("host", node.alias("node"), below.alias("below"), seg.alias("seg")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    branch = branch.withColumn("share", (F.col("bad") + 0.5) / (F.col("n") + 1.0))
+    # Siblings with the same place and the same segments below: at most MAX_CHILDREN, and the wildcard.
+    order = Window.partitionBy("host", "node", "below").orderBy("share", "seg")
+    error = F.col("share") * (1 - F.col("share")) / (F.col("n") + 1.0)
+    apart = F.col("share") - F.lag("share").over(order) > 2 * F.sqrt(error + F.lag(error).over(order))
+    branch = branch.withColumn("new", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("class", F.sum("new").over(order))
+    names = Window.partitionBy("host", "node", "below", "class")
+    name = F.array_join(F.sort_array(F.collect_set("seg").over(names)), "|").alias("name")
+    found = branch.select(F.col("host").alias("m_host"), F.col("node").alias("m_node"), F.col("below").alias("m_below"), F.col("seg").alias("m_seg"), name)
+    at = (F.col("host") == F.col("m_host")) & (node == F.col("m_node")) & (below == F.col("m_below")) & (seg == F.col("m_seg"))
+    named = F.when(F.col("name").isNotNull(), _replaced(F.col("merged"), k, F.col("name"))).otherwise(F.col("merged"))
+    return small.join(found, at, "left").withColumn("merged", named).drop("m_host", "m_node", "m_below", "m_seg", "name")
+
+
+def templates(urls: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(key, template, purity) of every distinct host and shape of ``urls`` (host, shape, bad); (key, n) of them; and the number of urls."""
     bad, good = F.sum((F.col("bad") == 1).cast("long")), F.sum((F.col("bad") == 0).cast("long"))
     counted = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.coalesce(bad, F.lit(0)).alias("bad"), F.coalesce(good, F.lit(0)).alias("good"))
     tree = common.materialise(counted.withColumn("template", F.col("shape")), "url-shapes")
-    for k in range(DEPTH + 1):  # wildcards, from the root down
-        node = F.slice("template", 1, k).alias("node")
-        place = tree.where(F.size("template") > k).select("host", node, F.element_at("template", k + 1).alias("seg")).distinct()
-        wide = place.groupBy("host", "node").agg(F.count("*").alias("children")).where(F.col("children") > MAX_CHILDREN).select(F.col("host").alias("wide_host"), F.col("node").alias("wide_node"), F.lit(True).alias("wide"))
-        there = (F.col("host") == F.col("wide_host")) & (F.slice("template", 1, k) == F.col("wide_node")) & (F.size("template") > k)
-        tree = tree.join(wide, there, "left").withColumn("template", F.when(F.col("wide"), _replaced(F.col("template"), k, F.lit("*"))).otherwise(F.col("template"))).drop("wide_host", "wide_node", "wide")
-    tree = common.materialise(tree, "url-wildcards")
-    for k in reversed(range(DEPTH + 1)):  # merged siblings, from the deepest level up
-        node, seg, below = F.slice("template", 1, k).alias("node"), F.element_at("template", k + 1).alias("seg"), F.slice("template", k + 2, DEPTH + 1).alias("below")
-        branch = tree.where(F.size("template") > k).groupBy("host", node, below, seg).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        branch = branch.withColumn("share", (F.col("bad") + 0.5) / (F.col("n") + 1.0))
-        # Siblings with the same place and the same segments below: at most MAX_CHILDREN, and the wildcard.
-        order = Window.partitionBy("host", "node", "below").orderBy("share", "seg")
-        error = F.col("share") * (1 - F.col("share")) / (F.col("n") + 1.0)
-        apart = F.col("share") - F.lag("share").over(order) > 2 * F.sqrt(error + F.lag(error).over(order))
-        branch = branch.withColumn("new", F.coalesce(apart, F.lit(False)).cast("int"))
-        branch = branch.withColumn("class", F.sum("new").over(order))
-        names = Window.partitionBy("host", "node", "below", "class")
-        merged = branch.withColumn("name", F.array_join(F.sort_array(F.collect_set("seg").over(names)), "|")).select(F.col("host").alias("m_host"), F.col("node").alias("m_node"), F.col("below").alias("m_below"), F.col("seg").alias("m_seg"), "name")
-        at = (F.col("host") == F.col("m_host")) & (F.slice("template", 1, k) == F.col("m_node")) & (F.slice("template", k + 2, DEPTH + 1) == F.col("m_below")) & (F.get("template", F.lit(k)) == F.col("m_seg"))
-        tree = tree.join(merged, at, "left").withColumn("template", F.when(F.col("name").isNotNull(), _replaced(F.col("template"), k, F.col("name"))).otherwise(F.col("template"))).drop("m_host", "m_node", "m_below", "m_seg", "name")
-    tree = common.materialise(tree, "url-merged")
-    labels = [F.sum("bad").alias("bad"), F.sum("good").alias("good")]
-    hosts = tree.groupBy("host").agg(*labels).select(F.col("host").alias("of"), ((F.col("good") + 1.0) / (F.col("good") + F.col("bad") + 2.0)).alias("host_purity"))
-    pooled = tree.groupBy("host", "template").agg(*labels)
-    pooled = pooled.join(hosts, F.col("host") == F.col("of")).select(
-        "host", "template", ((F.col("good") + STRENGTH * F.col("host_purity")) / (F.col("good") + F.col("bad") + STRENGTH)).alias("purity")
-    )
-    return tree.select("host", "shape", "template").join(pooled, ["host", "template"])
+    places = levels(tree)
+    for k in places:  # from the root down
+        tree = common.materialise(wildcards(tree, k), "url-wildcards")
+    sums = [F.sum(c).alias(c) for c in ("n", "bad", "good")]
+    small = common.materialise(tree.groupBy("host", "template").agg(*sums).withColumn("merged", F.col("template")), "url-templates")
+    for k in reversed(places):
+        small = common.materialise(merged(small, k), "url-merged")
+    purity = (F.col("good") + STRENGTH * NEUTRAL) / (F.col("good") + F.col("bad") + STRENGTH)
+    pooled = small.groupBy("host", "merged").agg(*sums).select(F.col("host").alias("p_host"), F.col("merged").alias("p_merged"), purity.alias("purity"))
+    judged = small.join(pooled, (F.col("host") == F.col("p_host")) & (F.col("merged") == F.col("p_merged")))
+    judged = judged.select(_key("host", "template").alias("of"), F.concat(F.lit("/"), F.array_join("merged", "/")).alias("template"), "purity")
+    shapes = tree.select(_key("host", "shape").alias("key"), _key("host", "template").alias("of"), "n")
+    total, n_shapes = tree.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    found = common.join_unique(shapes, judged, "of", shapes.groupBy("of").agg(F.count("*").alias("n")), n_shapes)
+    found = common.materialise(found.select("key", "template", "purity"), "url-purity")
+    return found, shapes.select("key", "n"), total
 
 
 def judge(pages: DataFrame, rules: list[Rule], url: str = "url", spam_hosts: list[str] | None = None) -> DataFrame:
@@ -111,9 +138,8 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", spam_hosts: lis
     own = own.withColumns({"rule": rule, "rule_verdict": verdict, "shape": shape_of(F.col("path"))})
     spam = reduce(Column.__or__, [F.col("host").contains(s) for s in (SPAM_HOSTS if spam_hosts is None else spam_hosts)], F.lit(False))
     bad = F.when(F.col("rule_verdict") == "block", 1).when(F.col("rule_verdict") == "allow", 0).when(spam, 1)
-    found = templates(own.select("host", "shape", bad.alias("bad")))
-    found = found.select(F.col("host").alias("t_host"), F.col("shape").alias("t_shape"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")
-    out = own.join(found, (F.col("host") == F.col("t_host")) & (F.col("shape") == F.col("t_shape")), "left")
+    found, counts, total = templates(own.select("host", "shape", bad.alias("bad")))
+    out = common.join_unique(own.withColumn("key", _key("host", "shape")), found, "key", counts, total)
     learned = F.when(F.col("purity") < LEAST_PURITY, "block").otherwise("allow")
     kept = [c for c in pages.columns if c.lower() not in names or c.lower() == url.lower()]
     return out.select(*[F.col(f"__own_{i}").alias(c) for i, c in enumerate(kept)], "host", "path", "rule", F.coalesce("rule_verdict", learned).alias("verdict"), "template", F.round("purity", 6).alias("purity"))

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from sigloom.llm import decontaminate, licenses, quality, toxicity, urls
+from sigloom.llm import decontaminate, licenses, quality, queries, toxicity, urls
 
 
 def docs(spark, texts):
@@ -226,7 +226,7 @@ def test_leaks_with_many_shards(spark, monkeypatch):
 
 # --- urls
 
-RULES = [("com", "en/", "block"), ("example.com", "en/7", "allow"), ("net", "de/", "block"), ("example.net", "de/8", "block")]
+RULES = [("com", "en/", "block"), ("example.com", "en/7", "allow"), ("net", "de/", "allow"), ("example.net", "de/8", "block"), ("org", "es/", "block")]
 
 
 def test_rules_and_parts(spark):
@@ -240,6 +240,8 @@ def test_rules_and_parts(spark):
     rows = urls.judge(d, RULES).orderBy("page_id").collect()
     assert [(r.host, r.path, r.rule) for r in rows] == list(cases.values())
     assert len(rows) == len(cases) and all(r.verdict in ("allow", "block") for r in rows)
+    said = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert all(r.verdict == said[r.rule] for r in rows if r.rule) and set(RULES) == set(queries.URL_RULES)
     assert urls.judge(d.limit(0), RULES).count() == 0
 
 
@@ -254,3 +256,30 @@ def test_templates_learn_from_labels(spark):
     assert out["http://h.io/blog/25"].verdict == "allow"
     assert out["http://h.io/tag/nameba/x"].template == "/tag/*/x"
     assert all(out[u].verdict == "block" for u in rows if "casino" in u)
+
+
+def test_a_branch_without_labels_is_allowed_beside_a_blocked_one(spark):
+    rows = [f"http://big.com/{lang}/{i}.html" for lang in ("en", "fr") for i in range(500)]
+    d = spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "page_id long, url string")
+    for r in urls.judge(d, RULES).collect():
+        assert r.verdict == ("block" if "/en/" in r.url else "allow"), r
+
+
+def test_deep_paths_get_templates_of_their_own_in_spark_and_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [f"http://h.com/en/a/b/c/d/{x}/{i}" for x in ("spam", "news") for i in range(20)] + [f"http://h.org/a/b/c/{x}/d/{y}/{i}" for x in ("k", "l") for y in ("es", "fr") for i in range(9)]
+    rows += [f"http://h.org/es/{'x' * (i % 20 + 1)}/a/b/{i % 3}" for i in range(60)] + [None, "nothing", "http://casino.org/q/r/s/t/u/v"]
+    spark.createDataFrame([(i, u, "") for i, u in enumerate(rows)], "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = queries.op7_url_templates(spark, f"file://{tmp_path}").toPandas().sort_values("page_id").reset_index(drop=True)
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(queries.oracle_sql()["op7_url_templates"]).df().sort_values("page_id").reset_index(drop=True)
+    for c in want.columns:
+        assert got[c].astype(object).where(got[c].notna(), None).tolist() == want[c].astype(object).where(want[c].notna(), None).tolist(), c
+    of = dict(zip([u or "" for u in rows], got.template, strict=True))
+    assert of["http://h.org/a/b/c/k/d/es/1"].split("/")[:4] == ["", "a", "b", "c"] and "*" in of["http://h.org/es/xx/a/b/1"]
+    rules = [("deep.io", "a/b/c/d/e/bad/1", "block"), ("deep.io", "a/b/c/d/e/good/1", "allow")]
+    deep = [f"http://deep.io/a/b/c/d/e/{x}/{i}" for x in ("bad", "good") for i in range(40)]
+    out = {r.url: r for r in urls.judge(spark.createDataFrame([(i, u) for i, u in enumerate(deep)], "page_id long, url string"), rules).collect()}
+    assert out[deep[30]].template != out[deep[70]].template and (out[deep[30]].verdict, out[deep[70]].verdict) == ("block", "allow")
