@@ -1,14 +1,15 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Each distinct fingerprint emits every variant within half the radius (for radius 2: itself and its
-64 one-bit flips). Two fingerprints within the radius share a variant, and all that share one are
+Each distinct fingerprint emits every variant within half the (even) radius: for radius 2 itself and its
+64 one-bit flips. Two fingerprints within the radius share a variant, and all that share one are
 within the radius of each other, so a star from the smallest document of each variant's group keeps
-every link with no pairs enumerated; a group has at most 65 fingerprints, whatever the number of
+every link with no pairs enumerated; a group has at most as many fingerprints as a fingerprint has variants, whatever the number of
 copies. Components come from alternating large-star and small-star steps over written edge tables.
 
-The pipeline's stage also links all documents whose sets of five-word shingles have a Jaccard similarity of ``LEAST``
+The pipeline's stage also links documents whose sets of five-word shingles have a Jaccard similarity of ``LEAST``
 or more (``similar``): two such sets share one of the first shingles of each in any fixed order (prefix filtering), so
-documents meet by those, and each pair that meets is verified on the whole sets.
+documents meet by those, and each pair that meets is verified on the whole sets. Where more than ``CENTRES`` documents meet
+at a shingle, each is compared with the ones that have most such shingles, the nearest to the text that all of them vary.
 
 Defined cases: null or empty texts and texts of white space have fingerprint zero, linked like any
 other. Fewer than ``width`` words make one shingle of them all. A null id takes part in no link:
@@ -30,7 +31,7 @@ SEED = 42
 RADIUS = 2
 #: For the stage: words of a shingle, and the similarity of two documents' sets of shingles from which they are near copies.
 WIDTH, LEAST = 5, 0.8
-#: Documents of a shingle that all others with it are compared with: all pairs, up to so many; else a choice that differs by shingle.
+#: Documents of a shingle that all others with it are compared with: all pairs, up to so many.
 CENTRES = 16
 #: Pairs whose two SimHashes differ in more bits aren't verified: at LEAST 19.4 of the 128 bits differ on average, with a deviation of 4.1.
 FAR = 42
@@ -100,14 +101,21 @@ def profiles(df: DataFrame, id_col: str, text: str, width: int, shingle: int) ->
     return common.append_columns(rows.withColumn("same", F.xxhash64("text")), ["text"], "fp long, set long, sim long, more long, hashes array<int>", made).drop("text")
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Edges (a < b) between representatives of distinct fingerprints (rep, fp) that differ in at most RADIUS bits."""
-    # Bit 64 stands for no flip. The representative's own bit is carried, for the check of the pair.
-    flip = F.when(F.col("bit") < 64, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))
-    variants = nodes.select("rep", "fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("bit")).select(F.col("fp").bitwiseXOR(flip).alias("variant"), F.struct("rep", "fp").alias("of"))
-    groups = variants.groupBy("variant").agg(F.sort_array(F.collect_list("of")).alias("all")).where(F.size("all") > 1)
-    star = groups.select(F.col("all")[0].alias("x"), F.explode(F.slice("all", 2, 65)).alias("y"))
-    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS
+def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (a < b) between representatives of distinct fingerprints (rep, fp) that differ in at most ``radius`` bits, an even number."""
+    if radius < 0 or radius % 2:
+        raise ValueError("the radius is an even number of bits")
+    # A variant has up to half the radius of bits flipped, in ascending order; bit 64 stands for no more flips.
+    variants = nodes.select("rep", "fp", F.col("fp").alias("variant"), F.lit(-1).alias("bit"))
+    for _ in range(radius // 2):
+        after = F.when(F.col("bit") < 64, F.sequence(F.col("bit") + 1, F.lit(64))).otherwise(F.array(F.lit(64)))
+        variants = variants.select("rep", "fp", "variant", F.explode(after).alias("bit"))
+        flip = F.when(F.col("bit") < 64, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))
+        variants = variants.select("rep", "fp", F.col("variant").bitwiseXOR(flip).alias("variant"), "bit")
+    # The representative's own bits are carried, for the check of the pair.
+    groups = variants.select("variant", F.struct("rep", "fp").alias("of")).groupBy("variant").agg(F.sort_array(F.collect_list("of")).alias("all")).where(F.size("all") > 1)
+    star = groups.select(F.col("all")[0].alias("x"), F.explode(F.slice("all", 2, F.size("all"))).alias("y"))
+    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius
     return star.where(near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
@@ -148,10 +156,15 @@ def similar(rows: DataFrame, firsts: DataFrame, least: float = LEAST) -> DataFra
     """
     n = F.size("hashes")
     first = F.slice("hashes", F.lit(1), n - F.ceil(least * n - 1e-9).cast("int") + 1)
-    keys = rows.select("row", "sim", "more", n.alias("n"), first.alias("first")).join(firsts.select("row"), "row", "left_semi").withColumn("key", F.explode("first")).drop("first")
+    one = common.materialise(rows.select("row", "sim", "more", n.alias("n"), first.alias("first")).join(firsts.select("row"), "row", "left_semi"), "first-shingles")
+    shingles = one.select("row", F.explode("first").alias("key"))
+    hot = shingles.groupBy("key").count().where(F.col("count") > CENTRES).select("key")
+    score = common.materialise(shingles.join(hot, "key").groupBy("row").agg(F.count("*").alias("score")), "frequent-shingles")
+    keys = one.join(score, "row", "left").withColumn("score", F.coalesce(F.col("score") / F.size("first"), F.lit(0.0))).withColumn("key", F.explode("first")).drop("first")
     # Spark keeps the first rows of each task before the shuffle, so a frequent shingle is no load.
-    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "row"), "row")
+    order = Window.partitionBy("key").orderBy(F.desc("score"), F.xxhash64("row"), "row")
     centres = keys.withColumn("at", F.row_number().over(order)).where(F.col("at") <= CENTRES)
+    keys = keys.drop("score")
     centres = centres.select("key", *[F.col(c).alias(f"{c}_b") for c in ("row", "sim", "more", "n")])
     size = F.least("n", "n_b") >= least * F.greatest("n", "n_b") - 1e-9
     apart = F.bit_count(F.col("sim").bitwiseXOR(F.col("sim_b"))) + F.bit_count(F.col("more").bitwiseXOR(F.col("more_b")))
@@ -164,12 +177,13 @@ def similar(rows: DataFrame, firsts: DataFrame, least: float = LEAST) -> DataFra
     return met.where(right).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
 
 
-def _labelled(df: DataFrame, id_col: str, text: str, width: int, shingle: int | None = None, least: float = LEAST) -> DataFrame:
+def _labelled(df: DataFrame, id_col: str, text: str, width: int, radius: int, shingle: int | None = None, least: float = LEAST) -> DataFrame:
     """(doc_id, same, fp, component_id) for each row; with ``shingle``, similar sets of shingles of so many words are linked too."""
     made = profiles(df, id_col, text, width, shingle).withColumn("row", F.monotonically_increasing_id()) if shingle else fingerprints(df, id_col, text, width)
     prints = common.materialise(made, "fingerprints")
     nodes = common.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct-fingerprints")
-    edges = links(nodes.where("rep is not null").select("rep", "fp"))
+    # Dealt anew, as the written table may be a few files and each row becomes many.
+    edges = links(nodes.where("rep is not null").select("rep", "fp").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), radius)
     if shingle:
         known = prints.where("doc_id is not null and set is not null")
         # One row per set: that of its smallest id.
@@ -184,17 +198,18 @@ def _labelled(df: DataFrame, id_col: str, text: str, width: int, shingle: int |
     return common.join_unique(prints, labels, "fp", nodes.select("fp", "n"), prints.count())
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row; component_id is the smallest id that links reach."""
-    return _labelled(df, id_col, text, width).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _labelled(df, id_col, text, width, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, shingle: int = WIDTH, least: float = LEAST) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, radius: int = RADIUS, shingle: int = WIDTH, least: float = LEAST) -> DataFrame:
     """One row per component of ``near_duplicates``' links and ``similar``'s: that of the smallest id. Rows with a null id stay; all columns stay.
 
-    Rows that share an id are told apart by their text; of a component's texts with its smallest id one stays.
+    Rows that share an id are told apart by their text; of a component's texts with its smallest id one stays, and of rows equal in both
+    any one, whatever their other columns.
     """
-    first = _labelled(df, id_col, text, width, shingle, least).where("doc_id = component_id").groupBy(F.col("component_id").alias("__keep")).agg(F.min("same").alias("__same"))
+    first = _labelled(df, id_col, text, width, radius, shingle, least).where("doc_id = component_id").groupBy(F.col("component_id").alias("__keep")).agg(F.min("same").alias("__same"))
     # The join and the choice among repeated rows need the same partitioning, so texts are shuffled once.
     rows = df.withColumn("__same", F.xxhash64(df[text].cast("string")))
     kept = rows.join(first.withColumnRenamed("__same", "__first"), (F.col(id_col).cast("long") == F.col("__keep")) & (F.col("__same") == F.col("__first")), "left_semi")
