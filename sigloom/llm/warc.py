@@ -1,11 +1,12 @@
 """WARC archives: a deterministic sharded writer, and the reader of its files.
 
-The records are range-sorted by page id, so each task holds a run of ids. A task writes gzip members
+The records are range-sorted by page id, so each task holds a run of ids. The bounds of the ranges are chosen from counts of all
+ids, not from a sample, so they depend on the pages and the number of shards alone. A task writes gzip members
 (one per record) and rolls to a new file when the compressed size reaches ``ROLL_BYTES``. Headers
-and digests are made anew from the payload; nothing depends on the clock or on the task, so a rerun writes the
+and digests are made anew from the payload; nothing depends on the clock, on the task or on how the input is partitioned, so a rerun writes the
 same bytes. Files are written under temporary names that carry the attempt; the names and sizes that Spark
 commits form the manifest, a second job renames exactly those (and may be repeated), and the
-manifest file, written last, makes the archive valid. What a lost or repeated attempt leaves is never renamed.
+manifest file, written last, makes the archive valid: without it the archive isn't read. What a lost or repeated attempt leaves is never renamed.
 
 Payloads that occur more than once: the record of the largest page id is the response, the others are
 revisits that refer to it and hold its headers only. Which is which comes from (page id, digest)
@@ -14,7 +15,7 @@ shuffled once and no group of copies meets in one task.
 
 A null payload counts as empty, a null url as no target. A null page id sorts first and is a revisit of any
 equal payload with an id. Of rows equal in id and payload one is the response (or all are revisits of a
-larger id) and the rest revisit it. Line breaks in a url are percent-encoded. No rows: a manifest of no files.
+larger id) and the rest revisit it. An id that many rows share is split over ranges by its payloads' digests. Line breaks in a url are percent-encoded. No rows: a manifest of no files.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -34,10 +37,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common
 
 ROLL_BYTES = 64 << 20
+#: Bins into which a range of ids is counted at once.
+BINS = 4_096
 #: Every record's date: part of the input to make the output repeat, so a parameter and not the clock.
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed value: the profile that the standard gives for revisits of an identical payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Stands for a null id among the bounds.
+_NULL = -(1 << 63)
 _MANIFEST = "shard long, temporary string, name string, n_records long, n_bytes long, sha256 string"
 _FILE_FIELDS = ["shard", "temporary", "name", "n_records", "n_bytes", "sha256"]
 
@@ -74,16 +81,16 @@ def member(data: bytes) -> bytes:
 
 
 class _Roller:
-    """Writes members to numbered temporary files of one task attempt; ``done`` lists the closed ones."""
+    """Writes a shard's members to numbered temporary files of one task attempt; ``done`` gets the closed ones."""
 
-    def __init__(self, path: str, shard: int, roll_bytes: int):
+    def __init__(self, path: str, shard: int, roll_bytes: int, done: list[tuple]):
         self.files, self.root = pfs.FileSystem.from_uri(path)
         self.shard, self.roll_bytes, self.attempt = shard, roll_bytes, uuid.uuid4().hex[:12]
-        self.out, self.done = None, []
+        self.out, self.done, self.number = None, done, 0
 
     def add(self, data: bytes) -> None:
         if self.out is None:
-            name = f"part-{self.shard:06d}-{len(self.done):05d}.warc.gz"
+            name = f"part-{self.shard:06d}-{self.number:05d}.warc.gz"
             self.temporary, self.name = f"_temporary_warc/{self.attempt}-{name}", name
             self.out = self.files.open_output_stream(posixpath.join(self.root, self.temporary), compression=None)
             self.n = self.size = 0
@@ -99,7 +106,7 @@ class _Roller:
         if self.out is not None:
             self.out.close()
             self.done.append((self.shard, self.temporary, self.name, self.n, self.size, self.sha.hexdigest()))
-            self.out = None
+            self.out, self.number = None, self.number + 1
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
@@ -107,43 +114,101 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=_FILE_FIELDS)
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, refers_to) of the pages (page_id, payload) whose payload a larger page id has too; distinct."""
-    keys = common.materialise(pages.select("page_id", F.sha1(F.col("payload")).alias("digest")), "payload-digests")
-    again = keys.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).where("n > 1 and refers_to is not null").drop("n")
-    found = keys.join(again, "digest").where("page_id is null or page_id < refers_to")
+def revisits(keys: DataFrame) -> DataFrame:
+    """(page_id, digest, refers_to) of the pages (page_id, digest) whose payload a larger page id has too; distinct."""
+    counts = common.materialise(keys.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")), "payloads")
+    again = counts.where("n > 1 and refers_to is not null")
+    found = common.join_unique(keys, again.select("digest", "refers_to"), "digest", again, keys.count()).where("page_id is null or page_id < refers_to")
     return found.select("page_id", "digest", "refers_to").distinct()
 
 
+def bounds(keys: DataFrame, shards: int) -> list[tuple[int, str]]:
+    """The least (page_id, start of the digest) of each shard but the first: fewer than ``shards``, ascending, so that each shard has about as many of ``keys``.
+
+    Ids are counted in bins of equal width, and a bin with more than a shard's share in finer bins again, down to a single id and then its
+    digests' first three digits. All counts are exact; as many bins reach the driver as BINS times the bins that are too full, at most one per shard.
+    A null id comes first, as the least id.
+    """
+    least, largest, total = keys.agg(F.min("page_id"), F.max("page_id"), F.count("*")).first()
+    share = -(-total // shards)
+    nulls = keys.where("page_id is null").count()
+    bins: list[tuple[int, str, int]] = []  # (first id, first digest, rows)
+    todo = [(least, largest - least + 1)] if least is not None else []
+    full = [None] if nulls > share else []  # ids with too many rows
+    bins += [(_NULL, "", nulls)] if nulls and not full else []
+    while todo:
+        fine = [(first, max(1, -(-n // BINS)), n) for first, n in todo]
+        ids = F.col("page_id").cast("decimal(20,0)")
+        start = F.lit(None).cast("decimal(20,0)")
+        for first, width, n in fine:
+            start = F.when((ids >= first) & (ids < first + n), first + F.floor((ids - first) / width) * width).otherwise(start)
+        counted = keys.select(start.cast("decimal(20,0)").alias("start")).where("start is not null").groupBy("start").count().collect()
+        todo = []
+        for r in counted:
+            at, n = int(r["start"]), r["count"]
+            width = next(w for first, w, size in fine if first <= at < first + size)
+            if n <= share:
+                bins.append((at, "", n))
+            elif width > 1:
+                todo.append((at, width))
+            else:
+                full.append(at)
+    for i in full:
+        same = F.col("page_id").isNull() if i is None else F.col("page_id") == i
+        bins += [(_NULL if i is None else i, r["d"], r["count"]) for r in keys.where(same).select(F.substring("digest", 1, 3).alias("d")).groupBy("d").count().collect()]
+    out, held = [], 0
+    for at, sha, n in sorted(bins):
+        if held and held + n > share and len(out) < shards - 1:
+            out.append((at, sha))
+            held = 0
+        held += n
+    return out
+
+
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", payload: str = "html", shards: int | None = None, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write the archive under ``path`` (a URI that all executors reach) and return its manifest as a DataFrame."""
     spark = pages.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = common.in_small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    roles = revisits(own).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to")
-    rows = own.withColumns({"digest": F.sha1("payload"), "refers_to": F.lit(None).cast("long")}).unionByName(roles)
-    # Of equal ids, the rows that say what is a revisit come first; then the pages by digest, so equal ones are neighbours.
-    order = [F.col("page_id").asc_nulls_first(), F.col("payload").isNotNull(), "digest", "url"]
-    ranged = rows.repartitionByRange(n, F.col("page_id").asc_nulls_first()).sortWithinPartitions(*order)
+    own = own.withColumn("digest", F.sha1("payload"))
+    keys = common.materialise(own.select("page_id", "digest"), "payload-digests")
+    firsts = bounds(keys, n)
+    of_id, of_digest = np.array([i for i, _ in firsts], np.int64), np.array([d for _, d in firsts], dtype=object)
+
+    @F.pandas_udf("int")
+    def shard_of(page_id: pd.Series, digest: pd.Series) -> pd.Series:
+        """Bounds at or before (page_id, start of the digest); bounds with one id are told apart by the digest."""
+        out = np.searchsorted(of_id, page_id.to_numpy(), side="right")
+        for i in np.unique(of_id[of_digest != ""]):
+            mine, there = (page_id == i).to_numpy(), np.flatnonzero(of_id == i)
+            out[mine] = there[0] + np.searchsorted(of_digest[there].astype(str), digest[mine].to_numpy().astype(str), side="right")
+        return pd.Series(out.astype(np.int32))
+
+    roles = revisits(keys).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to")
+    rows = own.withColumn("refers_to", F.lit(None).cast("long")).unionByName(roles)
+    rows = rows.withColumn("shard", shard_of(F.coalesce("page_id", F.lit(_NULL)), F.substring("digest", 1, 3)))
+    # Of equal ids and digests, the row that says that they are revisits comes first.
+    order = [F.col("page_id").asc_nulls_first(), "digest", F.col("payload").isNotNull(), "url"]
+    ranged = rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", *order).select("page_id", "url", "payload", "digest", "refers_to", "shard")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        out = _Roller(path, TaskContext.get().partitionId(), roll_bytes)
-        at, refer, last = object(), {}, None
+        out, last, refer, done = None, None, None, []
         for b in batches:
-            for page_id, link, body, sha, to in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if page_id != at:
-                    at, refer, last = page_id, {}, None
+            for page_id, link, body, sha, to, shard in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if out is None or out.shard != shard:
+                    if out:
+                        out.close()
+                    out = _Roller(path, shard, roll_bytes, done)
                 if body is None:
-                    refer[sha] = to
+                    refer = (page_id, sha, to)
                     continue
-                same, last = sha == last, sha
+                linked = refer is not None and refer[:2] == (page_id, sha)
+                same, last = last == (page_id, sha), (page_id, sha)
                 payload_digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                to = refer.get(sha, page_id)
-                out.add(record(page_id, link, body, payload_digest, to, sha in refer or same))
-        out.close()
-        yield _table(out.done)
+                out.add(record(page_id, link, body, payload_digest, refer[2] if linked else page_id, linked or same))
+        if out:
+            out.close()
+        yield _table(done)
 
     pfs_, root = pfs.FileSystem.from_uri(path)
     pfs_.create_dir(posixpath.join(root, "_temporary_warc"), recursive=True)
@@ -191,7 +256,7 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of every record; a revisit's payload is null.
 
-    Only files of the manifest are read, and a response whose payload does not have its digest fails the read.
+    Only files of the manifest are read, an archive without one (not written to its end) is an error, and a response whose payload does not have its digest fails the read.
     """
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
@@ -220,5 +285,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                             rows, size = [], 0
                 yield batch(rows)
 
+    there, top = pfs.FileSystem.from_uri(path)
+    if there.get_file_info(posixpath.join(top, "_MANIFEST.json")).type != pfs.FileType.File:
+        raise FileNotFoundError(f"no _MANIFEST.json under {path}: the archive was not written to its end")
     listed = spark.read.schema("name string, n_bytes long").json(posixpath.join(path, "manifest")).select("name")
     return listed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(read, schema)

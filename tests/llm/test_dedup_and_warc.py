@@ -4,8 +4,13 @@ import json
 import os
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
 
+import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sigloom.llm import simhash, warc
 
@@ -59,6 +64,42 @@ def test_links_on_chains_and_hot_groups(spark):
     assert found == {i: r for i, r in want.items() if i != r}
 
 
+def test_links_of_a_wider_radius(spark):
+    rng = random.Random(4)
+    prints = [rng.getrandbits(64) for _ in range(12)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(64), n)) for p in prints for n in (1, 2, 3, 4, 5)]
+    df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(prints)], "rep long, fp long")
+    near = {(i, j) for i, f in enumerate(prints) for j, g in enumerate(prints) if i < j and bin(f ^ g).count("1") <= 4}
+    edges = {(r.a, r.b) for r in simhash.links(df, 4).collect()}
+    root = {i: i for i in range(len(prints))}
+    for _ in prints:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    assert edges <= near and {r.node: r.root for r in simhash.components(simhash.links(df, 4)).collect()} == {i: r for i, r in root.items() if i != r}
+    with pytest.raises(ValueError):
+        simhash.links(df, 3)
+
+
+def test_many_near_copies_of_one_text(spark):
+    """More copies than CENTRES share each shingle; most are nearer to the text than to each other."""
+    rng = random.Random(21)
+    base = [f"b{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for k in range(300):
+        u = list(base)
+        for i in rng.sample(range(len(u)), rng.randrange(1, 9)):
+            u[i] = f"e{k}x{i}"
+        texts.append(" ".join(u))
+    sets, root = brute_sets(texts), list(range(len(texts)))
+    prints = [brute_print(t) for t in texts]
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and (len(a & b) >= 0.8 * len(a | b) or bin(prints[i] ^ prints[j]).count("1") <= 2)]
+    for _ in range(20):
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == set(root) and 20 < len(kept) < 250
+
+
 def test_one_of_each_group_stays(spark):
     t = " ".join(f"w{i}" for i in range(80))
     rows = [(3, t, "a"), (1, t, "b"), (2, "else", "c"), (2, "else", "c"), (None, t, "d"), (9, t, "e")]
@@ -126,3 +167,33 @@ def test_warc_of_no_pages(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.write_warc(pages, f"file://{tmp_path}/n").count() == 0
     assert warc.read_warc(spark, f"file://{tmp_path}/n").count() == 0
+
+
+def test_warc_bytes_do_not_depend_on_the_partitioning(spark, tmp_path):
+    n = 60_000
+    pages = spark.range(n).select(F.when(F.col("id") % 3 > 0, F.pow("id", F.lit(2)).cast("long")).alias("page_id"), F.lit("http://a/b").alias("url"), F.concat(F.lit("page "), F.col("id") % 20_000).alias("html"))
+    for name, df in (("a", pages), ("b", pages.repartition(13))):
+        warc.write_warc(df, f"file://{tmp_path}/{name}", shards=6, roll_bytes=200_000)
+    a, b = (sorted(f for f in os.listdir(f"{tmp_path}/{x}") if f.endswith(".warc.gz")) for x in "ab")
+    assert a == b and len({f[:11] for f in a}) == 6
+    assert all(open(f"{tmp_path}/a/{f}", "rb").read() == open(f"{tmp_path}/b/{f}", "rb").read() for f in a)
+    shards = Counter()
+    for r in spark.read.json(f"file://{tmp_path}/a/manifest").collect():
+        shards[r.name[:11]] += r.n_records
+    assert sum(shards.values()) == n and max(shards.values()) <= 1.3 * n / 6  # a third of the rows has no id: they are split by digest
+    rows = warc.read_warc(spark, f"file://{tmp_path}/a")
+    assert rows.count() == n and rows.where("record_type = 'response'").count() == 20_000
+    os.remove(f"{tmp_path}/b/_MANIFEST.json")
+    with pytest.raises(FileNotFoundError):
+        warc.read_warc(spark, f"file://{tmp_path}/b")
+
+
+def test_bounds_of_crowded_ids(spark):
+    ids = [*range(1000), *[1 << 60] * 600, *range((1 << 61), (1 << 61) + 400), *[None] * 10, -(1 << 62)]
+    keys = spark.createDataFrame([(i, hashlib.sha1(str(k).encode()).hexdigest()) for k, i in enumerate(ids)], "page_id long, digest string")
+    found = warc.bounds(keys, 8)
+    assert found == sorted(found) and len(found) == 7
+    order = sorted((warc._NULL if r.page_id is None else r.page_id, r.digest[:3]) for r in keys.collect())
+    sizes = np.diff([0, *[bisect_left(order, f) for f in found], len(order)])
+    assert sizes.sum() == len(ids) and sizes.max() <= -(-len(ids) // 8) + 1
+    assert warc.bounds(keys.limit(0), 8) == []
