@@ -118,7 +118,7 @@ def revisits(keys: DataFrame) -> DataFrame:
     """(page_id, digest, refers_to) of the pages (page_id, digest) whose payload a larger page id has too; distinct."""
     counts = common.materialise(keys.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")), "payloads")
     again = counts.where("n > 1 and refers_to is not null")
-    found = common.join_unique(keys, again.select("digest", "refers_to"), "digest", again, keys.count()).where("page_id is null or page_id < refers_to")
+    found = common.join_unique(keys, again.select("digest", "refers_to"), "digest", again, keys.count()).where("refers_to is not null and (page_id is null or page_id < refers_to)")
     return found.select("page_id", "digest", "refers_to").distinct()
 
 
