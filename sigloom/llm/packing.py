@@ -11,7 +11,7 @@ one piece left out could stand for some of its pieces that are together no longe
 included), or for none, and still fit. A branch whose waste exceeds what the incumbent
 allows is pruned; best-fit-decreasing gives the first incumbent and each better packing replaces it.
 A pattern is laid as often as the counts allow and, as another branch, once. The search ends at the lower bound, when no branch is left,
-or after ``NODES`` steps, with the incumbent; nothing depends on the clock.
+or after ``NODES`` steps or ``TESTS`` fillings, with the incumbent; nothing depends on the clock.
 
 Null and empty texts are one piece: the end id. Only longer documents are cut. Null ids sort first, and
 rows with the same id and text are told apart by nothing and packed each. An empty table gives an
@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import common, tokens
 
 CAPACITY = 2048
-#: Pattern steps of the search.
-NODES = 6_000
+#: Pattern steps of the search, and fillings tested for dominance in it.
+NODES, TESTS = 6_000, 50_000
 
 Filling = tuple[tuple[int, int], ...]  # (length, copies), longest first
 Pattern = tuple[Filling, int]  # and times
@@ -54,8 +54,11 @@ def dominated(filling: Filling, sizes: list[int], counts: dict[int, int], room:
     return False
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, most_waste: int | None = None) -> Iterator[Filling]:
-    """All undominated fillings of ``room`` from the sizes (ascending) with their counts, lazily: the least waste first, then the longest pieces."""
+def fillings(sizes: list[int], counts: dict[int, int], room: int, most_waste: int | None = None, tests: Iterator[int] | None = None) -> Iterator[Filling]:
+    """All undominated fillings of ``room`` from the sizes (ascending) with their counts, lazily: the least waste first, then the longest pieces.
+
+    Each filling that is tested takes one of ``tests``; when there are none left the enumeration ends.
+    """
     sizes = [s for s in sizes if s <= room and counts[s]]
     full = (1 << (room + 1)) - 1
     reach = [1]  # sums that the first k sizes can make, as bits
@@ -68,24 +71,37 @@ def fillings(sizes: list[int], counts: dict[int, int], room: int, most_waste: in
             step *= 2
         reach.append(bits)
 
-    def rest(k: int, left: int) -> Iterator[Filling]:
-        """Every way to make ``left`` of the first k sizes. The longest one used is chosen in turn; ``reach`` leaves no dead end."""
+    def rest(k: int, left: int, slack: int, out: int) -> Iterator[Filling]:
+        """Ways to make ``left`` of the first k sizes. The longest one used is chosen in turn; ``reach`` leaves no dead end.
+
+        ``out`` is the shortest piece left out so far: what is shorter by no more than the slack would be dominated by it.
+        """
         if not left:
             yield ()
             return
-        k = min(k, bisect_right(sizes, left))
-        while k and reach[k] >> left & 1:
+        fit = min(k, bisect_right(sizes, left))
+        k, out = fit, sizes[fit] if fit < k else out
+        while True:
+            while k and sizes[k - 1] >= out - slack:
+                k -= 1
+                out = sizes[k]
+            if not k or not reach[k] >> left & 1:
+                return
             s = sizes[k - 1]
             for c in range(min(counts[s], left // s), 0, -1):
                 if reach[k - 1] >> (left - c * s) & 1:
-                    for more in rest(k - 1, left - c * s):
+                    for more in rest(k - 1, left - c * s, slack, s if c < counts[s] else out):
                         yield ((s, c), *more)
-            k -= 1
+            k, out = k - 1, s
 
     least = 0 if most_waste is None else max(0, room - most_waste)
     for total in range(reach[-1].bit_length() - 1, least - 1, -1):
         if reach[-1] >> total & 1:
-            yield from (f for f in rest(len(sizes), total) if not dominated(f, sizes, counts, room))
+            for found in rest(len(sizes), total, room - total, 2 * room + 1):
+                if tests is not None and next(tests, None) is None:
+                    return
+                if not dominated(found, sizes, counts, room):
+                    yield found
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -131,11 +147,12 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(tuple(sorted(m.items(), reverse=True)), t) for group in open_.values() for m, t in group]
 
 
-def choose_patterns(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
+def choose_patterns(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, tests: int = TESTS) -> list[Pattern]:
     """Patterns that hold each length as often as it counts, in as few sequences as the search finds."""
     best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
     fewest, mass = sum(t for _, t in best), sum(s * n for s, n in counts.items())
     left, made, waste, steps = {s: n for s, n in counts.items() if n}, [], 0, 0
+    untested = iter(range(tests))
     turns = [0]  # at each node of the branch, how many of its choices were tried
 
     def choice(turn: int) -> Pattern | None:
@@ -145,7 +162,7 @@ def choose_patterns(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
         allowed = (fewest - 1) * capacity - mass - waste
         if allowed < 0:
             return None
-        filling = next(islice(fillings(sorted(left), usable, capacity - top, allowed), turn // 2, None), None)
+        filling = next(islice(fillings(sorted(left), usable, capacity - top, allowed, untested), turn // 2, None), None)
         if filling is None:
             return None
         held = dict(filling)
