@@ -5,6 +5,7 @@ An operator is a callable from ``SignalFrame`` to ``SignalFrame`` that only adds
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, fields, is_dataclass, replace
 from functools import reduce
@@ -15,6 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 DEFAULT_AXES = {1: ("t",), 2: ("channel", "t"), 3: ("batch", "channel", "t"), 4: ("batch", "representation", "channel", "t")}
 
 
+#: Places of the usual axes in a signal whose axes have no names of their own; any other name is the last axis.
+_PLACES = {"batch": 0, "representation": 1, "channel": -2}
+#: Rows of a signal that is paired with every value of another; beyond, share an axis instead.
+BROADCAST_ROWS = 1_000_000
+
+
 class TransformError(Exception):
     """An operator failed; the message has its parameters and the signal's axes."""
 
@@ -34,6 +41,21 @@ class SignalFrame:
         if self.fs is not None and self.fs <= 0:
             raise ValueError("the sampling rate must be positive")
 
+    @property
+    def unnamed(self) -> bool:
+        return all(re.fullmatch(r"dim_\d+", a) for a in self.axes)
+
+    def axis(self, dim: str) -> str:
+        """The axis called ``dim``; by its usual place where axes have no names of their own."""
+        if dim in self.axes:
+            return dim
+        if not self.unnamed:
+            raise ValueError(f"no axis {dim!r} among {self.axes}")
+        place = _PLACES.get(dim, -1)
+        if not -len(self.axes) <= place < len(self.axes):
+            raise ValueError(f"no axis {dim!r} among {self.axes}")
+        return self.axes[place]
+
     def keys(self, *dims: str) -> list[str]:
         """All axes but ``dims``."""
         return [a for a in self.axes if a not in dims]
@@ -52,11 +74,15 @@ class SignalFrame:
 
 
 def signal(df: DataFrame, axes: Sequence[str] | None = None, fs: float | None = None, grids: DataFrame | None = None) -> SignalFrame:
-    """A table as a signal; the axes default by their number."""
+    """A table as a signal; the axes default by their number. Electrode grids are checked: each has an electrode and none twice."""
     n = len(df.columns) - 1
     names = tuple(axes or DEFAULT_AXES.get(n, tuple(f"dim_{i}" for i in range(n))))
     if axes is None and set(names) != set(df.columns) - {"value"}:
         names = tuple(c for c in df.columns if c != "value")
+    if grids is not None:
+        from .operators.spatial import check_grids
+
+        check_grids(grids)
     return SignalFrame(df.select(*[F.col(a).cast("long").alias(a) for a in names], F.col("value").cast("double").alias("value")), names, fs, grids)
 
 
@@ -88,11 +114,11 @@ class Transform:
     def __call__(self, x: SignalFrame) -> SignalFrame:
         if not isinstance(x, SignalFrame):
             raise TypeError(f"expected a SignalFrame, got {type(x).__name__}")
-        dim = getattr(self, "dim", None)
+        dim, own = getattr(self, "dim", None), self
         if isinstance(dim, str) and dim not in x.axes and not getattr(self, "makes_dim", False):
-            raise ValueError(f"{type(self).__name__}: no axis {dim!r} among {x.axes}")
+            own = replace(self, dim=x.axis(dim))
         try:
-            return self.apply(x)
+            return own.apply(x)
         except (TypeError, KeyError, ArithmeticError) as e:
             raise TransformError(f"{type(self).__name__}({self.params}) on axes {x.axes}: {e}") from e
 
@@ -128,8 +154,17 @@ class Identity(Transform):
         return x
 
 
-def align(a: SignalFrame, b: SignalFrame) -> DataFrame:
-    """Values of both (``value`` and ``other``) matched on the axes they share; the others broadcast."""
+def align(a: SignalFrame, b: SignalFrame) -> SignalFrame:
+    """Values of both (``value``, and ``other`` for b's) on the axes of a and then those that only b has, matched on the axes they share.
+
+    Without a shared axis every value of a meets every one of b, which must have BROADCAST_ROWS values at most.
+    """
     shared = [c for c in a.axes if c in b.axes]
     right = b.df.withColumnRenamed("value", "other")
-    return a.df.join(right, shared) if shared else a.df.join(F.broadcast(right.limit(2)))
+    if shared:
+        df = a.df.join(right, shared)
+    elif b.df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        df = a.df.crossJoin(F.broadcast(right))
+    else:
+        raise ValueError(f"{a.axes} and {b.axes} share no axis, and the second signal has more than {BROADCAST_ROWS} values")
+    return replace(a, df=df, axes=(*a.axes, *[c for c in b.axes if c not in shared]))

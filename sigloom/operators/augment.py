@@ -35,6 +35,24 @@ class MagnitudeWarp(Transform):
         return x.to(_n(x, self.dim).withColumn("value", F.col("value") * _curve(self.knots, F.col(self.dim), F.col("n"))))
 
 
+@dataclass
+class GridMagnitudeWarp(Transform):
+    """Equal grids of channels, each times a curve through its own knots. The channels must divide by the grids."""
+
+    knots: list[list[float]]
+    dim: str = "t"
+
+    def apply(self, x: SignalFrame) -> SignalFrame:
+        k = len(self.knots)
+        sizes = x.df.agg((F.max("channel") + 1).alias("channels"))
+        df = _n(x, self.dim).join(F.broadcast(sizes))  # one row
+        grid = F.when(F.col("channels") % k == 0, F.floor(F.col("channel") * k / F.col("channels"))).otherwise(F.raise_error(F.lit(f"the channels don't divide by {k} grids")).cast("long"))
+        curve = F.lit(None).cast("double")
+        for g, knots in enumerate(self.knots):
+            curve = F.when(grid == g, _curve(knots, F.col(self.dim), F.col("n"))).otherwise(curve)
+        return x.to(df.withColumn("value", F.col("value") * curve))
+
+
 @dataclass
 class TimeWarp(Transform):
     """Samples taken, with linear interpolation, at warped places: even knots plus ``shifts`` (in units of n / inner knots)."""
@@ -65,24 +83,33 @@ class TimeWarp(Transform):
 
 @dataclass
 class TimeShift(Transform):
-    """Shift by a number of samples; the freed end is ``zero``, ``wrap``, ``edge`` (the sample at the shift) or ``edge_true`` (the end's)."""
+    """Shift by a number of samples, or by a fraction of the series' length, rounded towards zero.
 
-    shift: int
+    The freed end is ``zero``, ``wrap``, ``edge`` (the sample at the shift) or ``edge_true`` (the end's). A shift of the whole length or more
+    frees every place; the sample at the shift is then the last one on that side.
+    """
+
+    shift: float
     fill: str = "zero"
     dim: str = "t"
 
     def apply(self, x: SignalFrame) -> SignalFrame:
-        s, t, n = self.shift, F.col(self.dim), F.col("n")
+        if self.fill not in ("zero", "wrap", "edge", "edge_true"):
+            raise ValueError(f"no fill {self.fill!r}")
+        t, n = F.col(self.dim), F.col("n")
         df = _n(x, self.dim).withColumn("n", F.col("n").cast("long"))
-        if self.fill in ("zero", "wrap") or s == 0:
+        s = (n * F.lit(self.shift)).cast("long") if isinstance(self.shift, float) else F.lit(self.shift).cast("long")
+        df = df.withColumn("s", s)
+        s, none = F.col("s"), F.array().cast("array<bigint>")
+        if self.fill in ("zero", "wrap"):
             out = df.withColumn(self.dim, F.pmod(t + s, n))
-            freed = (F.col(self.dim) < s) if s > 0 else (F.col(self.dim) >= n + s)
-            return x.to(out.withColumn("value", F.when(freed, 0.0).otherwise(F.col("value"))) if self.fill == "zero" and s else out)
-        source = (F.lit(s) if s > 0 else n + s - 1) if self.fill == "edge" else (F.lit(0) if s > 0 else n - 1)
-        own = F.when((t + s >= 0) & (t + s < n), F.array(t + s)).otherwise(F.array().cast("array<bigint>"))
-        freed = F.sequence(F.lit(0).cast("bigint"), F.lit(s - 1).cast("bigint")) if s > 0 else F.sequence(n + s, n - 1)
+            freed = F.when(s > 0, F.col(self.dim) < s).otherwise(F.col(self.dim) >= n + s)
+            return x.to(out.withColumn("value", F.when(freed, 0.0).otherwise(F.col("value"))) if self.fill == "zero" else out)
+        source = F.when(s > 0, F.least(s, n - 1)).otherwise(F.greatest(n + s - 1, F.lit(0))) if self.fill == "edge" else F.when(s > 0, F.lit(0)).otherwise(n - 1)
+        own = F.when((t + s >= 0) & (t + s < n), F.array(t + s)).otherwise(none)
+        freed = F.when(s > 0, F.sequence(F.lit(0).cast("long"), F.least(s, n) - 1)).when(s < 0, F.sequence(F.greatest(n + s, F.lit(0)), n - 1)).otherwise(none)
         # The sample that fills the freed end is dealt to all of it.
-        places = F.concat(own, F.when(t == source, freed).otherwise(F.array().cast("array<bigint>")))
+        places = F.concat(own, F.when(t == source, freed).otherwise(none))
         return x.to(df.withColumn("__to", F.explode(places)).withColumn(self.dim, F.col("__to")))
 
 
@@ -96,17 +123,21 @@ class Scale(Transform):
 
 @dataclass
 class Cutout(Transform):
-    """Zero in [start, start + length) for each start."""
+    """Zero in [start, start + length) for each start. A length below 1 is a fraction of the series'; a start given as a fraction is one of the places that leave room for the length."""
 
-    starts: list[int]
-    length: int
+    starts: list[float]
+    length: float
     dim: str = "t"
 
     def apply(self, x: SignalFrame) -> SignalFrame:
-        v = F.col("value")
+        v, t = F.col("value"), F.col(self.dim)
+        by_length = any(isinstance(k, float) for k in (*self.starts, self.length))
+        df, n = (_n(x, self.dim), F.col("n")) if by_length else (x.df, None)
+        length = F.floor(n * self.length) if isinstance(self.length, float) else F.lit(self.length)
         for s in self.starts:
-            v = F.when((F.col(self.dim) >= s) & (F.col(self.dim) < s + self.length), 0.0).otherwise(v)
-        return x.with_value(v)
+            start = F.floor((n - length + 1) * s) if isinstance(s, float) else F.lit(s)
+            v = F.when((t >= start) & (t < start + length), 0.0).otherwise(v)
+        return x.to(df.withColumn("value", v))
 
 
 @dataclass
@@ -132,6 +163,20 @@ class DropSlices(Transform):
         return x.with_value(F.when(F.col(self.dim).isin(self.dropped), 0.0).otherwise(F.col("value")))
 
 
+#: Fixed values of the mixing of places: odd multipliers, as in Knuth's multiplicative hashing.
+_MIX = (2_654_435_761, 1_597_334_677)
+
+
+def uniform(axes: tuple[str, ...], seed: int, turn: int = 0) -> Column:
+    """A number in [0, 1) that depends on the place and the seed alone, so a recomputed partition draws the same. Integer arithmetic, so any engine can draw it."""
+    h = F.lit((seed * 7_919 + turn * 104_729 + 1) % (1 << 32)).cast("long")
+    for a in axes:
+        for m in _MIX:
+            h = F.pmod((h.bitwiseXOR(F.pmod(F.col(a), F.lit(1 << 32)))) % F.lit(1 << 31) * F.lit(m), F.lit(1 << 32))
+            h = h.bitwiseXOR(F.shiftright(h, 15))
+    return h / float(1 << 32)
+
+
 @dataclass
 class Dropout(Transform):
     """Each sample is zeroed with probability p and the others scaled by 1 / (1 - p)."""
@@ -140,15 +185,13 @@ class Dropout(Transform):
     seed: int = 0
 
     def apply(self, x: SignalFrame) -> SignalFrame:
-        # A hash of the place, so a recomputed partition draws the same.
-        u = F.pmod(F.xxhash64(*x.axes, F.lit(self.seed)), F.lit(1 << 53)) / float(1 << 53)
+        u = uniform(x.axes, self.seed)
         return x.with_value(F.when(u < self.p, 0.0).otherwise(F.col("value") / (1 - self.p)))
 
 
 def _normal(axes: tuple[str, ...], seed: int) -> Column:
-    """A standard normal that depends on the place and the seed alone (Box-Muller on two hashes)."""
-    u, v = (F.pmod(F.xxhash64(*axes, F.lit(seed), F.lit(k)), F.lit(1 << 53)) / float(1 << 53) for k in (1, 2))
-    return F.sqrt(-2 * F.log(1 - u)) * F.cos(6.283185307179586 * v)
+    """A standard normal that depends on the place and the seed alone (Box-Muller on two draws)."""
+    return F.sqrt(-2 * F.log(1 - uniform(axes, seed, 1))) * F.cos(6.283185307179586 * uniform(axes, seed, 2))
 
 
 @dataclass
@@ -201,16 +244,18 @@ def draw_time_warp(sigma: float = 0.2, n_knots: int = 4) -> Callable[[random.Ran
     return draw
 
 
-def draw_time_shift(max_shift: int = 100, fill: str = "zero") -> Callable[[random.Random], Transform]:
-    return lambda r: TimeShift(r.randint(-max_shift, max_shift), fill)
+def draw_time_shift(max_shift: float = 100, fill: str = "zero") -> Callable[[random.Random], Transform]:
+    """A shift of up to ``max_shift`` samples either way; below 1, of up to that fraction of the length."""
+    return lambda r: TimeShift(r.uniform(-max_shift, max_shift) if isinstance(max_shift, float) and max_shift < 1 else r.randint(-int(max_shift), int(max_shift)), fill)
 
 
 def draw_scale(lo: float = 0.8, hi: float = 1.2) -> Callable[[random.Random], Transform]:
     return lambda r: Scale(r.uniform(lo, hi))
 
 
-def draw_cutout(n_samples: int, n_holes: int = 1, length: int = 50) -> Callable[[random.Random], Transform]:
-    return lambda r: Cutout([r.randint(0, n_samples - length) for _ in range(n_holes)], length)
+def draw_cutout(n_samples: int | None = None, n_holes: int = 1, length: float = 50) -> Callable[[random.Random], Transform]:
+    """Holes anywhere; without ``n_samples`` their places are fractions of each series' length."""
+    return lambda r: Cutout([r.random() if n_samples is None else r.randint(0, n_samples - int(length)) for _ in range(n_holes)], length)
 
 
 def draw_channel_shuffle(n_channels: int) -> Callable[[random.Random], Transform]:

@@ -1,19 +1,23 @@
 """Recursive and frequency-domain filters.
 
-A biquad is a true recurrence, so a series is filtered in one Python call that runs all its passes; series are
-spread over tasks. The notch needs no transform: the few bins in the band are projected out with sums.
+A biquad is a true recurrence and the notch needs a transform of the whole series, so series are spread over tasks and a task
+works on many of them at once, in Arrow batches: a single series is one task, and its length is bounded by a task's memory.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
 
 from ..frame import SignalFrame, Transform
 
+#: Values that a task works on at once, if they are not of one series, and series that are filtered together rather than one by one.
+SERIES_ROWS, TOGETHER = 1_000_000, 8
+
 Section = tuple[float, float, float, float, float]  # b0, b1, b2, a1, a2
 
 
@@ -26,6 +30,44 @@ def biquad(kind: str, cutoff: float, fs: float, q: float = 0.707) -> Section:
     return edge / a0, (1 - c if kind == "low" else -(1 + c)) / a0, edge / a0, -2 * c / a0, (1 - alpha) / a0
 
 
+def by_series(x: SignalFrame, dim: str, fn: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> SignalFrame:
+    """``fn`` of the values of whole series, one after another, and of the series' lengths, in Arrow batches.
+
+    Rows are dealt out by series and sorted; a task holds SERIES_ROWS values or one series at a time.
+    """
+    keys = x.keys(dim)
+    rows = x.df.select(*keys, dim, "value")
+    rows = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, dim)
+
+    def starts(t: pa.Table) -> np.ndarray:
+        changed = np.zeros(max(0, t.num_rows - 1), bool)
+        for k in keys:
+            c = t.column(k).to_numpy()
+            changed |= c[1:] != c[:-1]
+        return np.r_[0, np.flatnonzero(changed) + 1]
+
+    def made(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if t.num_rows:
+            out = fn(t.column("value").to_numpy(), np.diff(np.r_[starts(t), t.num_rows]))
+            yield from t.set_column(t.num_columns - 1, "value", pa.array(out)).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, most = [], 0, SERIES_ROWS
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= most:
+                t = pa.Table.from_batches(held)
+                last = int(starts(t)[-1])  # the last series may go on
+                yield from made(t.slice(0, last))
+                held, n = t.slice(last).to_batches(), t.num_rows - last
+                most = max(SERIES_ROWS, 2 * n)
+        if held:
+            yield from made(pa.Table.from_batches(held))
+
+    return x.to(rows.mapInArrow(run, rows.schema))
+
+
 def run_sections(values: list[float], sections: list[Section], clamp: bool) -> list[float]:
     """Each section in turn, causal from a zero state; ``clamp`` limits a pass's output, not its feedback, to [-1, 1]."""
     for b0, b1, b2, a1, a2 in sections:
@@ -39,6 +81,49 @@ def run_sections(values: list[float], sections: list[Section], clamp: bool) -> l
     return values
 
 
+def run_together(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, sections: list[Section], clamp: bool) -> np.ndarray:
+    """``run_sections`` of many series at once, a sample of each at a time; the shorter ones are filled up at their end."""
+    at = np.arange(int(sizes.max()))[:, None]
+    there = at < sizes
+    x = np.where(there, values[np.minimum(starts + at, len(values) - 1)], 0.0)
+    for b0, b1, b2, a1, a2 in sections:
+        x1 = x2 = y1 = y2 = np.zeros(len(sizes))
+        out = np.empty_like(x)
+        for k, v in enumerate(x):
+            y = b0 * v + b1 * x1 + b2 * x2 - a1 * y1 - a2 * y2
+            x1, x2, y1, y2 = v, x1, y, y1
+            out[k] = np.clip(y, -1.0, 1.0) if clamp else y
+        x = out
+    flat = np.empty_like(values)
+    flat[(starts + at)[there]] = x[there]
+    return flat
+
+
+def filtered(values: np.ndarray, sizes: np.ndarray, sections: list[Section], clamp: bool) -> np.ndarray:
+    """Series of like length together, where there are several; else one by one."""
+    starts, out = np.cumsum(sizes) - sizes, np.empty_like(values, dtype=float)
+    order = np.argsort(sizes, kind="stable")
+    k = 0
+    while k < len(order):
+        to = int(np.searchsorted(sizes[order], 2 * sizes[order[k]], side="right"))
+        group = order[k:to]
+        k = to
+        if len(group) >= TOGETHER:
+            own, places = sizes[group], np.concatenate([np.arange(starts[g], starts[g] + sizes[g]) for g in group])
+            out[places] = run_together(values[places].astype(float), np.cumsum(own) - own, own, sections, clamp)
+        else:
+            for g in group:
+                place = slice(starts[g], starts[g] + sizes[g])
+                out[place] = run_sections(values[place].tolist(), sections, clamp)
+    return out
+
+
+def backwards(sizes: np.ndarray) -> np.ndarray:
+    """The places of the values with each series reversed."""
+    ends = np.cumsum(sizes)
+    return np.repeat(ends - 1, sizes) - (np.arange(ends[-1]) - np.repeat(ends - sizes, sizes))
+
+
 @dataclass
 class Sections(Transform):
     """A cascade of biquads along the axis; ``both_ways`` filters again from the end."""
@@ -49,16 +134,16 @@ class Sections(Transform):
     dim: str = "t"
 
     def apply(self, x: SignalFrame) -> SignalFrame:
-        sections, clamp, both, dim = self.sections, self.clamp, self.both_ways, self.dim
+        sections, clamp, both = self.sections, self.clamp, self.both_ways
 
-        def run(series: pd.DataFrame) -> pd.DataFrame:
-            series = series.sort_values(dim)
-            y = run_sections(series["value"].tolist(), sections, clamp)
-            y = run_sections(y[::-1], sections, clamp)[::-1] if both else y
-            return series.assign(value=y)
+        def run(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+            y = filtered(values, sizes, sections, clamp)
+            if both:
+                back = backwards(sizes)
+                y = filtered(y[back], sizes, sections, clamp)[back]
+            return y
 
-        rows = x.df.select(*x.axes, "value")
-        return x.to(rows.groupBy(*x.keys(dim)).applyInPandas(run, rows.schema))
+        return by_series(x, self.dim, run)
 
 
 def highpass(cutoff: float, fs: float, order: int = 4, q: float = 0.707, clamp: bool = True) -> Sections:
@@ -84,22 +169,20 @@ class Notch(Transform):
     dim: str = "t"
 
     def apply(self, x: SignalFrame) -> SignalFrame:
-        keys, t, n = x.keys(self.dim), F.col(self.dim), F.col("n")
-        df = x.with_stats(keys, n=F.count("*"))
-        lo = F.greatest(F.ceil((self.freq - self.width / 2) * n / self.fs), F.lit(0))
-        hi = F.least(F.floor((self.freq + self.width / 2) * n / self.fs), F.floor(n / 2))
-        df = df.withColumn("bins", F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>")))
-        angle = 2 * math.pi * ((F.col("k") * t) % n) / n
-        each = df.withColumn("k", F.explode("bins"))
-        sums = each.groupBy(*keys, "k").agg(F.sum(F.col("value") * F.cos(angle)).alias("re"), F.sum(F.col("value") * F.sin(angle)).alias("im"), F.max("n").alias("n"))
-        per_series = sums.groupBy(*keys).agg(F.collect_list(F.struct("k", "re", "im")).alias("found"))  # as many as there are bins in the band
-        back = df.join(per_series, keys, "left") if keys else df.join(F.broadcast(per_series))
-        def part(b):
-            a = 2 * math.pi * ((b["k"] * t) % n) / n
-            return F.when((b["k"] == 0) | (2 * b["k"] == n), 1.0).otherwise(2.0) / n * (b["re"] * F.cos(a) + b["im"] * F.sin(a))
-
-        gone = F.aggregate(F.coalesce("found", F.array().cast("array<struct<k:bigint,re:double,im:double>>")), F.lit(0.0), lambda s, b: s + part(b))
-        return x.to(back.withColumn("value", F.col("value") - gone))
+        freq, width, fs = self.freq, self.width, self.fs
+
+        def run(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+            starts, out = np.cumsum(sizes) - sizes, values.astype(float)
+            for n in np.unique(sizes):
+                lo, hi = max(0, math.ceil((freq - width / 2) * n / fs)), min(math.floor((freq + width / 2) * n / fs), n // 2)
+                if lo <= hi:
+                    places = starts[sizes == n][:, None] + np.arange(n)
+                    bins = np.fft.rfft(values[places])
+                    bins[:, :lo], bins[:, hi + 1 :] = 0, 0
+                    out[places] -= np.fft.irfft(bins, n)
+            return out
+
+        return by_series(x, self.dim, run)
 
 
 def spectral_interpolation(freq: float, fs: float, bandwidth: float = 2.0, harmonics: int = 3) -> list[Notch]:

@@ -118,12 +118,13 @@ class Sum(Mean):
 def euclidean_distance(pred: SignalFrame, truth: SignalFrame, dim: str = "xyz") -> DataFrame:
     """One row: the mean over all else of the distance along ``dim``."""
     off = F.col(_V) - F.col("other")
-    each = align(pred, truth).groupBy(*pred.keys(dim)).agg(F.sqrt(F.sum(off * off)).alias("d"))
+    both = align(pred, truth)
+    each = both.df.groupBy(*both.keys(dim)).agg(F.sqrt(F.sum(off * off)).alias("d"))
     return each.agg(F.avg("d").alias(_V))
 
 
 def mean_absolute_error(pred: SignalFrame, truth: SignalFrame) -> DataFrame:
-    return align(pred, truth).agg(F.avg(F.abs(F.col(_V) - F.col("other"))).alias(_V))
+    return align(pred, truth).df.agg(F.avg(F.abs(F.col(_V) - F.col("other"))).alias(_V))
 
 
 def memory_usage(x: SignalFrame, by: str = "representation", item_bytes: int = 8) -> DataFrame:

@@ -45,21 +45,28 @@ class Index(Transform):
 
 @dataclass
 class Reshape(Transform):
-    """To ``shape`` (one -1 allowed) with ``names``; ``sizes`` are the axes' lengths now."""
+    """To ``shape`` (one -1 allowed) with ``names``; ``sizes`` are the axes' lengths now. Where the first axis is the -1, its length now may be None."""
 
     shape: Sequence[int]
     names: Sequence[str]
-    sizes: Sequence[int]
+    sizes: Sequence[int | None]
 
     def apply(self, x: SignalFrame) -> SignalFrame:
-        total = prod(self.sizes)
-        known = prod(s for s in self.shape if s >= 0)
-        shape = [total // known if s < 0 else s for s in self.shape]
-        if prod(shape) != total or len(shape) != len(self.names):
+        shape = list(self.shape)
+        if len(shape) != len(self.names) or len(self.sizes) != len(x.axes):
             raise ValueError(f"{self.sizes} can't be {self.shape}")
+        if self.sizes[0] is None:
+            if shape[0] >= 0:
+                raise ValueError("a first axis of unknown length needs a -1 first")
+        else:
+            total, known = prod(self.sizes), prod(s for s in shape if s >= 0)
+            shape = [total // known if s < 0 else s for s in shape]
+            if prod(shape) != total:
+                raise ValueError(f"{self.sizes} can't be {self.shape}")
         flat = reduce(lambda a, b: a + b, (F.col(a) * prod(self.sizes[k + 1 :]) for k, a in enumerate(x.axes)))
         df = x.df.select(flat.alias("__flat"), "value")
-        return x.to(df.select(*[(F.floor(F.col("__flat") / prod(shape[k + 1 :])) % shape[k]).alias(n) for k, n in enumerate(self.names)], "value"), self.names)
+        places = [F.floor(F.col("__flat") / prod(shape[k + 1 :])) for k in range(len(shape))]
+        return x.to(df.select(*[(p % shape[k] if k else p).alias(n) for k, (n, p) in enumerate(zip(self.names, places, strict=True))], "value"), self.names)
 
 
 @dataclass
@@ -211,3 +218,15 @@ class Concat(Transform):
             df = reduce(lambda d, s: d.join(F.broadcast(s)), before, y.df)
             out.append(df.withColumn(self.dim, (F.col(self.dim) + start).cast("long")).select(*y.axes, "value"))
         return x.to(reduce(DataFrame.unionByName, out))
+
+
+def circular_pad(x: SignalFrame, first: str, second: str, first_size: int = 2, second_size: int = 16) -> SignalFrame:
+    """Both axes continued around their ends, as for a ring of grids."""
+    return Pad((second_size, second_size), second, "circular")(Pad((first_size, first_size), first, "circular")(x))
+
+
+def split_by_grid(x: SignalFrame, electrodes: int, dim: str = "channel") -> SignalFrame:
+    """A channel axis of equal grids as (grid, channel in the grid)."""
+    at = F.col(dim)
+    axes = [c for a in x.axes for c in (("grid", dim) if a == dim else (a,))]
+    return x.to(x.df.withColumn("grid", F.floor(at / electrodes)).withColumn(dim, at % electrodes), axes)

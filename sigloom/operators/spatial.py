@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..frame import SignalFrame, Transform
 
+# The kernels of the filters' names.
 KERNELS = {
     "NDD": [[0, -0.25, 0], [-0.25, 1, -0.25], [0, -0.25, 0]],
     "LSD": [[0, -1, 0], [0, 1, 0], [0, 0, 0]],
     "TSD": [[0, 0, 0], [-1, 1, 0], [0, 0, 0]],
     "IB2": [[0.25, -0.5, 0.25], [-0.5, 1, -0.5], [0.25, -0.5, 0.25]],
+    "IR": [[-0.125, -0.125, -0.125], [-0.125, 1, -0.125], [-0.125, -0.125, -0.125]],
+    "LDD": [[0, -1, 0], [0, 2, 0], [0, -1, 0]],
     "identity": [[0, 0, 0], [0, 1, 0], [0, 0, 0]],
 }
 
@@ -63,10 +66,14 @@ def channels(grids: DataFrame) -> DataFrame:
 
 @dataclass
 class SpatialFilter(Transform):
-    """Cross-correlation with a 3x3 kernel, zero outside the grid and at gaps. Grids not listed pass through; channels past all grids go."""
+    """Cross-correlation with a 3x3 kernel, zero outside the grid and at gaps. Grids not listed pass through; channels past all grids go.
+
+    With ``valid`` only cells all of whose neighbours are there stay, numbered anew in row-major order.
+    """
 
     kernel: str | list[list[float]]
     grids: list[int] | None = None
+    valid: bool = False
 
     def apply(self, x: SignalFrame) -> SignalFrame:
         k = KERNELS[self.kernel] if isinstance(self.kernel, str) else self.kernel
@@ -82,6 +89,14 @@ class SpatialFilter(Transform):
         moves = steps(k) if self.grids is None else F.when(F.col("grid").isin(self.grids), steps(k)).otherwise(steps(KERNELS["identity"]))
         asks = cells.withColumn("m", F.explode(moves)).select("grid", F.col("channel").alias("to"), (F.col("row") + F.col("m.dr")).alias("row"), (F.col("col") + F.col("m.dc")).alias("col"), F.col("m.w").alias("w"))
         weights = asks.join(cells, ["grid", "row", "col"]).select("channel", "to", "w")
+        if self.valid:
+            near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+            around = cells.withColumnRenamed("channel", "to").withColumn("dr", near).withColumn("dc", near)
+            around = around.select("to", "grid", F.col("row").alias("r"), F.col("col").alias("c"), (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
+            whole = around.join(cells, ["grid", "row", "col"]).groupBy("to", "grid", "r", "c").agg(F.count("*").alias("n")).where("n = 9")
+            whole = whole.select("to", "grid", F.col("r").alias("row"), F.col("c").alias("col"), F.lit(0).alias("electrode"))
+            number = channels(whole).join(whole, ["grid", "row", "col"]).select("to", F.col("channel").alias("number"))
+            weights = weights.join(number, "to").drop("to").withColumnRenamed("number", "to")
         out = x.df.join(weights, "channel").groupBy(*x.keys("channel"), "to").agg(F.sum(F.col("value") * F.col("w")).alias("value"))
         return x.to(out.withColumnRenamed("to", "channel"))
 

@@ -6,10 +6,14 @@ A recording table has task, the modality's axes, t and value.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..frame import SignalFrame, signal
+
 SPLITS = ("train", "test", "val")
 
 
@@ -30,6 +34,7 @@ def center_split(df: DataFrame, keys: list[str], test_ratio: float = 0.2, val_ra
     """
     if not (0 <= test_ratio <= 1 and 0 <= val_ratio <= 1):
         raise ValueError("ratios lie between 0 and 1")
+    keys = list(keys)
     sizes = df.groupBy(*keys).agg((F.max(dim) + 1).alias("n"))
     t, n = F.col(dim), F.col("n")
     mid, half = F.floor(n / 2), F.floor(n * float(test_ratio) / 2)
@@ -40,10 +45,30 @@ def center_split(df: DataFrame, keys: list[str], test_ratio: float = 0.2, val_ra
     split = F.when(in_val, "val").when(in_test, "test").otherwise("train")
     at = F.when(in_val, u - (vmid - vhalf)).when(in_test & (u < vmid), u).when(in_test, u - 2 * vhalf).when(t < mid, t).otherwise(t - m)
     seam = F.when(in_val, False).when(in_test, (vhalf > 0) & (u == vmid + vhalf)).otherwise((half > 0) & (t == mid + half))
-    out = df.join(sizes, keys).select(*[c for c in df.columns if c != dim], split.alias("split"), seam.alias("seam"), at.cast("long").alias("__at"))
+    out = (df.join(sizes, keys) if keys else df.join(F.broadcast(sizes))).select(*[c for c in df.columns if c != dim], split.alias("split"), seam.alias("seam"), at.cast("long").alias("__at"))
     return out.withColumnRenamed("__at", dim)
 
 
+def split_axis(x: SignalFrame, dim: str | None = None, test_ratio: float = 0.2, val_ratio: float = 0.2) -> DataFrame:
+    """``center_split`` of a signal's whole slices along an axis, the first by default. The ratios together are 1 at most."""
+    if test_ratio + val_ratio > 1:
+        raise ValueError("the ratios add up to more than 1")
+    return center_split(x.df, [], test_ratio, val_ratio, dim or x.axes[0])
+
+
+def split_signals(signals: dict[str, SignalFrame], dim: str | None = None, test_ratio: float = 0.2, val_ratio: float = 0.2) -> dict[str, DataFrame]:
+    return {name: split_axis(x, dim, test_ratio, val_ratio) for name, x in signals.items()}
+
+
+def modality(tasks: SignalFrame | dict[str, SignalFrame], transform: Callable[[SignalFrame], SignalFrame] | None = None) -> DataFrame:
+    """A recording table (task, axes, value) of one signal, as task "default", or of a signal per task; each is transformed first."""
+    named = tasks if isinstance(tasks, dict) else {"default": tasks}
+    made = {name: transform(x) if transform else x for name, x in named.items()}
+    if len({x.axes for x in made.values()}) != 1:
+        raise ValueError("the tasks' axes differ")
+    return reduce(DataFrame.unionByName, [x.df.select(F.lit(name).alias("task"), *x.axes, "value") for name, x in made.items()])
+
+
 @dataclass
 class DatasetCreator:
     """Align, split and write ``split=/modality=/task=`` Parquet with a metadata table beside it."""
@@ -54,13 +79,15 @@ class DatasetCreator:
     tasks_to_use: list[str] = field(default_factory=list)
     test_ratio: float = 0.2
     val_ratio: float = 0.2
+    #: Samples of a series that are stored together.
+    chunk: int = 65_536
 
     def create(self) -> None:
         used = {n: df.where(F.col("task").isin(self.tasks_to_use)) if self.tasks_to_use else df for n, df in self.modalities.items()}
         for name, df in align_modalities(used).items():
             axes = [c for c in df.columns if c not in ("task", "t", "value")]
             rows = center_split(df, ["task"], self.test_ratio, self.val_ratio).withColumns({"value": F.col("value").cast("float"), "modality": F.lit(name)})
-            rows = rows.repartition("split", "task", F.floor(F.col("t") / 65_536)).sortWithinPartitions("split", "task", *axes, "t")
+            rows = rows.repartition("split", "task", F.floor(F.col("t") / self.chunk)).sortWithinPartitions("split", "task", *axes, "t")
             # Axes differ between modalities, so each has its own table; its folder is the first partition level.
             rows.drop("modality").write.mode("overwrite").partitionBy("split", "task").parquet(f"{self.path}/modality={name}")
         spark = next(iter(self.modalities.values())).sparkSession
@@ -93,15 +120,30 @@ def window_starts(df: DataFrame, size: int, stride: int, recording: str = "task"
     return counts.withColumn("first", first).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1))).select((F.col("first") + F.col("i")).alias("window_id"), recording, (F.col("i") * stride).alias("start"))
 
 
+#: Odd multipliers that scramble a draw's number.
+_SCRAMBLE = (2_654_435_761, 1_597_334_677)
+
+
 def random_starts(df: DataFrame, size: int, n_windows: int, seed: int = 0, recording: str = "task") -> DataFrame:
-    """``n_windows`` uniform draws over all valid starts of all recordings."""
+    """``n_windows`` uniform draws over all valid starts of all recordings; the seed alone decides them.
+
+    A draw is a number in [0, 1), and a recording a part of it. Both are cut into ``n_windows`` equal buckets, so draws meet the few recordings of their bucket.
+    """
     lengths = df.groupBy(recording).agg((F.max("t") + 1).alias("n")).where(F.col("n") >= size)
     spans = lengths.withColumn("k", F.col("n") - size + 1)
-    high = F.sum("k").over(Window.orderBy(recording))
-    spans = spans.withColumn("hi", high).withColumn("lo", F.col("hi") - F.col("k"))
-    total = spans.agg(F.max("hi").alias("total"))
-    draws = df.sparkSession.range(n_windows).join(F.broadcast(total)).select(F.col("id").alias("window_id"), F.pmod(F.xxhash64("id", F.lit(seed)), F.col("total")).alias("pos"))
-    return draws.join(spans, (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi"))).select("window_id", recording, (F.col("pos") - F.col("lo")).alias("start"))
+    # One row per recording.
+    spans = spans.withColumns({"hi": F.sum("k").over(Window.orderBy(recording)), "total": F.sum("k").over(Window.partitionBy(F.lit(0)))}).withColumn("lo", F.col("hi") - F.col("k"))
+    first, last = (F.floor(F.col(c) * float(n_windows) / F.col("total")) for c in ("lo", "hi"))
+    spans = spans.withColumn("bucket", F.explode(F.sequence(first, F.least(last, F.lit(n_windows - 1)))))
+    u = F.lit((seed * 7_919 + 1) % (1 << 31)).cast("long") + F.col("id")
+    for m in _SCRAMBLE:
+        u = F.pmod(u % F.lit(1 << 31) * F.lit(m), F.lit(1 << 32))
+        u = u.bitwiseXOR(F.shiftright(u, 15))
+    draws = df.sparkSession.range(n_windows).select(F.col("id").alias("window_id"), (u / float(1 << 32)).alias("u")).withColumn("bucket", F.floor(F.col("u") * n_windows))
+    # Neighbouring buckets too, as a recording's ends are rounded.
+    draws = draws.withColumn("bucket", F.explode(F.array_distinct(F.array(F.greatest(F.col("bucket") - 1, F.lit(0)), "bucket", F.least(F.col("bucket") + 1, F.lit(n_windows - 1))))))
+    hit = draws.join(spans, "bucket").withColumn("pos", F.floor(F.col("u") * F.col("total"))).where((F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi")))
+    return hit.select("window_id", recording, (F.col("pos") - F.col("lo")).alias("start")).distinct()
 
 
 def fetch_windows(df: DataFrame, starts: DataFrame, size: int, recording: str = "task") -> DataFrame:
@@ -112,6 +154,135 @@ def fetch_windows(df: DataFrame, starts: DataFrame, size: int, recording: str =
     return hit.withColumn("t", F.col("t") - F.col("start")).drop("block")
 
 
+def supervised_pairs(recordings: dict[str, DataFrame], starts: DataFrame, size: int, inputs: Sequence[str], targets: Sequence[str], transform: Callable[[SignalFrame], SignalFrame] | None = None, target_transform: Callable[[SignalFrame], SignalFrame] | None = None, fs: float | None = None) -> tuple[dict[str, SignalFrame], dict[str, SignalFrame]]:
+    """The windows (window_id, task, start) of every input and target modality (task, axes, t, value), as signals with a first axis ``batch``: the window.
+
+    A modality without the window's task, or too short for it, has no rows for it. Transforms see all windows at once.
+    """
+
+    def windows(name: str, f: Callable[[SignalFrame], SignalFrame] | None) -> SignalFrame:
+        df = recordings[name]
+        axes = [c for c in df.columns if c not in ("task", "value", "split", "seam", "modality", "t")]
+        got = fetch_windows(df.select("task", *axes, "t", "value"), starts, size).withColumnRenamed("window_id", "batch")
+        x = signal(got.select("batch", *axes, "t", "value"), ("batch", *axes, "t"), fs)
+        return f(x) if f else x
+
+    if unknown := {*inputs, *targets} - set(recordings):
+        raise ValueError(f"no modality {sorted(unknown)}")
+    return {n: windows(n, transform) for n in inputs}, {n: windows(n, target_transform) for n in targets}
+
+
+def collate(x: dict[str, SignalFrame]) -> SignalFrame | dict[str, SignalFrame]:
+    """The one signal, or the signals by name where there are several."""
+    return next(iter(x.values())) if len(x) == 1 else x
+
+
+@dataclass
+class DataModule:
+    """The three splits of a store as pairs of inputs and targets: train by random windows (or a stride), val and test by a stride."""
+
+    spark: SparkSession
+    path: str
+    inputs: Sequence[str] = ("emg",)
+    targets: Sequence[str] = ("kinematics",)
+    window_size: int = 200
+    window_stride: int | None = None
+    n_windows_per_epoch: int | None = None
+    train_transform: Callable | None = None
+    val_transform: Callable | None = None
+    test_transform: Callable | None = None
+    target_transform: Callable | None = None
+    seed: int = 0
+
+    def __post_init__(self):
+        if self.n_windows_per_epoch is None and self.window_stride is None:
+            raise ValueError("give n_windows_per_epoch or window_stride")
+
+    def pairs(self, split: str, epoch: int = 0) -> tuple:
+        """(inputs, targets) of a split; an epoch draws its own training windows."""
+        rows = {n: read_split(self.spark, self.path, n, split) for n in (*self.inputs, *self.targets)}
+        first = rows[self.inputs[0]]
+        if split == "train" and self.n_windows_per_epoch:
+            starts = random_starts(first, self.window_size, self.n_windows_per_epoch, self.seed + epoch)
+        else:
+            starts = window_starts(first, self.window_size, self.window_stride or self.window_size)
+        transform = {"train": self.train_transform, "val": self.val_transform, "test": self.test_transform or self.val_transform}[split]
+        made = supervised_pairs(rows, starts, self.window_size, self.inputs, self.targets, transform, self.target_transform, read_meta(self.spark, self.path)["sampling_frequency"])
+        return tuple(map(collate, made))
+
+
+def sample_shapes(df: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """One row with the length of each axis but time."""
+    return df.agg(*[(F.max(a) + 1).alias(a) for a in axes if a != "t"])
+
+
+def storage_sizes(df: DataFrame, by: Sequence[str] = ("split",), item_bytes: int = 4) -> DataFrame:
+    """Values, and mebibytes of them, per split (and modality)."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), (F.count("*") * item_bytes / 1048576.0).alias("mb"))
+
+
+def split_summary(df: DataFrame) -> DataFrame:
+    """Per split: recordings, samples of the longest one, and values."""
+    return df.groupBy("split").agg(F.count_distinct("task").alias("tasks"), (F.max("t") + 1).alias("longest"), F.count("*").alias("n"))
+
+
+def label_groups(df: DataFrame, recording: str = "task") -> DataFrame:
+    """(recording, label, one_hot): recordings numbered by name, one row each."""
+    names = df.select(recording).distinct()
+    both = names.withColumns({"label": F.row_number().over(Window.orderBy(recording)) - 1, "n": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    return both.select(recording, "label", F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda i: (i == F.col("label")).cast("int")).alias("one_hot"))
+
+
+@dataclass
+class GroupStore:
+    """Named groups of arrays under a folder, as Parquet: an array is a table whose first column, ``sample``, numbers its rows."""
+
+    spark: SparkSession
+    path: str
+
+    def _fs(self, *parts: str):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        at = hadoop.Path("/".join([self.path, *parts]))
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _names(self, *parts: str) -> list[str]:
+        fs, at = self._fs(*parts)
+        return sorted(f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()) if fs.exists(at) else []
+
+    def groups(self) -> list[str]:
+        return self._names()
+
+    def arrays(self, group: str) -> list[str]:
+        return self._names(group)
+
+    def has_group(self, group: str) -> bool:
+        return group in self.groups()
+
+    def has_array(self, group: str, array: str) -> bool:
+        return array in self.arrays(group)
+
+    def add(self, group: str, array: str, rows: DataFrame) -> None:
+        """Create the array, or append to it: its samples are numbered on from those stored. A table without rows is not stored."""
+        if rows.isEmpty():
+            return
+        first = (self.read(group, array).agg(F.max("sample")).first()[0] or 0) + 1 if self.has_array(group, array) else 0
+        rows.withColumn("sample", F.col("sample") + first).write.mode("append").parquet(f"{self.path}/{group}/{array}")
+
+    def read(self, group: str, array: str = "data") -> DataFrame:
+        if not self.has_array(group, array):
+            raise KeyError(f"no array {array!r} in group {group!r}")
+        return self.spark.read.parquet(f"{self.path}/{group}/{array}")
+
+    def sample(self, i: int, inputs: str = "emg", array: str = "data") -> tuple[DataFrame, DataFrame]:
+        """The input and the target of one sample; the target is the first group that holds neither inputs nor labels. Other samples' row groups aren't read."""
+        if not self.has_group(inputs):
+            raise ValueError(f"the store has no group {inputs!r}")
+        targets = [g for g in self.groups() if g not in (inputs, "label", "class", "one_hot_class")]
+        if not targets:
+            raise ValueError("the store has no target group")
+        return tuple(self.read(g, array).where(F.col("sample") == i) for g in (inputs, targets[0]))
+
+
 def batches(windows: DataFrame, batch_size: int) -> DataFrame:
     return windows.withColumns({"batch": F.floor(F.col("window_id") / batch_size), "item": F.col("window_id") % batch_size})
 
@@ -125,6 +296,16 @@ def load_predictions(spark: SparkSession, path: str, run_id: str, split: str) ->
     return spark.read.parquet(path).where((F.col("run_id") == run_id) & (F.col("split") == split))
 
 
+def list_runs(runs: DataFrame, status: str | None = None) -> DataFrame:
+    """The runs (run_id, run_name, status, start_time, tags, metrics), the last one first."""
+    return (runs if status is None else runs.where(F.col("status") == status)).orderBy(F.col("start_time").desc(), "run_id")
+
+
+def log_run(spark: SparkSession, path: str, run_id: str, run_name: str, status: str, start_time, tags: dict[str, str] | None = None, metrics: dict[str, float] | None = None) -> None:
+    """Append a run to a table of runs; its configuration goes into the tags."""
+    spark.createDataFrame([(run_id, run_name, status, start_time, tags or {}, metrics or {})], "run_id string, run_name string, status string, start_time timestamp, tags map<string,string>, metrics map<string,double>").write.mode("append").parquet(path)
+
+
 def latest_run(runs: DataFrame) -> DataFrame:
     """The finished run that started last."""
     return runs.where("status = 'FINISHED'").orderBy(F.col("start_time").desc(), "run_id").limit(1)

@@ -7,6 +7,7 @@ from hypothesis import given, settings, strategies as st
 from sigloom.frame import Compose, SignalFrame, TransformError, Lambda, from_array, signal
 from sigloom.functions import elementwise as e
 from sigloom.operators import augment as g, filters as fl, normalize as n, shape as s, spatial as sp, windows as w
+from sigloom.plans import presets
 from sigloom.sources import datasets as ds
 from sigloom.sources.containers import Recording
 
@@ -213,3 +214,143 @@ def test_streamed_features(spark, tmp_path):
     q.stop()
     got = {(r["channel"], r["n"]) for r in spark.table("feats").collect()}
     assert len(got) == 2 and spark.table("feats").count() == 10
+
+
+def test_alignment(spark):
+    a, b = from_array(spark, np.arange(4.0), ("channel",)), from_array(spark, np.arange(5.0), ("t",))
+    both = e.weighted_sum(a, b, 0.25)
+    assert both.axes == ("channel", "t")
+    np.testing.assert_allclose(back(both), 0.25 * np.arange(4)[:, None] + 0.75 * np.arange(5))
+    scalar = n.Mean()(b)
+    np.testing.assert_allclose(back(e.weighted_sum(a, scalar, 0.5)), 0.5 * np.arange(4) + 1.0)
+    wide = from_array(spark, np.arange(20.0).reshape(4, 5))
+    np.testing.assert_allclose(back(e.weighted_sum(a, wide, 0.5)), 0.5 * np.arange(4)[:, None] + 0.5 * np.arange(20).reshape(4, 5))
+
+
+def test_axes_by_their_usual_place(spark):
+    a = np.arange(24.0).reshape(2, 3, 4)
+    x = from_array(spark, a, ("dim_0", "dim_1", "dim_2"))
+    np.testing.assert_allclose(back(n.Mean("channel")(x)), a.mean(1))
+    np.testing.assert_allclose(back(n.Mean("t")(x)), a.mean(2))
+    np.testing.assert_allclose(back(n.Sum("batch")(x)), a.sum(0))
+    with pytest.raises(ValueError):
+        n.Mean("channel")(from_array(spark, np.arange(3.0), ("dim_0",)))
+
+
+@pytest.mark.parametrize("shift", [0, 5, 7, -5, -7, 3, -2, 0.5, -0.3])
+def test_shifts_of_any_size(spark, shift):
+    a = np.arange(1.0, 11.0).reshape(2, 5)
+    s_ = int(5 * shift) if isinstance(shift, float) else shift
+    x, at = from_array(spark, a), np.arange(5)
+    freed = at < s_ if s_ > 0 else at >= 5 + s_
+    np.testing.assert_array_equal(back(g.TimeShift(shift, "wrap")(x)), np.roll(a, s_, 1))
+    np.testing.assert_array_equal(back(g.TimeShift(shift, "zero")(x)), np.where(freed, 0, np.roll(a, s_, 1)))
+    for fill, edge in (("edge", min(s_, 4) if s_ > 0 else max(4 + s_, 0)), ("edge_true", 0 if s_ > 0 else 4)):
+        np.testing.assert_array_equal(back(g.TimeShift(shift, fill)(x)), np.where(freed, a[:, [edge]], np.roll(a, s_, 1)))
+
+
+def test_many_series_together_equal_one_by_one(spark, monkeypatch):
+    sections = fl.bandpass(20.0, 450.0, 2048.0).sections
+    sizes = np.array([1, 2, 3, 40, 55, 41, 60, 77, 44, 50, 61, 70, 58, 1000])
+    values = RNG.normal(size=sizes.sum())
+    for clamp in (True, False):
+        want = np.concatenate([fl.run_sections(v.tolist(), sections, clamp) for v in np.split(values, np.cumsum(sizes)[:-1])])
+        np.testing.assert_allclose(fl.filtered(values, sizes, sections, clamp), want, rtol=1e-12, atol=1e-12)
+    back_ = np.concatenate([v[::-1] for v in np.split(values, np.cumsum(sizes)[:-1])])
+    np.testing.assert_array_equal(values[fl.backwards(sizes)], back_)
+    monkeypatch.setattr(fl, "SERIES_ROWS", 100)  # series are cut out of several batches
+    a = RNG.normal(size=(30, 90))
+    want = np.stack([fl.run_sections(fl.run_sections(r.tolist(), sections[:2], False)[::-1], sections[:2], False)[::-1] for r in a])
+    np.testing.assert_allclose(back(fl.Sections(sections[:2], False, True)(from_array(spark, a))), want, atol=1e-12)
+    np.testing.assert_allclose(back(fl.Sections(sections[:1], False)(from_array(spark, a[0], ("t",)))), fl.run_sections(a[0].tolist(), sections[:1], False), atol=1e-12)
+
+
+def test_interpolation_of_a_line_and_its_harmonics(spark):
+    t = np.arange(2000) / 2000
+    x = np.sin(2 * np.pi * 10 * t) + 0.5 * np.sin(2 * np.pi * 50 * t) + 0.3 * np.sin(2 * np.pi * 100 * t) + 0.2 * np.sin(2 * np.pi * 150 * t)
+    y = back(Compose(fl.spectral_interpolation(50.0, 2000.0))(from_array(spark, x, ("t",))))
+    was, now = abs(np.fft.rfft(x)), abs(np.fft.rfft(y))
+    assert all(now[k] < 0.5 * was[k] for k in (50, 100, 150)) and now[10] == pytest.approx(was[10])
+
+
+def test_random_starts_are_uniform_and_seeded(spark):
+    rows = spark.createDataFrame([(f"r{k}", t, 0.0) for k, n_ in enumerate([3, 30, 8, 100, 5]) for t in range(n_)], "task string, t long, value double")
+    draws = ds.random_starts(rows, 5, 4000, 1).toPandas()
+    assert sorted(draws.window_id) == list(range(4000)) and (draws.start >= 0).all()
+    spans = {"r1": 26, "r2": 4, "r3": 96, "r4": 1}
+    share = draws.task.value_counts() / 4000
+    assert set(share.index) == set(spans) and all(abs(share[k] - v / 127) < 0.03 for k, v in spans.items())
+    assert all(draws[draws.task == k].start.max() < v for k, v in spans.items()) and len(set(draws[draws.task == "r3"].start)) > 90
+    assert ds.random_starts(rows, 5, 50, 1).toPandas().equals(ds.random_starts(rows, 5, 50, 1).toPandas()) and not ds.random_starts(rows, 5, 50, 2).toPandas().equals(ds.random_starts(rows, 5, 50, 1).toPandas())
+
+
+def test_data_module(spark, tmp_path):
+    emg = ds.modality({"1": from_array(spark, RNG.normal(size=(2, 300))), "2": from_array(spark, RNG.normal(size=(2, 200)))})
+    kin = ds.modality({"1": from_array(spark, RNG.normal(size=(4, 3, 300)), ("joint", "xyz", "t")), "2": from_array(spark, RNG.normal(size=(4, 3, 210)), ("joint", "xyz", "t"))}, presets.kinematics())
+    path = f"file://{tmp_path}/store"
+    ds.DatasetCreator({"emg": emg, "kinematics": kin}, path, val_ratio=0.5, chunk=64).create()
+    module = ds.DataModule(spark, path, window_size=20, window_stride=10, n_windows_per_epoch=12, target_transform=presets.target(), val_transform=e.Rectify())
+    x, y = module.pairs("train")
+    assert x.axes == ("batch", "channel", "t") and y.axes == ("batch", "channel")
+    assert back(x).shape == (12, 2, 20) and back(y).shape == (12, 9)
+    vx, vy = module.pairs("val")
+    assert back(vx).min() >= 0 and back(vx).shape[0] == back(vy).shape[0] > 0
+    assert ds.sample_shapes(emg, ("channel", "t")).first().asDict() == {"channel": 2}
+    with pytest.raises(ValueError):
+        ds.DataModule(spark, path)
+    with pytest.raises(ValueError):
+        ds.split_axis(from_array(spark, X), test_ratio=0.7, val_ratio=0.5)
+    with pytest.raises(ValueError):
+        presets.training(augmentation="other")
+
+
+def test_group_store(spark, tmp_path):
+    store = ds.GroupStore(spark, f"file://{tmp_path}/groups")
+    rows = spark.range(4).selectExpr("id as sample", "cast(id as double) as value")
+    assert store.groups() == [] and not store.has_group("emg")
+    with pytest.raises(ValueError):
+        store.sample(0)
+    store.add("emg", "data", rows)
+    store.add("emg", "data", rows)
+    store.add("label", "data", rows)
+    store.add("emg", "none", rows.limit(0))
+    with pytest.raises(ValueError):
+        store.sample(0)
+    store.add("ground_truth", "data", rows)
+    assert store.groups() == ["emg", "ground_truth", "label"] and store.arrays("emg") == ["data"]
+    assert sorted(r.sample for r in store.read("emg").collect()) == list(range(8))
+    x, y = store.sample(3)
+    assert [r.value for r in x.collect()] == [3.0] and [r.value for r in y.collect()] == [3.0]
+    with pytest.raises(KeyError):
+        store.read("emg", "none")
+
+
+def test_saved_recording_and_runs(spark, tmp_path):
+    from datetime import datetime
+
+    x = from_array(spark, X, fs=2048.0)
+    r = Recording.of("emg", x).with_result("abs", e.Rectify()(x)).with_result("mean", n.Mean(keepdim=True)(x)).without("Last")
+    r.save(f"file://{tmp_path}/rec")
+    again = Recording.load(spark, f"file://{tmp_path}/rec")
+    assert repr(again) == repr(r) and "deleted" in repr(r) and "2048" in repr(r)
+    np.testing.assert_array_equal(back(again["abs"]), abs(X))
+    with pytest.raises(RuntimeError):
+        again["mean"]
+    for k, status in enumerate(["FINISHED", "FAILED", "FINISHED"]):
+        ds.log_run(spark, f"file://{tmp_path}/runs", str(k), f"run {k}", status, datetime(2024, 1, 1 + k), {"lr": "0.1"}, {"loss": 1.0 / (k + 1)})
+    runs = spark.read.parquet(f"file://{tmp_path}/runs")
+    assert [r.run_id for r in ds.list_runs(runs).collect()] == ["2", "1", "0"] and [r.run_id for r in ds.list_runs(runs, "FAILED").collect()] == ["1"]
+    assert ds.latest_run(runs).first().metrics["loss"] == pytest.approx(1 / 3)
+
+
+def test_grids_are_checked_and_curves_by_grid_divide(spark):
+    x = from_array(spark, np.ones((6, 9)))
+    bad = spark.createDataFrame([(0, 0, 0, -1)], "grid int, row int, col int, electrode int")
+    with pytest.raises(ValueError):
+        signal(x.df, ("channel", "t"), grids=bad)
+    y = back(g.GridMagnitudeWarp([[1.0, 1.0], [2.0, 4.0]])(x))
+    assert (y[:3] == 1).all() and y[3:, 0].tolist() == [2.0] * 3 and y[3:, -1].tolist() == [4.0] * 3
+    with pytest.raises(Exception, match="divide"):
+        g.GridMagnitudeWarp([[1.0, 1.0]] * 4)(x).df.collect()
+    with pytest.raises(ValueError):
+        s.Reshape((2, -1), ("a", "b"), (None, 9))(x)
