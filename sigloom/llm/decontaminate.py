@@ -3,8 +3,9 @@
 The items are the indexed side; every passage of every training text is a query. The index's terms
 are pairs of adjacent words, so chance hits are rare. A posting's weight is its BM25 weight divided by
 the sum of its item's weights, so an item's score against its own text is 1 and one threshold suits
-items of every length. A passage is a window of twice the longest item's words, and the next one starts
-half a window on, so any stretch as long as an item lies whole in some passage.
+items of every length. Items are searched by length class, a class's lengths going up to a power of two (``span``). Its passages are windows
+of twice the span, and the next one starts half a window on, so any stretch as long as an item lies whole in some passage, and
+no item's passages depend on what other items there are.
 
 The search: a passage whose terms' list maxima sum to less than the threshold can hold no item above
 it and is passed over (for all passages of a batch at once); the others go through block-max WAND,
@@ -13,7 +14,8 @@ holds at least ``OVERLAP`` of the word triples of the item's question and of its
 quarter, ``ANSWER_SHARE``; with a separate answer column, that column).
 
 Item statistics cover all items. The index is cut into shards of at most ``SHARD_WORDS`` words, by item
-length, and each is broadcast in turn, so the broadcast is bounded whatever the number of items.
+length. SHARDS_A_SCAN of them are broadcast together and searched in one pass over the texts, so the broadcast is bounded whatever the
+number of items; how items are dealt to shards and scans changes no result.
 
 Null, empty and punctuation-only texts match nothing, and neither do such items or those of one word.
 Null ids are carried. Items with equal words all match. Repeated documents are each reported; rows equal
@@ -26,6 +28,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,7 @@ OVERLAP = 0.6
 ANSWER_SHARE = 0.25
 BLOCK = 32
 SHARD_WORDS = 400_000
+SHARDS_A_SCAN = 4
 _LEAKS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
@@ -55,18 +59,26 @@ def triples_of(ws: list[str]) -> set[tuple[str, ...]]:
     return {tuple(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))} if ws else set()
 
 
+def span_of(length: int) -> int:
+    """The upper end of the length's class: the least power of two that isn't below it."""
+    return 1 << max(0, length - 1).bit_length()
+
+
+def numbered(items: list[tuple]) -> dict[str, int]:
+    return {w: i for i, w in enumerate(sorted({w for _, q, a in items for w in q + a}))}
+
+
 class Index:
-    """Posting lists in item order, in blocks with their largest weight.
+    """Posting lists of a length class's items, in item order, in blocks with their largest weight.
 
-    ``items``: (item_id, question words, answer words); ``df`` and the mean length are those of all items.
+    ``items``: (item_id, question words, answer words); ``df`` and the mean length are those of all items. ``numbers`` are word numbers, if they are given.
     """
 
-    def __init__(self, items: list[tuple], df: dict[tuple[str, str], int], n_items: int, mean_length: float):
+    def __init__(self, items: list[tuple], df: dict[tuple[str, str], int], n_items: int, mean_length: float, numbers: dict[str, int] | None = None):
         self.ids = [i for i, _, _ in items]
         self.parts = [(triples_of(q), triples_of(a)) for _, q, a in items]
-        self.span = max((len(q) + len(a) for _, q, a in items), default=1)
-        vocabulary = sorted({w for _, q, a in items for w in q + a})
-        self.words = {w: i for i, w in enumerate(vocabulary)}
+        self.span = max((span_of(len(q) + len(a)) for _, q, a in items), default=1)
+        self.words = numbered(items) if numbers is None else numbers
         postings: dict[int, list[tuple[int, float]]] = {}
         for at, (_, q, a) in enumerate(items):
             tf = Counter(pairs_of(q + a))
@@ -74,22 +86,13 @@ class Index:
             weight = {t: math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * length / mean_length)) for t, c in tf.items()}
             total = sum(weight.values())
             for t, w in weight.items():
-                postings.setdefault(self.words[t[0]] * len(vocabulary) + self.words[t[1]], []).append((at, w / total))
+                postings.setdefault(self.words[t[0]] * len(self.words) + self.words[t[1]], []).append((at, w / total))
         self.keys = np.array(sorted(postings), np.int64)
         self.items = [np.array([i for i, _ in postings[k]], np.int64) for k in self.keys.tolist()]
         self.weights = [np.array([w for _, w in postings[k]]) for k in self.keys.tolist()]
         self.block_max = [np.maximum.reduceat(w, np.arange(0, len(w), BLOCK)) for w in self.weights]
         self.list_max = np.array([w.max() for w in self.weights])
 
-    def terms(self, word_ids: np.ndarray) -> np.ndarray:
-        """Of each pair of neighbours in a sequence of word ids (-1: unknown): the term's number, or -1."""
-        a, b = word_ids[:-1], word_ids[1:]
-        if not len(self.keys) or not len(a):
-            return np.full(len(a), -1)
-        key = a * len(self.words) + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), at, -1)
-
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Block-max WAND: every item whose weights over the (distinct) terms sum to the threshold or more."""
         least = threshold - 1e-9
@@ -134,26 +137,23 @@ class Index:
             lists = [x for x in lists if x[1] < len(self.items[x[0]])]
         return found
 
-    def passages(self, terms: np.ndarray, n_words: int, threshold: float) -> Iterator[tuple[int, int, list[int]]]:
-        """(first word, end, distinct terms) of a text's passages whose list maxima sum to the threshold or more."""
-        hits = np.flatnonzero(terms >= 0)
+    def passages(self, hits: np.ndarray, terms: np.ndarray, n_words: int, threshold: float) -> Iterator[tuple[int, int, list[int]]]:
+        """(first word, end, distinct terms) of a text's passages whose list maxima sum to the threshold or more; ``terms`` are at the places ``hits``."""
         if not len(hits):
             return
         step, size = self.span, 2 * self.span
-        sums = np.r_[0.0, np.cumsum(self.list_max[terms[hits]])]
+        sums = np.r_[0.0, np.cumsum(self.list_max[terms])]
         starts = np.arange(0, max(1, n_words - step), step)
         # A term is a pair, so a passage's last one starts a word before its end.
         lo, hi = np.searchsorted(hits, starts), np.searchsorted(hits, starts + size - 1)
         for k in np.flatnonzero(sums[hi] - sums[lo] >= threshold - 1e-9):
-            yield int(starts[k]), int(min(n_words, starts[k] + size)), np.unique(terms[hits[lo[k] : hi[k]]]).tolist()
+            yield int(starts[k]), int(min(n_words, starts[k] + size)), np.unique(terms[lo[k] : hi[k]]).tolist()
 
-    def leaks(self, text: str | None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple]:
+    def leaks(self, ws: list[str], hits: np.ndarray, terms: np.ndarray, threshold: float, overlap: float) -> list[tuple]:
         """(item_id, score, question overlap, answer overlap), the best passage of each leaked item."""
-        ws = words(text)
-        ids = np.fromiter(map(self.words.get, ws, (-1 for _ in ws)), np.int64, len(ws))
         best: dict[int, tuple] = {}
-        for start, end, terms in self.passages(self.terms(ids), len(ws), threshold):
-            if not (found := self.search(terms, threshold)):
+        for start, end, distinct in self.passages(hits, terms, len(ws), threshold):
+            if not (found := self.search(distinct, threshold)):
                 continue
             there = triples_of(ws[start:end]) | set(pairs_of(ws[start:end])) | {(w,) for w in ws[start:end]}
             for item, score in found:
@@ -163,6 +163,40 @@ class Index:
         return [(self.ids[i], *x) for i, x in sorted(best.items())]
 
 
+class Shard:
+    """The indexes of some items by length class, over one vocabulary, so that a text is looked up once for all of them."""
+
+    def __init__(self, items: list[tuple], df: dict[tuple[str, str], int], n_items: int, mean_length: float):
+        self.words = numbered(items)
+        classes: dict[int, list[tuple]] = {}
+        for i, q, a in items:
+            classes.setdefault(span_of(len(q) + len(a)), []).append((i, q, a))
+        self.indexes = [Index(classes[c], df, n_items, mean_length, self.words) for c in sorted(classes)]
+        self.keys = np.unique(np.concatenate([x.keys for x in self.indexes])) if self.indexes else np.zeros(0, np.int64)
+        self.local = []  # of each index: its number of each key, or -1
+        for x in self.indexes:
+            self.local.append(np.full(len(self.keys), -1, np.int32))
+            self.local[-1][np.searchsorted(self.keys, x.keys)] = np.arange(len(x.keys))
+
+    def leaks(self, text: str | None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple]:
+        ws = words(text)
+        ids = np.fromiter(map(self.words.get, ws, (-1 for _ in ws)), np.int64, len(ws))
+        a, b = ids[:-1], ids[1:]
+        known = np.flatnonzero((a >= 0) & (b >= 0))
+        if not len(self.keys) or not len(known):
+            return []
+        key = a[known] * len(self.words) + b[known]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key
+        hits, terms = known[hit], at[hit]
+        out = []
+        for index, local in zip(self.indexes, self.local, strict=True):
+            mine = local[terms]
+            there = mine >= 0
+            out += index.leaks(ws, hits[there], mine[there], threshold, overlap)
+        return out
+
+
 def parts(text: str | None, answer: str | None = None) -> tuple[list[str], list[str]]:
     """Question and answer words of an item: of one text, the answer is the last quarter of it."""
     ws = words(text)
@@ -172,8 +206,8 @@ def parts(text: str | None, answer: str | None = None) -> tuple[list[str], list[
     return ws[:cut], ws[cut:]
 
 
-def shards(items: DataFrame, id_col: str, text: str, answer: str | None) -> Iterator[Index]:
-    """Indexes over all items, each of a bounded number of words, the shortest items first."""
+def shards(items: DataFrame, id_col: str, text: str, answer: str | None) -> Iterator[Shard]:
+    """Shards of all items, each of a bounded number of words, the shortest items first."""
     schema = "item_id long, length long, question array<string>, answer array<string>"
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +232,7 @@ def shards(items: DataFrame, id_col: str, text: str, answer: str | None) -> Iter
         own = table.sparkSession.createDataFrame(sorted({p for _, q, a in rows for p in pairs_of(q + a)}), "a string, b string")
         counts = {(r["a"], r["b"]): r["count"] for r in df.join(F.broadcast(own), ["a", "b"]).collect()}
         done += len(rows)
-        yield Index(rows, counts, int(n), float(mean))
+        yield Shard(rows, counts, int(n), float(mean))
 
 
 def _groups(table: DataFrame, lengths: list[int], total: int) -> Iterator[tuple[int, list]]:
@@ -219,17 +253,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
     rows = common.in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     spark = docs.sparkSession
     found = []
-    for index in shards(items, item_id, item_text, answer):
-        shared = spark.sparkContext.broadcast(index)
+    for some in batched(shards(items, item_id, item_text, answer), SHARDS_A_SCAN):
+        shared = spark.sparkContext.broadcast(some)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for b in batches:
                 out: list[list] = [[], [], [], [], []]
                 for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    for leak in index.leaks(t, threshold):
-                        for c, v in zip(out, (d, *leak), strict=True):
-                            c.append(v)
+                    for shard in shared.value:
+                        for leak in shard.leaks(t, threshold):
+                            for c, v in zip(out, (d, *leak), strict=True):
+                                c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         found.append(rows.mapInArrow(search, _LEAKS))
@@ -240,7 +274,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that hold no test item, with their own columns. Nothing is shuffled."""
-    for index in shards(items, item_id, item_text, answer):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        docs = common.keep_rows(docs, text, lambda texts, shared=shared: [not shared.value.leaks(t, threshold) for t in texts])
+    for some in batched(shards(items, item_id, item_text, answer), SHARDS_A_SCAN):
+        shared = docs.sparkSession.sparkContext.broadcast(some)
+        docs = common.keep_rows(docs, text, lambda texts, shared=shared: [not any(x.leaks(t, threshold) for x in shared.value) for t in texts])
     return docs

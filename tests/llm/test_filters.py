@@ -209,9 +209,11 @@ def test_leaks(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     rows = decontaminate.find_leaks(d, b).collect()
     assert {(r.doc_id, r.item_id) for r in rows} == planted
-    index = next(decontaminate.shards(b, "item_id", "text", None))
+    shard = next(decontaminate.shards(b, "item_id", "text", None))
+    assert [x.span for x in shard.indexes] == [16, 32, 64]
     for i, t in enumerate(texts):
-        assert {r.item_id: tuple(np.round((r.score, r.question_overlap, r.answer_overlap), 9)) for r in rows if r.doc_id == i} == brute_leaks(index, t)
+        want = {k: v for x in shard.indexes for k, v in brute_leaks(x, t).items()}
+        assert {r.item_id: tuple(np.round((r.score, r.question_overlap, r.answer_overlap), 9)) for r in rows if r.doc_id == i} == want
     assert sorted(r.doc_id for r in decontaminate.drop_leaks(d, b).collect()) == sorted(set(range(len(texts))) - {i for i, _ in planted})
     assert decontaminate.find_leaks(d, b.limit(0)).count() == 0 and decontaminate.find_leaks(d.limit(0), b).count() == 0
 
@@ -224,6 +226,23 @@ def test_leaks_with_many_shards(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in rows} == {(i, i) for i in range(30)}
 
 
+def test_shards_and_other_items_change_no_leak(spark, monkeypatch):
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"v{rng.randrange(900)}" for _ in range(n))
+    items = [(i, text(n)) for i, n in enumerate([6, 9, 12, 12, 20, 33, 70, 150, 1500])]
+    half = items[2][1].split()
+    texts = [f"{' '.join(half[:6])} {text(900)} {' '.join(half[6:])}"]  # both halves of an item, far apart
+    texts += [f"{text(rng.randrange(80))} {t} {text(rng.randrange(80))}" for _, t in items]
+    d, found = docs(spark, texts), []
+    for size, together in ((400_000, 4), (100, 4), (30, 1)):
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", size)
+        monkeypatch.setattr(decontaminate, "SHARDS_A_SCAN", together)
+        found.append(sorted(map(tuple, decontaminate.find_leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect())))
+    assert found[0] == found[1] == found[2] and {(r[0], r[1]) for r in found[0]} == {(i + 1, i) for i in range(len(items))}
+    alone = decontaminate.find_leaks(d, spark.createDataFrame([items[2]], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in alone} == {(3, 2)}
+
+
 # --- urls
 
 RULES = [("com", "en/", "block"), ("example.com", "en/7", "allow"), ("net", "de/", "allow"), ("example.net", "de/8", "block"), ("org", "es/", "block")]
