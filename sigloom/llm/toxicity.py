@@ -36,8 +36,8 @@ CONTEMPT = ["stupid", "dumb", "pathetic", "worthless", "disgusting", "trash", "g
 
 
 def features(text: str | None) -> set[str]:
-    """The distinct words of a text (of fewer than 40 letters) and the stems of the longer ones."""
-    found = {w for w in set(common.PLAIN_WORD.findall(text.lower())) if len(w) < 40} if text else set()
+    """The distinct words of a text, of any length, and the stems of the longer ones."""
+    found = set(common.PLAIN_WORD.findall(text.lower())) if text else set()
     return found | {w[:STEM] + "*" for w in found if len(w) > STEM}
 
 
