@@ -2,7 +2,8 @@
 
 ``scratch_path`` and ``materialise`` put intermediate tables in the folder named by
 ``spark.checkpoint.dir`` (shared by all executors). A written table cuts the lineage: a lost
-executor costs its running tasks only, never the stages before the table.
+executor costs its running tasks only, never the stages before the table. The tables stay as long as results may be read
+again; ``clear_scratch`` deletes those of the session's application.
 """
 
 from __future__ import annotations
@@ -29,14 +30,27 @@ BATCH_ROWS = 1_000
 _own_folder: str | None = None
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared scratch folder. Only where no folder is configured (tests) a local one is made."""
+def _scratch_root(spark: SparkSession) -> str:
+    """The application's scratch folder. Where none is configured a local one is made, but only in local mode (tests): no executor of a cluster would see it."""
     global _own_folder
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _own_folder = _own_folder or tempfile.mkdtemp(prefix="sigloom-")
         base = f"file://{_own_folder}"
-    return f"{base.rstrip('/')}/sigloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/sigloom/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared scratch folder."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that are still to be computed can't be afterwards."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
