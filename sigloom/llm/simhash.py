@@ -157,10 +157,13 @@ def similar(rows: DataFrame, firsts: DataFrame, least: float = LEAST) -> DataFra
     n = F.size("hashes")
     first = F.slice("hashes", F.lit(1), n - F.ceil(least * n - 1e-9).cast("int") + 1)
     one = common.materialise(rows.select("row", "sim", "more", n.alias("n"), first.alias("first")).join(firsts.select("row"), "row", "left_semi"), "first-shingles")
+    # Most shingles are of one document alone; those go before anything else is attached.
     shingles = one.select("row", F.explode("first").alias("key"))
-    hot = shingles.groupBy("key").count().where(F.col("count") > CENTRES).select("key")
-    score = common.materialise(shingles.join(hot, "key").groupBy("row").agg(F.count("*").alias("score")), "frequent-shingles")
-    keys = one.join(score, "row", "left").withColumn("score", F.coalesce(F.col("score") / F.size("first"), F.lit(0.0))).withColumn("key", F.explode("first")).drop("first")
+    counts = shingles.groupBy("key").count().where("count > 1")
+    shared = common.materialise(shingles.join(counts, "key").select("row", "key", (F.col("count") > CENTRES).cast("int").alias("frequent")), "shared-shingles")
+    score = shared.groupBy("row").agg(F.sum("frequent").alias("frequent"))
+    facts = one.select("row", "sim", "more", "n", F.size("first").alias("of")).join(score, "row").withColumn("score", F.col("frequent") / F.col("of")).drop("frequent", "of")
+    keys = shared.select("row", "key").join(facts, "row")
     # Spark keeps the first rows of each task before the shuffle, so a frequent shingle is no load.
     order = Window.partitionBy("key").orderBy(F.desc("score"), F.xxhash64("row"), "row")
     centres = keys.withColumn("at", F.row_number().over(order)).where(F.col("at") <= CENTRES)
