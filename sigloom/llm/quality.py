@@ -150,9 +150,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFram
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that are kept, with their own columns. Two passes over the texts and no shuffle of them."""
-    patterns = posteriors(with_votes(df.select(F.col(text).alias("text"))))
+    """The rows that are kept, with their own columns. The votes are written beside the rows, so the texts are measured once; nothing but vote patterns is shuffled."""
     names = {c: f"__own_{i}" for i, c in enumerate(df.columns)}
-    own = df.select(*[df[c].alias(n) for c, n in names.items()])
-    kept = judge(with_votes(own, names[text]), patterns).where("kept")
-    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
+    voted = common.materialise(with_votes(df.select(*[df[c].alias(n) for c, n in names.items()]), names[text]), "voted")
+    return judge(voted, posteriors(voted)).where("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
