@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, decontaminate, licenses, packing, quality, simhash, token_counts, token_output, toxicity, urls, warc
+from . import common, decontaminate, divergence, fim, licenses, metric_join, packing, quality, simhash, token_counts, token_output, toxicity, urls, warc
 
 #: The url rules of the contract, as (host, path prefix, verdict).
 URL_RULES = [("com", "en/", "block"), ("example.com", "en/7", "allow"), ("net", "de/", "allow"), ("example.net", "de/8", "block"), ("org", "es/", "block")]
@@ -75,6 +75,19 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_license_scan, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_quality_rules, op6_toxicity_chain, op7_url_templates, op8_token_counts, op9_token_ids_orc, op10_warc_archive, pipeline]
+    found = [op1_best_fit_packing, op2_license_scan, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_quality_rules, op6_toxicity_chain, op7_url_templates, op8_token_counts, op9_token_ids_orc, op10_warc_archive, op11_fill_in_middle, op12_embedding_near_dedup, op13_source_divergence, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -137,5 +150,30 @@ _WARC_SQL = """with p as (select page_id, coalesce(html, '') as body from pages)
     from b"""
 
 
+_FIM_SQL = r"""with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u, sha256('42:' || doc_id) as h from documents),
+    r as (select *, len(u)::bigint as n, ('0x' || h[1:8])::bigint % (len(u) + 1) as c1, ('0x' || h[9:16])::bigint % (len(u) + 1) as c2, ('0x' || h[17:24])::bigint % 100 as h3, ('0x' || h[25:32])::bigint % 100 as h4 from d),
+    f as (select *, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 >= 50 then 'plain' when h4 < 80 then 'spm' else 'psm' end as form, least(c1, c2) as lo, greatest(c1, c2) as hi from r),
+    p as (select *, array_to_string(u[1:lo], '') as prefix, array_to_string(u[lo + 1:hi], '') as middle, array_to_string(u[hi + 1:], '') as suffix from f)
+    select doc_id, n, form, case when form <> 'plain' then length(prefix)::bigint end as prefix_chars, case when form <> 'plain' then length(middle)::bigint end as middle_chars,
+           sha256(case form when 'spm' then '<S>' || suffix || '<P>' || prefix || '<M>' || middle when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else t end) as output_sha256, sha256(t) as restored_sha256
+    from p"""
+
+
+_DIVERGENCE_SQL = r"""with d as (select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        unnest(list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), null)) as term from documents),
+    grp as (select distinct lang, source from d),
+    w as (select lang, term, count(*)::hugeint as total from d where term is not null group by all having count(distinct row) >= 3),
+    c as (select d.lang, d.source, d.term, count(*)::hugeint as n from d join w on d.lang = w.lang and d.term = w.term group by all),
+    l as (select lang, count(*)::hugeint as v, sum(total)::hugeint as nl from w group by lang),
+    m as (select lang, source, sum(n)::hugeint as ng from c group by all),
+    p as (select g.lang, g.source, w.term, coalesce(c.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 1) // (coalesce(m.ng, 0) + l.v) as p, 1 + 1000000000::hugeint * (w.total + 1) // (l.nl + l.v) as q
+          from grp g join l on g.lang = l.lang join w on g.lang = w.lang left join m on g.lang = m.lang and g.source = m.source left join c on g.lang = c.lang and g.source = c.source and w.term = c.term),
+    pairs as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+    every as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0)::bigint as value from grp a join grp b on a.lang = b.lang and a.source <> b.source left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+              union all select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from p where n > 0 and p > q),
+    ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from every)
+    select * from ranked where part = 'pair' or rank <= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_templates": _url_sql(), "op10_warc_archive": _WARC_SQL}
+    return {"op7_url_templates": _url_sql(), "op10_warc_archive": _WARC_SQL, "op11_fill_in_middle": _FIM_SQL, "op13_source_divergence": _DIVERGENCE_SQL}
