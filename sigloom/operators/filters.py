@@ -1,7 +1,12 @@
 """Recursive and frequency-domain filters.
 
-A biquad is a true recurrence and the notch needs a transform of the whole series, so series are spread over tasks and a task
+A biquad is a true recurrence and the notch needs a transform of the whole series. By default series are spread over tasks and a task
 works on many of them at once, in Arrow batches: a single series is one task, and its length is bounded by a task's memory.
+
+With ``block`` a single series is spread over tasks too, exactly. A biquad's state is linear in its start, so each block is filtered from a zero
+state, the blocks' end states are combined along the series (one row per block), and each block runs again from its true start; a clamp acts
+on a pass's output only, so every clamped pass is such a round. The notch adds up each block's share of the Fourier sums of its bins, by chirp
+transforms, and subtracts the bins' waves from each block.
 """
 
 from __future__ import annotations
@@ -12,7 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from . import blocks
 from ..frame import SignalFrame, Transform
 
 #: Values that a task works on at once, if they are not of one series, and series that are filtered together rather than one by one.
@@ -124,16 +132,133 @@ def backwards(sizes: np.ndarray) -> np.ndarray:
     return np.repeat(ends - 1, sizes) - (np.arange(ends[-1]) - np.repeat(ends - sizes, sizes))
 
 
+def scan(x: np.ndarray, section: Section, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One section over a block from a state: its output and its end state. Parts of the block run together, and their states are combined as those of blocks are."""
+    b0, b1, b2, a1, a2 = section
+    m = max(1, math.isqrt(len(x)))
+    c = len(x) // m
+    parts, z1, z2 = x[: c * m].reshape(c, m), np.zeros(c), np.zeros(c)
+    y, response, state = np.empty((c, m)), np.empty((m, 2)), np.eye(2)
+    for j in range(m):
+        v = parts[:, j]
+        y[:, j] = w = b0 * v + z1
+        z1, z2 = b1 * v - a1 * w + z2, b2 * v - a2 * w
+        response[j] = state[0]
+        state = np.stack([state[1] - a1 * state[0], -a2 * state[0]])
+    starts, (s1, s2) = np.empty((c, 2)), start
+    for k in range(c):
+        starts[k] = s1, s2
+        s1, s2 = state[0, 0] * s1 + state[0, 1] * s2 + z1[k], state[1, 0] * s1 + state[1, 1] * s2 + z2[k]
+    out = np.empty(len(x))
+    out[: c * m] = (y + starts @ response.T).ravel()
+    for k in range(c * m, len(x)):
+        v = x[k]
+        out[k] = w = b0 * v + s1
+        s1, s2 = b1 * v - a1 * w + s2, b2 * v - a2 * w
+    return out, np.array([s1, s2])
+
+
+def cascade(x: np.ndarray, sections: list[Section], start: np.ndarray, clamp: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sections in turn from their states, two numbers each: the output and the end states."""
+    ends = np.empty(2 * len(sections))
+    for k, s in enumerate(sections):
+        x, ends[2 * k : 2 * k + 2] = scan(x, s, start[2 * k : 2 * k + 2])
+        if clamp:
+            x = np.clip(x, -1.0, 1.0)
+    return x, ends
+
+
+def silence(sections: list[Section]) -> np.ndarray:
+    """The matrix by which a sample of silence changes the states of an unclamped cascade."""
+    return np.stack([cascade(np.zeros(1), sections, e, False)[1] for e in np.eye(2 * len(sections))], axis=1)
+
+
+def in_blocks(x: SignalFrame, sections: list[Section], clamp: bool, dim: str, block: int) -> SignalFrame:
+    """The cascade with every series spread over tasks by blocks of ``block`` samples.
+
+    A round finds the blocks' starting states of one clamped pass, or of the whole cascade where nothing is clamped. The samples are shuffled
+    once and stay where they are; only states, a row per block, move on from round to round.
+    """
+    keys = x.keys(dim)
+    by = [*keys, "__block"]
+    # With the number given, small blocks aren't put into fewer tasks: a block costs far more than its bytes.
+    n_tasks = int(x.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = x.df.select(*keys, F.floor(F.col(dim) / block).alias("__block"), dim, "value").repartition(n_tasks, *by)
+    rounds = [[s] for s in sections] if clamp else [list(sections)]
+    whole = x.df.select(*keys, dim, "value").schema
+    key_fields = [f for f in rows.schema.fields if f.name in by]
+    state = T.StructType([*key_fields, T.StructField("n", T.LongType()), T.StructField("starts", T.ArrayType(T.DoubleType())), T.StructField("ends", T.ArrayType(T.DoubleType()))])
+    as_arrow, out_arrow = to_arrow_schema(state), to_arrow_schema(whole)
+
+    def ordered(t: pa.Table) -> pa.Table:
+        return t.sort_by(dim)
+
+    def ends(t: pa.Table, starts: list[float], done: int) -> pa.Table:
+        """The block's end state of round ``done`` from silence, behind the rounds before it."""
+        y = ordered(t)["value"].to_numpy()
+        y, _ = cascade(y, [s for r in rounds[:done] for s in r], np.array(starts), clamp)
+        _, end = cascade(y, rounds[done], np.zeros(2 * len(rounds[done])), clamp)
+        return pa.Table.from_pylist([{**{k: t[k][0].as_py() for k in by}, "n": len(y), "starts": starts, "ends": end.tolist()}], schema=as_arrow)
+
+    def first(t: pa.Table) -> pa.Table:
+        return ends(t, [], 0)
+
+    def carried(done: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """The starting states of round ``done`` from its end states, along each series; a row per block passes through."""
+        step, powers = silence(rounds[done]), {}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, now = None, None
+            for b in batches:
+                made = b.to_pylist()
+                for r in made:
+                    series = tuple(r[k] for k in keys)
+                    if now is None or series != last:
+                        last, now = series, np.zeros(len(step))
+                    r["starts"] = [*r["starts"], *now.tolist()]
+                    if r["n"] not in powers:
+                        powers[r["n"]] = np.linalg.matrix_power(step, r["n"])
+                    now = powers[r["n"]] @ now + np.array(r["ends"])
+                yield pa.RecordBatch.from_pylist(made, schema=as_arrow)
+
+        return run
+
+    def joined(done: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        return lambda t, states: ends(t, states["starts"][0].as_py(), done)
+
+    def filtered_block(t: pa.Table, states: pa.Table) -> pa.Table:
+        t = ordered(t)
+        y, _ = cascade(t["value"].to_numpy(), sections, np.array(states["starts"][0].as_py()), clamp)
+        return pa.table([*[t[k] for k in keys], t[dim], pa.array(y)], schema=out_arrow)
+
+    states = rows.groupBy(*by).applyInArrow(first, state)
+    for done in range(len(rounds)):
+        if done:
+            states = rows.groupBy(*by).cogroup(states.groupBy(*by)).applyInArrow(joined(done), state)
+        states = (states.repartition(*keys) if keys else states.repartition(1)).sortWithinPartitions(*by).mapInArrow(carried(done), state)
+    return x.to(rows.groupBy(*by).cogroup(states.groupBy(*by)).applyInArrow(filtered_block, whole))
+
+
+def reversed_series(x: SignalFrame, dim: str) -> SignalFrame:
+    return x.to(x.with_stats(x.keys(dim), n=F.max(dim) + 1).withColumn(dim, F.col("n") - 1 - F.col(dim)))
+
+
 @dataclass
 class Sections(Transform):
-    """A cascade of biquads along the axis; ``both_ways`` filters again from the end."""
+    """A cascade of biquads along the axis; ``both_ways`` filters again from the end. With ``block`` a series is filtered by many tasks, so many samples in each."""
 
     sections: list[Section]
     clamp: bool = True
     both_ways: bool = False
     dim: str = "t"
+    block: int | None = None
 
     def apply(self, x: SignalFrame) -> SignalFrame:
+        if self.block:
+            y = in_blocks(x, self.sections, self.clamp, self.dim, self.block)
+            if self.both_ways:
+                y = reversed_series(in_blocks(reversed_series(y, self.dim), self.sections, self.clamp, self.dim, self.block), self.dim)
+            return y
         sections, clamp, both = self.sections, self.clamp, self.both_ways
 
         def run(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -146,35 +271,95 @@ class Sections(Transform):
         return by_series(x, self.dim, run)
 
 
-def highpass(cutoff: float, fs: float, order: int = 4, q: float = 0.707, clamp: bool = True) -> Sections:
+def highpass(cutoff: float, fs: float, order: int = 4, q: float = 0.707, clamp: bool = True, block: int | None = None) -> Sections:
     """``order`` passes of one second-order section."""
-    return Sections([biquad("high", cutoff, fs, q)] * order, clamp)
+    return Sections([biquad("high", cutoff, fs, q)] * order, clamp, block=block)
+
+
+def lowpass(cutoff: float, fs: float, order: int = 4, q: float = 0.707, clamp: bool = True, block: int | None = None) -> Sections:
+    return Sections([biquad("low", cutoff, fs, q)] * order, clamp, block=block)
+
+
+def bandpass(low: float, high: float, fs: float, order: int = 4, q: float = 0.707, clamp: bool = True, block: int | None = None) -> Sections:
+    return Sections([biquad("high", low, fs, q)] * order + [biquad("low", high, fs, q)] * order, clamp, block=block)
+
+
+@dataclass
+class ChunkedSections(Transform):
+    """A cascade over chunks of series: ``chunk`` numbers pieces of ``size`` samples of a series along ``dim``.
+
+    Continuous, the filter's state goes on from chunk to chunk, so the result is that of the whole series. Else each chunk starts from silence,
+    after ``overlap`` samples of the chunks before it that only warm the filter up.
+    """
+
+    sections: list[Section]
+    size: int
+    clamp: bool = True
+    continuous: bool = True
+    overlap: int = 0
+    both_ways: bool = False
+    chunk: str = "chunk"
+    dim: str = "t"
+    block: int | None = None
+
+    def apply(self, x: SignalFrame) -> SignalFrame:
+        if self.chunk not in x.axes:
+            raise ValueError(f"no axis {self.chunk!r} among {x.axes}")
+        run = Sections(self.sections, self.clamp, self.both_ways, self.dim, self.block)
+        at, t = F.col(self.chunk) * self.size + F.col(self.dim), F.col(self.dim)
+        if self.continuous:
+            y = run(x.to(x.df.withColumn(self.dim, at), x.keys(self.chunk)))
+            made = y.df.withColumns({self.chunk: F.floor(t / self.size), self.dim: t % self.size})
+        elif self.overlap:
+            # Each chunk gets the last samples before it; the first ones have fewer.
+            seen = blocks.with_halo(x.df.withColumn(self.dim, at).drop(self.chunk), self.dim, self.overlap, block=self.size)
+            ends = x.df.groupBy(*x.keys(self.chunk, self.dim)).agg(F.max(self.chunk).alias("__chunks")) if x.keys(self.chunk, self.dim) else x.df.agg(F.max(self.chunk).alias("__chunks"))
+            seen = (seen.join(ends, x.keys(self.chunk, self.dim)) if x.keys(self.chunk, self.dim) else seen.join(F.broadcast(ends))).where(F.col("__block") <= F.col("__chunks"))
+            warm = F.least(F.lit(self.overlap), F.col("__block") * self.size)
+            y = run(x.to(seen.withColumns({self.chunk: F.col("__block"), self.dim: t - F.col("__block") * self.size + warm})))
+            made = y.df.withColumn(self.dim, t - F.least(F.lit(self.overlap), F.col(self.chunk) * self.size)).where(t >= 0)
+        else:
+            made = run(x).df
+        return x.to(made)
 
 
-def lowpass(cutoff: float, fs: float, order: int = 4, q: float = 0.707, clamp: bool = True) -> Sections:
-    return Sections([biquad("low", cutoff, fs, q)] * order, clamp)
+def band(freq: float, width: float, fs: float, n: int) -> tuple[int, int]:
+    """The first and the last Fourier bin within the band, of ``n`` samples; none where the first is the later one."""
+    return max(0, math.ceil((freq - width / 2) * n / fs)), min(math.floor((freq + width / 2) * n / fs), n // 2)
 
 
-def bandpass(low: float, high: float, fs: float, order: int = 4, q: float = 0.707, clamp: bool = True) -> Sections:
-    return Sections([biquad("high", low, fs, q)] * order + [biquad("low", high, fs, q)] * order, clamp)
+def chirp(x: np.ndarray, a: int, b: int, m: int, n: int) -> np.ndarray:
+    """Sums over i of x[i] exp(-2 pi I (a + i) (b + k) / n) for k below ``m``, by one convolution; exponents are reduced as whole numbers first."""
+    turn = lambda e: np.exp(-1j * np.pi / n * (e % (2 * n)))
+    i, k = np.arange(len(x), dtype=np.int64), np.arange(m, dtype=np.int64)
+    size = 1 << (len(x) + m - 1).bit_length()
+    kernel = np.zeros(size, complex)
+    kernel[:m] = np.conj(turn(k * k))
+    kernel[size - len(x) + 1 :] = np.conj(turn(i * i))[:0:-1]
+    made = np.fft.ifft(np.fft.fft(x * turn(2 * (b % n) * i + i * i), size) * np.fft.fft(kernel))[:m]
+    return made * turn(2 * (a % n) * k + k * k) * turn(np.array(2 * (a * b % n)))
 
 
 @dataclass
 class Notch(Transform):
-    """Remove every Fourier bin within ``width`` around ``freq``, edges included."""
+    """Remove every Fourier bin within ``width`` around ``freq``, edges included. With ``block`` a series is spread over tasks, so many samples and bins in each."""
 
     freq: float
     width: float = 2.0
     fs: float = 2048.0
     dim: str = "t"
+    block: int | None = None
 
     def apply(self, x: SignalFrame) -> SignalFrame:
         freq, width, fs = self.freq, self.width, self.fs
+        if self.block:
+            one = SignalFrame(x.df.withColumn("__series", F.lit(0).cast("long")), ("__series", *x.axes))
+            return self._in_blocks(x, self.block) if x.keys(self.dim) else x.to(self._in_blocks(one, self.block).df)
 
         def run(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
             starts, out = np.cumsum(sizes) - sizes, values.astype(float)
             for n in np.unique(sizes):
-                lo, hi = max(0, math.ceil((freq - width / 2) * n / fs)), min(math.floor((freq + width / 2) * n / fs), n // 2)
+                lo, hi = band(freq, width, fs, int(n))
                 if lo <= hi:
                     places = starts[sizes == n][:, None] + np.arange(n)
                     bins = np.fft.rfft(values[places])
@@ -184,6 +369,40 @@ class Notch(Transform):
 
         return by_series(x, self.dim, run)
 
+    def _in_blocks(self, x: SignalFrame, block: int) -> SignalFrame:
+        freq, width, fs, dim, keys = self.freq, self.width, self.fs, self.dim, x.keys(self.dim)
+        by = [*keys, "__block"]
+        rows = x.with_stats(keys, n=F.max(dim) + 1).select(*keys, F.floor(F.col(dim) / block).alias("__block"), dim, "value", "n")
+        bins_schema = T.StructType([*[f for f in rows.schema.fields if f.name in keys], *[T.StructField(c, t) for c, t in (("k", T.LongType()), ("re", T.DoubleType()), ("im", T.DoubleType()))]])
+        waves_schema = x.df.select(*keys, dim, "value").schema
+        bins_arrow, waves_arrow = to_arrow_schema(bins_schema), to_arrow_schema(waves_schema)
+
+        def sums(t: pa.Table) -> pa.Table:
+            """What the block adds to the Fourier sums of the band."""
+            t = t.sort_by(dim)
+            n, lo = t["n"][0].as_py(), 0
+            lo, hi = band(freq, width, fs, n)
+            made = [chirp(t["value"].to_numpy(), t[dim][0].as_py(), k, min(block, hi + 1 - k), n) for k in range(lo, hi + 1, block)]
+            c = np.concatenate(made) if made else np.zeros(0, complex)
+            return pa.table([*[pa.array(np.full(len(c), t[k][0].as_py(), np.int64)) for k in keys], pa.array(lo + np.arange(len(c))), pa.array(c.real), pa.array(c.imag)], schema=bins_arrow)
+
+        def waves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The wave of a run of bins over a block, turned round."""
+            for b in batches:
+                for r in b.to_pylist():
+                    n, bins = r["n"], sorted(r["bins"], key=lambda v: v["k"])
+                    weight = np.array([1 if v["k"] == 0 or 2 * v["k"] == n else 2 for v in bins]) / n
+                    y = chirp(weight * np.array([v["re"] - 1j * v["im"] for v in bins]), bins[0]["k"], r["first"], r["size"], n).real
+                    columns = [pa.array(np.full(len(y), r[k], np.int64)) for k in keys]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(r["first"] + np.arange(len(y))), pa.array(-y)], schema=waves_arrow)
+
+        bins = rows.groupBy(*by).applyInArrow(sums, bins_schema).groupBy(*keys, "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+        # Bins lie without gaps, so a run of them has ``block`` at most.
+        runs = bins.groupBy(*keys, F.floor(F.col("k") / block).alias("__run")).agg(F.collect_list(F.struct("k", "re", "im")).alias("bins"))
+        parts = rows.groupBy(*by).agg(F.min(dim).alias("first"), F.count("*").alias("size"), F.first("n").alias("n"))
+        made = parts.join(runs, keys).select(*keys, "first", "size", "n", "bins").mapInArrow(waves, waves_schema)
+        return x.to(x.df.select(*keys, dim, "value").unionByName(made).groupBy(*keys, dim).agg(F.sum("value").alias("value")))
+
 
 def spectral_interpolation(freq: float, fs: float, bandwidth: float = 2.0, harmonics: int = 3) -> list[Notch]:
     """A notch at the frequency and each harmonic, for ``Compose``."""

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from math import prod
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..frame import SignalFrame, Transform
+from . import blocks
+from .windows import WindowFeature, features
+from ..frame import Compose, Identity, SignalFrame, Transform
 
 
 def _length(x: SignalFrame, dim: str) -> DataFrame:
@@ -177,26 +179,61 @@ class Diff(Transform):
     dim: str = "t"
 
     def apply(self, x: SignalFrame) -> SignalFrame:
-        along, df = Window.partitionBy(*x.keys(self.dim)).orderBy(self.dim), x.df
+        df, along = blocks.with_halo(x.df, self.dim, self.n), blocks.along(x.keys(self.dim), self.dim)
         for _ in range(self.n):
-            df = df.withColumn("value", F.col("value") - F.lag("value").over(along)).where(F.col(self.dim) > 0).withColumn(self.dim, F.col(self.dim) - 1)
-        return x.to(df)
+            df = df.withColumn("value", F.col("value") - F.lag("value").over(along))
+        return x.to(blocks.own(df, self.dim).where(F.col(self.dim) >= self.n).withColumn(self.dim, F.col(self.dim) - self.n))
+
+
+def _steps(f: Callable[[SignalFrame], SignalFrame]) -> list[Callable[[SignalFrame], SignalFrame]]:
+    """The operators that a branch runs in turn."""
+    if isinstance(f, Compose):
+        return [s for g in f.steps for s in _steps(g)]
+    return [] if isinstance(f, Identity) else [f]
+
+
+def _same(f: Callable, g: Callable) -> bool:
+    """Whether two steps are the same operator with the same parameters."""
+    return f is g or (isinstance(f, Transform) and type(f) is type(g) and all(type(v) is type(g.params[k]) and str(v) == str(g.params[k]) for k, v in f.params.items()) and all(isinstance(v, (int, float, str, bool, list, tuple, type(None))) for v in f.params.values()))
 
 
 @dataclass
 class Stack(Transform):
-    """Branches of one input along a new first axis, numbered in their order."""
+    """Branches of one input along a new first axis, numbered in their order.
+
+    Steps that all branches begin with run once, and features of the same windows are one aggregate whose columns become rows.
+    """
 
     branches: dict[str, Callable[[SignalFrame], SignalFrame]]
     dim: str = "representation"
     makes_dim = True
 
     def apply(self, x: SignalFrame) -> SignalFrame:
-        made = [f(x) for f in self.branches.values()]
-        if len({m.axes for m in made}) != 1:
+        rest = [_steps(f) for f in self.branches.values()]
+        while len(rest) > 1 and all(rest) and all(_same(r[0], rest[0][0]) for r in rest[1:]):
+            x, rest = rest[0][0](x), [r[1:] for r in rest]
+        fused: dict[tuple, list[int]] = {}
+        for k, r in enumerate(rest):
+            if len(r) == 1 and isinstance(r[0], WindowFeature):
+                key = (r[0].window_size, r[0].stride or r[0].window_size, x.axis(r[0].dim))
+                fused.setdefault(key, []).append(k)
+            else:
+                fused[k,] = [k]
+        parts, axes = [], set()
+        for key, places in fused.items():
+            if len(key) == 3:
+                made, name = [replace(rest[k][0], dim=key[2]) for k in places], F.array(*[F.lit(k).cast("long") for k in places])
+                df = features(x, made).select(*x.axes, F.posexplode(F.array(*[f"f{k}" for k in range(len(made))])).alias("__at", "value"))
+                parts.append(df.withColumn(self.dim, name[F.col("__at")]))
+                axes.add(x.axes)
+            else:
+                y = reduce(lambda z, f: f(z), rest[places[0]], x)
+                parts.append(y.df.withColumn(self.dim, F.lit(places[0]).cast("long")))
+                axes.add(y.axes)
+        if len(axes) != 1:
             raise ValueError("the branches' axes differ")
-        parts = [m.df.withColumn(self.dim, F.lit(k).cast("long")) for k, m in enumerate(made)]
-        return x.to(reduce(DataFrame.unionByName, parts), (self.dim, *made[0].axes))
+        own = axes.pop()
+        return x.to(reduce(DataFrame.unionByName, [p.select(self.dim, *own, "value") for p in parts]), (self.dim, *own))
 
 
 @dataclass

@@ -11,11 +11,12 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..frame import Compose, Identity, Lambda, SignalFrame, signal
 from ..functions import elementwise as e
-from ..operators import augment as g, filters as fl, normalize as n, shape as s, spatial as sp, windows as w
+from ..operators import augment as g, filters as fl, normalize as n, shape as s, spatial as sp, wavelets as wv, windows as w
 from ..sources import datasets as ds
 from ..sources.containers import Recording
 from . import presets
@@ -81,6 +82,22 @@ _ev("win_slope_sign_changes_halved", w.SlopeSignChanges(16, 8, halved=True), "co
 _ev("chunks", w.Chunk(20, 10), "value", "from win", "channel, win as chunk, pos as t", more=_windowed(20, 10))
 _ev("median_filter", w.Median(5), "m", "from (select e.channel, e.t, q.m from ev e join len using (channel) join (select channel, t, median(value) over (partition by channel order by t rows between 2 preceding and 2 following) as m from ev) q on q.channel = e.channel and q.t = least(greatest(e.t, 2), n - 3))")
 
+# Functions of whole windows that aren't aggregates of a column.
+def _entropy(v: np.ndarray) -> np.ndarray:
+    p = np.abs(v) / np.abs(v).sum(axis=1, keepdims=True)
+    return -(p * np.log(np.where(p > 0, p, 1))).sum(axis=1)
+
+
+def _kurtosis(v: np.ndarray) -> np.ndarray:
+    d = v - v.mean(axis=1, keepdims=True)
+    return (d**4).mean(axis=1) / (d**2).mean(axis=1) ** 2
+
+
+_win_of = "from (select *, sum(abs(value)) over c as total, avg(value) over c as mean from win window c as (partition by channel, win)) group by channel, win"
+_ev("win_entropy", w.WindowFunction(16, 8, _entropy), "sum(case when value <> 0 then -abs(value) / total * ln(abs(value) / total) else 0 end)", _win_of, "channel, win as t", more=_windowed(16, 8))
+_ev("win_kurtosis_gaps", w.WindowFunction(5, 7, _kurtosis), "avg((value - mean) ** 4) / avg((value - mean) ** 2) ** 2", _win_of, "channel, win as t", more=_windowed(5, 7))
+_ev("stack_windows", s.Stack({"wl": Compose([e.Rectify(), w.WaveformLength(16, 8)]), "rms": Compose([e.Rectify(), w.RMS(16, 8)]), "entropy": Compose([e.Rectify(), w.WindowFunction(16, 8, _entropy)]), "sum": Compose([Identity(), e.Rectify(), w.IAV(16, 8)])}), "case r when 0 then f0 when 1 then f1 when 2 then f2 else f3 end", "from agg, (values (0), (1), (2), (3)) v(r)", "r::bigint as representation, channel, t", more=_windowed(16, 8) + ", agg as (select channel, win as t, coalesce(sum(abs(abs(value) - abs(p1))), 0) as f0, sqrt(avg(value * value)) as f1, sum(case when value <> 0 then -abs(value) / total * ln(abs(value) / total) else 0 end) as f2, sum(abs(value)) as f3 from (select *, sum(abs(value)) over (partition by channel, win) as total from win) group by channel, win)")
+
 # Elementwise.
 _ev("rectify", lambda x: e.Rectify()(x.with_value(F.col("value") - 100)), "abs(value - 100)")
 _ev("clamp_range", e.ClampRange(20, 200), "least(greatest(value, 20), 200)")
@@ -218,6 +235,51 @@ def _notch(freq: float, width: float, src: str, tag: str) -> str:
 _ev("notch", fl.Notch(300.0, 60.0, 2048.0), "value", "from gone", more=_notch(300.0, 60.0, "ev", ""))
 _ev("spectral_interpolation", Compose(fl.spectral_interpolation(300.0, 2048.0, 60.0, 2)), "value", "from gone2", more=f"{_notch(300.0, 60.0, 'ev', '1')}, {_notch(600.0, 60.0, 'gone1', '2')}")
 
+# The same filters with every series in blocks of 16 samples, so the shortest one has several: the SQL is that of the whole series.
+for _name, _op, _scale in [("bandpass_blocks", fl.bandpass(20.0, 450.0, 2048.0, block=16), 0.002), ("lowpass_clamped_blocks", fl.lowpass(400.0, 2048.0, 2, block=16), 1.0), ("lowpass_noclamp_blocks", fl.lowpass(20.0, 2048.0, clamp=False, block=16), 1.0)]:
+    _add(_name, (lambda o, c: lambda spark, d: o(events(spark, d, c)))(_op, _scale), _iir_sql(_op.sections, _op.clamp, _scale))
+_add("sos_both_ways_blocks", lambda spark, d: fl.Sections(_BOTH.sections, clamp=False, both_ways=True, block=16)(events(spark, d)), _SQL["sos_both_ways"])
+_add("notch_blocks", lambda spark, d: fl.Notch(300.0, 60.0, 2048.0, block=16)(events(spark, d)), _SQL["notch"])
+
+
+def _chunked(x: SignalFrame, size: int = 16) -> SignalFrame:
+    return x.to(x.df.withColumns({"chunk": F.floor(F.col("t") / size), "t": F.col("t") % size}), ("channel", "chunk", "t"))
+
+
+_SOS = fl.lowpass(20.0, 2048.0, 2, clamp=False).sections
+_passes, _out = _iir(_SOS, False)
+_ev("sos_continuous", lambda x: fl.ChunkedSections(_SOS, 16, clamp=False)(_chunked(x)), "value", f"from {_out}", "channel, t // 16 as chunk, t % 16 as t", more=_passes)
+_ev("sos_continuous_blocks", lambda x: fl.ChunkedSections(_SOS, 16, clamp=False, block=24)(_chunked(x)), "value", f"from {_out}", "channel, t // 16 as chunk, t % 16 as t", more=_passes)
+# Chunks that start from silence, after up to six samples of the one before: each is a series of its own in the SQL.
+for _name, _overlap in (("sos_overlap", 6), ("sos_by_chunk", 0)):
+    _passes, _out = _iir(_SOS, False, "ch")
+    _pieces = f"ch as (select e.channel * 1000 + c.c as channel, e.t - greatest(0, c.c * 16 - {_overlap}) as t, e.value from ev e join len using (channel), range(0, 1000) c(c) where c.c * 16 < n and e.t >= c.c * 16 - {_overlap} and e.t < c.c * 16 + 16)"
+    _ev(_name, (lambda o: lambda x: fl.ChunkedSections(_SOS, 16, clamp=False, continuous=False, overlap=o)(_chunked(x)))(_overlap), "value", f"from (select channel // 1000 as channel, channel % 1000 as chunk, t + greatest(0, channel % 1000 * 16 - {_overlap}) - channel % 1000 * 16 as t, value from {_out}) where t >= 0", "channel, chunk, t", more=f"{_pieces}, {_passes}")
+
+
+# Wavelets. In SQL, each level joins its coefficients with the places of their taps.
+def _wavelet(wavelet: str, level: int) -> str:
+    low, high = wv.taps(wavelet)
+    values = ", ".join(f"({j}, {h!r}::double, {g!r}::double)" for j, (h, g) in enumerate(zip(low, high, strict=True)))
+    parts = [f"tap as (select * from (values {values}) v(j, h, g))", "a0 as (select channel, t, value, n from ev join len using (channel))"]
+    for k in range(1, level + 1):
+        parts.append(f"""w{k} as (select s.channel, c as t, sum(e.value * h) as value, sum(e.value * g) as high, (s.n + 1) // 2 as n
+            from (select distinct channel, n from a{k - 1}) s, unnest(range(0, (s.n + 1) // 2)) u(c), tap, a{k - 1} e
+            where e.channel = s.channel and e.t = least((2 * c + j) % (s.n + s.n % 2), s.n - 1) group by s.channel, c, s.n)""")
+        parts.append(f"a{k} as (select channel, t, value, n from w{k})")
+    return ", ".join(parts)
+
+
+for _wavelet_name in ("haar", "db2"):
+    _bands = f"select 0::bigint as band, channel, t, value from w2 {' '.join(f'union all select {3 - k}, channel, t, high from w{k}' for k in (1, 2))}"
+    _ev(f"wavelet_{_wavelet_name}", wv.Decompose(_wavelet_name, 2), "value", f"from ({_bands})", "band, channel, t", more=_wavelet(_wavelet_name, 2))
+_add("wavelet_roundtrip", lambda spark, d: wv.Reconstruct(events(spark, d).df.groupBy("channel").agg((F.max("t") + 1).alias("n")), "db2", 3)(wv.Decompose("db2", 3)(events(spark, d))), f"with {EV} select channel, t, round(value, 6) + 0.0::double as value from ev")
+_add(
+    "wavelet_augment", lambda spark, d: wv.WaveletDecomposition([0.5, 2.0, 0.0], "haar", 1, 16)(grid_signal(spark, d)),
+    f"""with {EMB}, pair as (select a.channel, a.t, a.value, (a.value + coalesce(b.value, a.value)) / 2 as smooth from em a left join em b on b.channel = a.channel and b.t = case when a.t % 2 = 0 then a.t + 1 else a.t - 1 end)
+        select channel, t, round(smooth + (value - smooth) * case channel // 16 when 0 then 0.5::double when 1 then 2.0::double when 2 then 0.0::double else 1.0::double end, 6) + 0.0::double as value from pair""",
+)
+
 # Augmentation with given draws, then drawn ones (rows only).
 _lin = "from (select channel, t, value, n, t * 3.0::double / (n - 1) as ap from ev join len using (channel))"
 _ev("magnitude_warp_apply", g.MagnitudeWarp([1.0, 0.8, 1.3, 0.9]), "value * (lo + (hi - lo) * (ap - k))", "from (select *, ([1.0, 0.8, 1.3, 0.9]::double[])[k + 1] as lo, ([1.0, 0.8, 1.3, 0.9]::double[])[least(k + 2, 4)] as hi from (select *, least(floor(ap), 2)::int as k " + _lin + "))")
