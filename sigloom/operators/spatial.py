@@ -40,6 +40,27 @@ def create_grid_layout(spark: SparkSession, rows: int, cols: int, n_electrodes:
     return cells.join(gap, ["row", "col"], "left").withColumn("at", at).select("grid", "row", "col", F.when(F.col("gap").isNull() & (F.col("at") < n), F.col("at")).otherwise(-1).cast("int").alias("electrode"))
 
 
+def grid_layouts(sizes: DataFrame, gaps: DataFrame | None = None, fill_pattern: str = "row") -> DataFrame:
+    """``create_grid_layout`` of many grids at once, from tables: ``sizes`` (grid, n_rows, n_cols, n_electrodes), ``gaps`` (grid, row, col). It is an error if electrodes don't fit.
+
+    Cells are counted per line of a grid first, so a task numbers one line and sees one row per line.
+    """
+    if fill_pattern not in ("row", "column"):
+        raise ValueError("fill_pattern is 'row' or 'column'")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    cells = sizes.withColumn("row", every("n_rows")).withColumn("col", every("n_cols")).select("grid", "row", "col", "n_electrodes")
+    cells = cells.withColumn("gap", F.lit(False)) if gaps is None else cells.join(gaps.select("grid", "row", "col").distinct().withColumn("gap", F.lit(True)), ["grid", "row", "col"], "left").fillna(False, ["gap"])
+    line, within = ("row", "col") if fill_pattern == "row" else ("col", "row")
+    valid = F.when(F.col("gap"), 0).otherwise(1)
+    lines = cells.groupBy("grid", line).agg(F.sum(valid).alias("n"), F.first("n_electrodes").alias("asked"))
+    of_grid = Window.partitionBy("grid").orderBy(line)
+    lines = lines.withColumns({"before": F.sum("n").over(of_grid) - F.col("n"), "fit": F.sum("n").over(Window.partitionBy("grid")) >= F.col("asked")})
+    at = F.col("before") + F.sum(valid).over(Window.partitionBy("grid", line).orderBy(within)) - 1
+    numbered = cells.join(lines.select("grid", line, "before", "fit"), ["grid", line]).withColumn("at", at)
+    right = F.when(~F.col("fit"), F.raise_error(F.lit("more electrodes than cells")).cast("int")).when(~F.col("gap") & (F.col("at") < F.col("n_electrodes")), F.col("at")).otherwise(-1)
+    return numbered.select("grid", "row", "col", right.cast("int").alias("electrode"))
+
+
 def check_grids(grids: DataFrame) -> None:
     """Every grid has an electrode and none twice."""
     valid = F.when(F.col("electrode") >= 0, F.col("electrode"))

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..frame import Compose, Identity, Lambda, SignalFrame, signal
 from ..functions import elementwise as e
-from ..operators import augment as g, filters as fl, normalize as n, shape as s, spatial as sp, wavelets as wv, windows as w
-from ..sources import datasets as ds
+from ..operators import augment as g, filters as fl, indexing as ix, normalize as n, shape as s, spatial as sp, wavelets as wv, windows as w
+from ..sources import arrays as ar, datasets as ds
 from ..sources.containers import Recording
 from . import presets
 
@@ -137,10 +137,10 @@ _ev("mean_channel", n.Mean("channel"), "avg(value)", "from ev group by t", "t")
 
 def _joints(spark: SparkSession, sf_dir: str) -> SignalFrame:
     x = grid_signal(spark, sf_dir)
-    return x.to(x.df.where("channel < 60").selectExpr("t as batch", "channel div 3 as joint", "channel % 3 as xyz", "value"), ("batch", "joint", "xyz"))
+    return x.to(x.df.where("channel < 63").selectExpr("t as batch", "channel div 3 as joint", "channel % 3 as xyz", "value"), ("batch", "joint", "xyz"))
 
 
-_add("euclidean_distance", lambda spark, d: n.euclidean_distance(_joints(spark, d), g.Scale(0.5)(_joints(spark, d))).select(F.round("value", 6).alias("value")), f"with {EMB} select round(avg(d), 6) as value from (select sqrt(sum((value * 0.5::double) ** 2)) as d from em where channel < 60 group by t, channel // 3)")
+_add("euclidean_distance", lambda spark, d: n.euclidean_distance(_joints(spark, d), g.Scale(0.5)(_joints(spark, d))).select(F.round("value", 6).alias("value")), f"with {EMB} select round(avg(d), 6) as value from (select sqrt(sum((value * 0.5::double) ** 2)) as d from em where channel < 63 group by t, channel // 3)")
 _add("mae", lambda spark, d: n.mean_absolute_error(events(spark, d), g.Scale(0.5)(events(spark, d))).select(F.round("value", 6).alias("value")), f"with {EV} select round(avg(abs(value - value * 0.5::double)), 6) as value from ev")
 _add("memory_usage", lambda spark, d: n.memory_usage(events(spark, d), "channel"), f"with {EV} select channel, count(*) * 8 as n_bytes from ev group by channel")
 
@@ -149,8 +149,11 @@ _ev("index_int", s.Index(3, "t"), "value", "from ev where t = 3", "channel")
 _ev("index_negative", lambda x: s.Index(-1, "channel")(x), "value", "from ev where channel = (select max(channel) from ev)", "t")
 _ev("index_slice", s.Index(slice(4, 40, 3), "t"), "value", "from ev where t >= 4 and t < 40 and (t - 4) % 3 = 0", "channel, (t - 4) // 3 as t")
 _ev("index_gather", s.Index([7, 2, 2, 0], "t"), "value", "from ev join (values (0, 7), (1, 2), (2, 2), (3, 0)) g(pos, src) on t = src", "channel, pos::bigint as t")
+_ev("index_pairs", ix.IndexPairs({"channel": [0, 5, 5, 2], "t": [3, 0, 44, 1]}), "value", "from ev join (values (0, 0, 3), (1, 5, 0), (2, 5, 44), (3, 2, 1)) g(pos, c, k) on ev.channel = c and ev.t = k", "pos::bigint as channel")
+_ev("index_mask", lambda x: ix.IndexMask(x.to(x.df.withColumn("value", (F.col("value") > 100).cast("double"))), block=64)(x), "value", "from ev where value > 100", "row_number() over (order by channel, t) - 1 as channel")
+_ev("index_expression", ix.At((Ellipsis, [True, False, False, True, True])), "value", "from ev join (values (0, 0), (1, 3), (2, 4)) g(pos, src) on t = src", "channel, pos::bigint as t")
 _add("reshape", lambda spark, d: s.Reshape((-1, 4, 16), ("t", "row", "col"), (None, 64))(grid_signal(spark, d).to(grid_signal(spark, d).df, ("t", "channel"))), f"with {EMB} select t, channel // 16 as row, channel % 16 as col, round(value, 6) + 0.0::double as value from em")
-_add("flatten", lambda spark, d: s.Flatten(1, 2, [3])(_joints(spark, d)), f"with {EMB} select t as batch, channel as joint, round(value, 6) + 0.0::double as value from em where channel < 60")
+_add("flatten", lambda spark, d: s.Flatten(1, 2, [3])(_joints(spark, d)), f"with {EMB} select t as batch, channel as joint, round(value, 6) + 0.0::double as value from em where channel < 63")
 _ev("squeeze_unsqueeze", Compose([s.Unsqueeze(0, "batch"), s.Unsqueeze(-1, "extra"), s.Squeeze("extra")]), "value", axes="0::bigint as batch, channel, t")
 _ev("transpose", s.Transpose(["t", "channel"]), "value")
 _ev("repeat", s.Repeat(3), "value", "from ev, unnest(range(0, 3)) r(r)", "channel + r * (select max(channel) + 1 from ev) as channel, t")
@@ -190,9 +193,21 @@ _add("split_by_grid", lambda spark, d: s.split_by_grid(grid_signal(spark, d), 16
 _add("grid_round_trip", lambda spark, d: sp.grid_to_channels(sp.channels_to_grid(grid_signal(spark, d, _GAPS)), grid_signal(spark, d, _GAPS).grids), f"with {EMB} select channel, t, round(value, 6) + 0.0::double as value from em where channel < 61")
 _add("circular_pad", lambda spark, d: s.circular_pad(_cells(spark, d), "row", "col", 2, 3), f"with {EMB} select t, r + 2 as row, c + 3 as col, round(value, 6) + 0.0::double as value from range(-2, 10) a(r), range(-3, 11) b(c), em where channel = (r + 8) % 8 * 8 + (c + 8) % 8")
 _add("channels_to_grid", lambda spark, d: sp.channels_to_grid(grid_signal(spark, d)), f"with {EMB} select 0 as grid, channel // 8 as row, channel % 8 as col, t, round(value, 6) + 0.0::double as value from em")
-_add("grid_layout_row", lambda spark, d: sp.create_grid_layout(spark, 5, 5, 20, "row", [(0, 0), (2, 2)]), "select 0 as grid, r::int as row, c::int as col, case when gap or k >= 20 then -1 else k end::int as electrode from (select *, sum((not gap)::int) over (order by r, c) - 1 as k from (select r, c, (r = 0 and c = 0) or (r = 2 and c = 2) as gap from range(0, 5) a(r), range(0, 5) b(c)))")
-_add("grid_layout_column", lambda spark, d: sp.create_grid_layout(spark, 5, 5, 20, "column", [(0, 0), (2, 2)]), _SQL["grid_layout_row"].replace("order by r, c", "order by c, r"))
-_add("grid_dims", lambda spark, d: sp.grid_dimensions(sp.create_grid_layout(spark, 5, 4, missing=[(0, 0)])), "select 0 as grid, 5 as n_rows, 4 as n_cols, 19::bigint as n_electrodes")
+
+
+def _label_grids(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
+    """A grid of 8 columns per label, with an electrode for each of its vectors and a gap in its second row."""
+    count = F.count("*")
+    sizes = spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy(F.col("label").alias("grid")).agg(F.greatest(F.lit(2), F.ceil((count + 1) / 8)).cast("int").alias("n_rows"), F.lit(8).alias("n_cols"), count.alias("n_electrodes"))
+    return sp.grid_layouts(sizes, sizes.select("grid", F.lit(1).alias("row"), (F.col("grid") % 8).alias("col")), pattern)
+
+
+_GRID_SQL = """sz as (select label as grid, greatest(2, ceil((count(*) + 1) / 8.0::double))::int as n_rows, count(*) as n from embeddings group by label),
+    cell as (select grid, r, c, n, r = 1 and c = grid % 8 as gap from sz, unnest(range(0, n_rows)) a(r), range(0, 8) b(c)),
+    lay as (select grid, r::int as row, c::int as col, case when gap or sum((not gap)::int) over (partition by grid order by {}) > n then -1 else sum((not gap)::int) over (partition by grid order by {}) - 1 end::int as electrode from cell)"""
+for _pattern, _order in (("row", "r, c"), ("column", "c, r")):
+    _add(f"grid_layout_{_pattern}", (lambda p: lambda spark, d: _label_grids(spark, d, p))(_pattern), f"with {_GRID_SQL.format(_order, _order)} select * from lay")
+_add("grid_dims", lambda spark, d: sp.grid_dimensions(_label_grids(spark, d, "row")), f"with {_GRID_SQL.format('r, c', 'r, c')} select grid, max(row) + 1 as n_rows, max(col) + 1 as n_cols, sum((electrode >= 0)::int) as n_electrodes from lay group by grid")
 
 
 # Filters. In SQL, a pass is a recursion over t for all series at once.
@@ -394,8 +409,41 @@ _add("windows_random", lambda spark, d: ds.random_starts(_recordings(spark, d),
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share; a local one only where none is set, as in tests."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/signals/{uuid.uuid4().hex[:12]}"
+    """A new folder that all executors share; a local one only where none is set, and in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster") and not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or 'file://' + tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/signals/{uuid.uuid4().hex[:12]}"
+
+
+def _from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = ds.BucketedStore(spark, f"recordings_{uuid.uuid4().hex[:12]}", _scratch(spark), block=32, buckets=8)
+    store.write(_recordings(spark, sf_dir))
+    got = store.fetch(ds.window_starts(store.read(), 20, 10), 20)
+    return got.select("window_id", "task", "start", "t", F.round("value", 6).alias("value"))
+
+
+_add("windows_fetch_store", _from_store, _SQL["windows_fetch"])
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = ds.fetch_windows(_recordings(spark, sf_dir), ds.window_starts(_recordings(spark, sf_dir), 20, 10), 20)
+    made = ds.dense_batches(signal(got.select(F.col("window_id").alias("batch"), "t", "value"), ("batch", "t")), 32, (20,), "float64")
+    weighted = F.aggregate(F.transform("data", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return made.select("batch", F.element_at("items", 1).alias("first"), F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape"), F.round(weighted, 4).alias("weighted"))
+
+
+_add("dense_batches", _dense, f"with {_REC}, {_STARTS} select window_id // 32 as batch, min(window_id) as first, count(distinct window_id) || 'x20' as shape, round(sum(value * (window_id % 32 * 20 + rec.t - start + 1)), 4) as weighted from st join rec using (task) where rec.t between start and start + 19 group by window_id // 32")
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> SignalFrame:
+    x, path = grid_signal(spark, sf_dir), _scratch(spark)
+    ar.write_chunks(x.to(x.df, ("t", "channel")), path, block=64)
+    y = ar.read_array(spark, path, ("t", "channel"), "t", block=64)
+    return y.to(y.df.where("t >= 100 and t < 180 and channel <> 3"))
+
+
+_add("npy_scan", _scanned, f"with {EMB} select channel, t, round(value, 6) + 0.0::double as value from em where t >= 100 and t < 180 and channel <> 3")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -415,7 +463,7 @@ _add(
 )
 _add("storage_sizes", lambda spark, d: ds.storage_sizes(ds.center_split(_recordings(spark, d), ["task"])).withColumn("mb", F.round("mb", 9)), f"with {_REC}, {_split_sql(0.2, 0.2)} select split, count(*) as n, round(count(*) * 4 / 1048576.0::double, 9) as mb from done group by split")
 _add("split_summary", lambda spark, d: ds.split_summary(ds.center_split(_recordings(spark, d), ["task"])), f"with {_REC}, {_split_sql(0.2, 0.2)} select split, count(distinct task) as tasks, max(t) + 1 as longest, count(*) as n from done group by split")
-_add("sample_shapes", lambda spark, d: ds.sample_shapes(_joints(spark, d).df, ("batch", "joint", "xyz")), f"with {EMB} select max(t) + 1 as batch, 20::bigint as joint, 3::bigint as xyz from em")
+_add("sample_shapes", lambda spark, d: ds.sample_shapes(_joints(spark, d).df, ("batch", "joint", "xyz")), f"with {EMB} select max(t) + 1 as batch, 21::bigint as joint, 3::bigint as xyz from em")
 _add("label_groups", lambda spark, d: ds.label_groups(_recordings(spark, d)).withColumn("one_hot", F.array_join(F.col("one_hot").cast("array<string>"), "")), f"with {_REC}, names as (select distinct task from rec) select task, row_number() over (order by task) - 1 as label, repeat('0', (row_number() over (order by task) - 1)::int) || '1' || repeat('0', ((select count(*) from names) - row_number() over (order by task))::int) as one_hot from names")
 # Along the first axis, channels: in the SQL they take the place of t.
 _add("split_axis0", lambda spark, d: ds.split_axis(events(spark, d), test_ratio=0.3, val_ratio=0.5).withColumn("value", F.round("value", 6)), f"with {EV}, rec as (select 0 as task, channel as t, value, t as own from ev), {_split_sql(0.3, 0.5).replace('select task, value,', 'select task, value, own,')} select split, seam, t as channel, own as t, round(value, 6) as value from done")
@@ -459,6 +507,16 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("group_store_append", _groups, "select event_id + again * (select max(event_id) + 1 from events) as sample, round(value, 6) as value from events, (values (0), (1)) v(again)")
 
 
+def _doubled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = ds.GroupStore(spark, _scratch(spark))
+    store.add("emg", "training", spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("sample"), "value"))
+    store.augment("training", {"emg": lambda df, turn: df.withColumn("value", F.col("value") * 1.1 + turn)})
+    return store.read("emg", "training").select("sample", F.round("value", 6).alias("value"))
+
+
+_add("group_store_augmented", _doubled, "select event_id + again * (select max(event_id) + 1 from events) as sample, round(case again when 0 then value else value * 1.1::double + 1 end, 6) as value from events, (values (0), (1)) v(again)")
+
+
 def _saved(spark: SparkSession, sf_dir: str) -> SignalFrame:
     path = _scratch(spark)
     Recording.of("emg", events(spark, sf_dir)).with_result("abs", Lambda("value * 2")(events(spark, sf_dir))).with_result("gone", events(spark, sf_dir)).without("Last").save(path)
@@ -485,7 +543,7 @@ _passes, _out = _iir(fl.lowpass(20.0, 2048.0).sections, True)
 _ev("embc_eval", presets.evaluation(), "value", f"from (select 0::bigint as representation, * from ev union all select 1, channel, t, value from {_out})", "representation, channel, t", scale=0.002, more=_passes)
 _ev("embc_train", presets.training(seed=3), f"value + 0.1::double * {_normal_sql(3, ('representation', 'channel', 't'))}", f"from (select 0::bigint as representation, * from ev union all select 1, channel, t, value from {_out})", "representation, channel, t", scale=0.002, more=_passes)
 _add("raw_ndd_rms", lambda spark, d: Compose([sp.SpatialFilter("NDD"), w.RMS(50, 25)])(grid_signal(spark, d)), f"select channel, k.k as t, round(sqrt(avg(value * value)), 6) + 0.0::double as value from ({_spatial_sql(sp.KERNELS['NDD']).replace('round(sum(em.value * weight), 6) + 0.0::double', 'sum(em.value * weight)')}) x, range(0, (select (max(vec_id) + 1 - 50) // 25 + 1 from embeddings)) k(k) where x.t between k.k * 25 and k.k * 25 + 49 group by channel, k.k")
-_add("kinematics_flatten", lambda spark, d: Compose([s.Flatten(1, 2, [3], "channel"), s.Index(slice(3, None), "channel"), n.Mean("batch")])(_joints(spark, d)), f"with {EMB} select channel - 3 as channel, round(avg(value), 6) + 0.0::double as value from em where channel >= 3 and channel < 60 group by channel")
+_add("kinematics_flatten", lambda spark, d: Compose([s.Flatten(1, 2, [3], "channel"), s.Index(slice(3, None), "channel"), n.Mean("batch")])(_joints(spark, d)), f"with {EMB} select channel - 3 as channel, round(avg(value), 6) + 0.0::double as value from em where channel >= 3 and channel < 63 group by channel")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,10 +6,12 @@ A recording table has task, the modality's axes, t and value.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..frame import SignalFrame, signal
@@ -76,6 +78,7 @@ class DatasetCreator:
     modalities: dict[str, DataFrame]
     path: str
     sampling_frequency: float = 2048.0
+    #: The first modality's, if none are given.
     tasks_to_use: list[str] = field(default_factory=list)
     test_ratio: float = 0.2
     val_ratio: float = 0.2
@@ -83,7 +86,8 @@ class DatasetCreator:
     chunk: int = 65_536
 
     def create(self) -> None:
-        used = {n: df.where(F.col("task").isin(self.tasks_to_use)) if self.tasks_to_use else df for n, df in self.modalities.items()}
+        first = next(iter(self.modalities.values())).select("task").distinct()
+        used = {n: df.where(F.col("task").isin(self.tasks_to_use)) if self.tasks_to_use else df.join(first, "task", "left_semi") for n, df in self.modalities.items()}
         for name, df in align_modalities(used).items():
             axes = [c for c in df.columns if c not in ("task", "t", "value")]
             rows = center_split(df, ["task"], self.test_ratio, self.val_ratio).withColumns({"value": F.col("value").cast("float"), "modality": F.lit(name)})
@@ -91,7 +95,8 @@ class DatasetCreator:
             # Axes differ between modalities, so each has its own table; its folder is the first partition level.
             rows.drop("modality").write.mode("overwrite").partitionBy("split", "task").parquet(f"{self.path}/modality={name}")
         spark = next(iter(self.modalities.values())).sparkSession
-        meta = {"sampling_frequency": self.sampling_frequency, "tasks": self.tasks_to_use, "modalities": list(self.modalities), "dims": {n: [c for c in df.columns if c not in ("task", "value")] for n, df in self.modalities.items()}}
+        tasks = self.tasks_to_use or [r[0] for r in first.orderBy("task").collect()]  # names of recordings
+        meta = {"sampling_frequency": self.sampling_frequency, "tasks": tasks, "modalities": list(self.modalities), "dims": {n: [c for c in df.columns if c not in ("task", "value")] for n, df in self.modalities.items()}}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_meta")
 
 
@@ -109,12 +114,24 @@ def read_split(spark: SparkSession, path: str, modality: str, split: str) -> Dat
     return spark.read.schema(schema).parquet(f"{path}/modality={modality}").where(F.col("split") == split)
 
 
-def window_starts(df: DataFrame, size: int, stride: int, recording: str = "task") -> DataFrame:
-    """(window_id, recording, start): every full window, numbered by recording in order of name.
+def _lengths(df: DataFrame, size: int, recording: str, strict: bool) -> DataFrame:
+    """(recording, n) of the recordings that hold a window; ``strict``: the query fails if there is none."""
+    lengths = df.groupBy(recording).agg((F.max("t") + 1).alias("n"))
+    enough = lengths.where(F.col("n") >= size)
+    if not strict:
+        return enough
+    # One row that fails or goes; a union, as a join with no rows wouldn't look at it.
+    told = F.when(F.coalesce(F.max("n"), F.lit(0)) < size, F.raise_error(F.lit(f"no recording is long enough for windows of {size} samples")).cast("long")).otherwise(F.lit(None).cast("long"))
+    guard = lengths.agg(told.alias("n")).where("n is not null").select(F.lit(None).cast(df.schema[recording].dataType).alias(recording), "n")
+    return enough.unionByName(guard)
+
+
+def window_starts(df: DataFrame, size: int, stride: int, recording: str = "task", strict: bool = False) -> DataFrame:
+    """(window_id, recording, start): every full window, numbered by recording in order of name. ``strict``: it is an error if there is none.
 
     A recording's first id is a running sum over one row per recording.
     """
-    lengths = df.groupBy(recording).agg((F.max("t") + 1).alias("n")).where(F.col("n") >= size)
+    lengths = _lengths(df, size, recording, strict)
     counts = lengths.withColumn("k", F.floor((F.col("n") - size) / stride) + 1)
     first = F.coalesce(F.sum("k").over(Window.orderBy(recording).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return counts.withColumn("first", first).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1))).select((F.col("first") + F.col("i")).alias("window_id"), recording, (F.col("i") * stride).alias("start"))
@@ -124,12 +141,12 @@ def window_starts(df: DataFrame, size: int, stride: int, recording: str = "task"
 _SCRAMBLE = (2_654_435_761, 1_597_334_677)
 
 
-def random_starts(df: DataFrame, size: int, n_windows: int, seed: int = 0, recording: str = "task") -> DataFrame:
+def random_starts(df: DataFrame, size: int, n_windows: int, seed: int = 0, recording: str = "task", strict: bool = False) -> DataFrame:
     """``n_windows`` uniform draws over all valid starts of all recordings; the seed alone decides them.
 
     A draw is a number in [0, 1), and a recording a part of it. Both are cut into ``n_windows`` equal buckets, so draws meet the few recordings of their bucket.
     """
-    lengths = df.groupBy(recording).agg((F.max("t") + 1).alias("n")).where(F.col("n") >= size)
+    lengths = _lengths(df, size, recording, strict)
     spans = lengths.withColumn("k", F.col("n") - size + 1)
     # One row per recording.
     spans = spans.withColumns({"hi": F.sum("k").over(Window.orderBy(recording)), "total": F.sum("k").over(Window.partitionBy(F.lit(0)))}).withColumn("lo", F.col("hi") - F.col("k"))
@@ -146,14 +163,92 @@ def random_starts(df: DataFrame, size: int, n_windows: int, seed: int = 0, recor
     return hit.select("window_id", recording, (F.col("pos") - F.col("lo")).alias("start")).distinct()
 
 
-def fetch_windows(df: DataFrame, starts: DataFrame, size: int, recording: str = "task") -> DataFrame:
-    """The samples of each window, t counted from its start. The range becomes an equal join on blocks of ``size`` samples."""
-    asks = starts.withColumn("block", F.explode(F.array_distinct(F.array(F.floor(F.col("start") / size), F.floor((F.col("start") + size - 1) / size)))))
-    rows = df.withColumn("block", F.floor(F.col("t") / size))
+def fetch_windows(df: DataFrame, starts: DataFrame, size: int, recording: str = "task", block: int | None = None) -> DataFrame:
+    """The samples of each window, t counted from its start. The range becomes an equal join on blocks of ``size`` samples.
+
+    With ``block`` the samples have a column ``block`` already, of so many samples each: those of a ``BucketedStore`` aren't shuffled.
+    """
+    of = block or size
+    asks = starts.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / of), F.floor((F.col("start") + size - 1) / of))))
+    rows = df if block else df.withColumn("block", F.floor(F.col("t") / of))
     hit = rows.join(asks, [recording, "block"]).where((F.col("t") >= F.col("start")) & (F.col("t") < F.col("start") + size))
     return hit.withColumn("t", F.col("t") - F.col("start")).drop("block")
 
 
+@dataclass
+class BucketedStore:
+    """Recordings bucketed by (task, block), so that windows are fetched without a shuffle of the samples.
+
+    A table of the session's catalog over a folder: ``open`` makes the table known to a new session.
+    """
+
+    spark: SparkSession
+    table: str
+    path: str
+    block: int = 65_536
+    buckets: int = 64
+
+    def write(self, df: DataFrame) -> None:
+        """(task, axes, t, value): a block is in one bucket, sorted."""
+        axes = [c for c in df.columns if c not in ("task", "t", "value")]
+        rows = df.withColumn("block", F.floor(F.col("t") / self.block)).repartition(self.buckets, "task", "block")
+        rows.write.mode("overwrite").option("path", self.path).bucketBy(self.buckets, "task", "block").sortBy("task", "block", *axes, "t").format("parquet").saveAsTable(self.table)
+
+    def open(self, schema: str) -> DataFrame:
+        """The table of a folder written before; ``schema`` is that of its columns, ``block`` too."""
+        self.spark.sql(f"create table if not exists {self.table} ({schema}) using parquet clustered by (task, block) into {self.buckets} buckets location '{self.path}'")
+        return self.read()
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def fetch(self, starts: DataFrame, size: int) -> DataFrame:
+        """The samples of the windows (window_id, task, start). Only the windows are shuffled, to the samples' buckets, or broadcast where they are few."""
+        return fetch_windows(self.read(), starts, size, block=self.block)
+
+
+def dense_batches(x: SignalFrame, batch_size: int, shape: Sequence[int] | None = None, dtype: str = "float32") -> DataFrame:
+    """(batch, items, shape, data): the windows of a signal, whose first axis numbers them, as one array per batch in row-major order.
+
+    A batch is made in one task. ``shape`` is that of a window (found from the data if it isn't given, one row); places without a value are NaN. ``items`` are the
+    windows' numbers, in order; windows without any value are left out.
+    """
+    item, axes = x.axes[0], list(x.axes[1:])
+    if shape is None:
+        sizes = x.df.agg(*[(F.max(a) + 1).alias(a) for a in axes]).first() if axes else ()
+        shape = [int(n or 0) for n in sizes]
+    shape = [int(n) for n in shape]
+
+    def made(t: pa.Table) -> pa.Table:
+        items, place = np.unique(t[item].to_numpy(), return_inverse=True)
+        out = np.full((len(items), *shape), np.nan, dtype)
+        out[(place, *[t[a].to_numpy() for a in axes])] = t["value"].to_numpy(zero_copy_only=False)
+        return pa.table({"batch": pa.array([int(items[0]) // batch_size], pa.int64()), "items": pa.array([items.tolist()], pa.list_(pa.int64())), "shape": pa.array([list(out.shape)], pa.list_(pa.int32())), "data": pa.array([out.ravel()], pa.list_(pa.float32() if dtype == "float32" else pa.float64()))})
+
+    kind = "float" if dtype == "float32" else "double"
+    return x.df.groupBy(F.floor(F.col(item) / batch_size).alias("__batch")).applyInArrow(made, f"batch long, items array<long>, shape array<int>, data array<{kind}>")
+
+
+def batch_arrays(inputs: dict[str, SignalFrame], targets: dict[str, SignalFrame], batch_size: int, shapes: dict[str, Sequence[int]] | None = None) -> Iterator[tuple]:
+    """(inputs, targets) per batch as numpy arrays by modality, in the batches' order; the arrays themselves where there is one of each.
+
+    Batches come to the caller one partition at a time, and the next is computed meanwhile. A batch holds the windows that all modalities have.
+    """
+    named = [*[("x", k, v) for k, v in inputs.items()], *[("y", k, v) for k, v in targets.items()]]
+    joined = None
+    for kind, k, v in named:
+        one = dense_batches(v, batch_size, (shapes or {}).get(k)).select("batch", F.struct("items", "shape", "data").alias(f"{kind}:{k}"))
+        joined = one if joined is None else joined.join(one, "batch")
+    for row in joined.orderBy("batch").toLocalIterator(prefetchPartitions=True):
+        cells = [row[f"{kind}:{k}"] for kind, k, _ in named]
+        common = reduce(np.intersect1d, [np.array(c["items"]) for c in cells])
+        if not len(common):
+            continue
+        arrays = [np.array(c["data"], np.float32).reshape(c["shape"])[np.searchsorted(c["items"], common)] for c in cells]
+        x, y = ({k: a for (kind, k, _), a in zip(named, arrays, strict=True) if kind == side} for side in "xy")
+        yield (next(iter(x.values())), next(iter(y.values()))) if len(x) == len(y) == 1 else (x, y)
+
+
 def supervised_pairs(recordings: dict[str, DataFrame], starts: DataFrame, size: int, inputs: Sequence[str], targets: Sequence[str], transform: Callable[[SignalFrame], SignalFrame] | None = None, target_transform: Callable[[SignalFrame], SignalFrame] | None = None, fs: float | None = None) -> tuple[dict[str, SignalFrame], dict[str, SignalFrame]]:
     """The windows (window_id, task, start) of every input and target modality (task, axes, t, value), as signals with a first axis ``batch``: the window.
 
@@ -200,15 +295,21 @@ class DataModule:
 
     def pairs(self, split: str, epoch: int = 0) -> tuple:
         """(inputs, targets) of a split; an epoch draws its own training windows."""
+        return tuple(map(collate, self._pairs(split, epoch)))
+
+    def batches(self, split: str, batch_size: int, epoch: int = 0, shapes: dict[str, Sequence[int]] | None = None) -> Iterator[tuple]:
+        """(inputs, targets) of a split as arrays, batch by batch (``batch_arrays``)."""
+        return batch_arrays(*self._pairs(split, epoch), batch_size, shapes)
+
+    def _pairs(self, split: str, epoch: int) -> tuple[dict[str, SignalFrame], dict[str, SignalFrame]]:
         rows = {n: read_split(self.spark, self.path, n, split) for n in (*self.inputs, *self.targets)}
         first = rows[self.inputs[0]]
         if split == "train" and self.n_windows_per_epoch:
-            starts = random_starts(first, self.window_size, self.n_windows_per_epoch, self.seed + epoch)
+            starts = random_starts(first, self.window_size, self.n_windows_per_epoch, self.seed + epoch, strict=True)
         else:
-            starts = window_starts(first, self.window_size, self.window_stride or self.window_size)
+            starts = window_starts(first, self.window_size, self.window_stride or self.window_size, strict=True)
         transform = {"train": self.train_transform, "val": self.val_transform, "test": self.test_transform or self.val_transform}[split]
-        made = supervised_pairs(rows, starts, self.window_size, self.inputs, self.targets, transform, self.target_transform, read_meta(self.spark, self.path)["sampling_frequency"])
-        return tuple(map(collate, made))
+        return supervised_pairs(rows, starts, self.window_size, self.inputs, self.targets, transform, self.target_transform, read_meta(self.spark, self.path)["sampling_frequency"])
 
 
 def sample_shapes(df: DataFrame, axes: Sequence[str]) -> DataFrame:
@@ -273,6 +374,18 @@ class GroupStore:
             raise KeyError(f"no array {array!r} in group {group!r}")
         return self.spark.read.parquet(f"{self.path}/{group}/{array}")
 
+    def augment(self, array: str, transforms: dict[str, Callable[[DataFrame, int], DataFrame]], times: int = 1) -> None:
+        """Append ``times`` copies of the array's samples to every group that has it: each group's by its transform of (rows, number of the copy), others' as they are."""
+        groups = [g for g in self.groups() if self.has_array(g, array)]
+        if unknown := set(transforms) - set(groups):
+            raise KeyError(f"no array {array!r} in the groups {sorted(unknown)}")
+        for g in groups:
+            rows = self.read(g, array)
+            n = (rows.agg(F.max("sample")).first()[0] or 0) + 1
+            copies = [transforms[g](rows, k) if g in transforms else rows for k in range(1, times + 1)]
+            made = reduce(DataFrame.unionByName, [c.withColumn("sample", F.col("sample") + (k - 1) * n) for k, c in enumerate(copies, 1)])
+            self.add(g, array, made)
+
     def sample(self, i: int, inputs: str = "emg", array: str = "data") -> tuple[DataFrame, DataFrame]:
         """The input and the target of one sample; the target is the first group that holds neither inputs nor labels. Other samples' row groups aren't read."""
         if not self.has_group(inputs):
@@ -306,6 +419,24 @@ def log_run(spark: SparkSession, path: str, run_id: str, run_name: str, status:
     spark.createDataFrame([(run_id, run_name, status, start_time, tags or {}, metrics or {})], "run_id string, run_name string, status string, start_time timestamp, tags map<string,string>, metrics map<string,double>").write.mode("append").parquet(path)
 
 
+def _flat(config: dict, before: str = "") -> dict:
+    return {k: v for name, of in config.items() for k, v in (_flat(of, f"{before}{name}.") if isinstance(of, dict) else {f"{before}{name}": of}).items()}
+
+
+def log_config(spark: SparkSession, path: str, run_id: str, config: dict) -> None:
+    """Append a run's configuration as (run_id, key, value): nested names are joined by dots, values are JSON."""
+    spark.createDataFrame([(run_id, k, json.dumps(v)) for k, v in _flat(config).items()], "run_id string, key string, value string").write.mode("append").partitionBy("run_id").parquet(path)
+
+
+def read_config(spark: SparkSession, path: str, run_id: str) -> dict:
+    return {r.key: json.loads(r.value) for r in spark.read.parquet(path).where(F.col("run_id") == run_id).collect()}
+
+
+def log_sources(spark: SparkSession, path: str, run_id: str, files: dict[str, str]) -> None:
+    """Append the texts of a run's source files as (run_id, name, text)."""
+    spark.createDataFrame([(run_id, n, t) for n, t in files.items()], "run_id string, name string, text string").write.mode("append").parquet(path)
+
+
 def latest_run(runs: DataFrame) -> DataFrame:
     """The finished run that started last."""
     return runs.where("status = 'FINISHED'").orderBy(F.col("start_time").desc(), "run_id").limit(1)

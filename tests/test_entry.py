@@ -20,7 +20,7 @@ def test_entry(spark):
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
-@pytest.mark.parametrize("name", ["win_rms", "zscore_time", "pad_reflect", "spatial_ndd", "bandpass", "notch", "split_center_val", "windows_fetch", "time_warp_apply", "emg_features", "pserf", "align_product", "time_shift_edge_beyond", "noise_draw", "sos_both_ways", "windows_random", "supervised_pairs", "store_roundtrip", "embc_eval"])
+@pytest.mark.parametrize("name", ["win_rms", "zscore_time", "pad_reflect", "spatial_ndd", "bandpass", "notch", "split_center_val", "windows_fetch", "time_warp_apply", "emg_features", "pserf", "align_product", "time_shift_edge_beyond", "noise_draw", "sos_both_ways", "windows_random", "supervised_pairs", "store_roundtrip", "embc_eval", "bandpass_blocks", "notch_blocks", "sos_continuous", "sos_overlap", "win_entropy", "stack_windows", "wavelet_db2", "index_mask", "npy_scan", "dense_batches", "windows_fetch_store", "grid_layout_column", "flatten"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for p in glob.glob(f"{SF}/*.parquet"):
