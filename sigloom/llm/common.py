@@ -3,7 +3,7 @@
 ``scratch_path`` and ``materialise`` put intermediate tables in the folder named by
 ``spark.checkpoint.dir`` (shared by all executors). A written table cuts the lineage: a lost
 executor costs its running tasks only, never the stages before the table. The tables stay as long as results may be read
-again; ``clear_scratch`` deletes those of the session's application.
+again: ``scratch_scope`` deletes those of an operator at its end, ``clear_scratch`` those of the session's application.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -53,13 +54,43 @@ def clear_scratch(spark: SparkSession) -> None:
     root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared scratch folder as Parquet and read it back with the same schema."""
+#: The tables written in each open scope, the innermost last.
+_scopes: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialise`` writes within the scope are deleted at its end, but for lasting ones: what is to stay must not read them any more."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        _delete(spark, _scopes.pop())
+
+
+def materialise(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Write a table to the shared scratch folder as Parquet and read it back with the same schema. A ``lasting`` one outlives the innermost scope."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _scopes and not lasting:
+        _scopes[-1].append(path)
+    elif len(_scopes) > 1:
+        _scopes[-2].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, sorted({f.rsplit("/", 1)[0] for f in t.inputFiles()}))
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """Drop the columns whose names clash with an operator's own (case-insensitive, as Spark resolves names)."""
     taken = {n.lower() for n in names}

@@ -6,10 +6,8 @@ within the radius of each other, so a star from the smallest document of each va
 every link with no pairs enumerated; a group has at most as many fingerprints as a fingerprint has variants, whatever the number of
 copies. Components come from alternating large-star and small-star steps over written edge tables.
 
-The pipeline's stage also links documents whose sets of five-word shingles have a Jaccard similarity of ``LEAST``
-or more (``similar``): two such sets share one of the first shingles of each in any fixed order (prefix filtering), so
-documents meet by those, and each pair that meets is verified on the whole sets. Where more than ``CENTRES`` documents meet
-at a shingle, each is compared with the ones that have most such shingles, the nearest to the text that all of them vary.
+The pipeline's stage also links documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, by the exact
+join of ``similar``.
 
 Defined cases: null or empty texts and texts of white space have fingerprint zero, linked like any
 other. Fewer than ``width`` words make one shingle of them all. A null id takes part in no link:
@@ -25,16 +23,10 @@ from itertools import islice
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from . import common
+from . import common, similar
 
 SEED = 42
 RADIUS = 2
-#: For the stage: words of a shingle, and the similarity of two documents' sets of shingles from which they are near copies.
-WIDTH, LEAST = 5, 0.8
-#: Documents of a shingle that all others with it are compared with: all pairs, up to so many.
-CENTRES = 16
-#: Pairs whose two SimHashes differ in more bits aren't verified: at LEAST 19.4 of the 128 bits differ on average, with a deviation of 4.1.
-FAR = 42
 #: Hashes summed at once; bounds the memory for very long texts.
 _BLOCK = 65_536
 
@@ -65,18 +57,22 @@ def _majority(blocks: Iterable[np.ndarray]) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def profile(text: str | None, width: int = WIDTH) -> tuple[int | None, int, int, np.ndarray]:
-    """A digest of the set of the text's shingles (none without words), two SimHashes of it, and its distinct 32-bit hashes in order."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The distinct 64-bit hashes of the text's shingles."""
+    words = (text or "").encode().lower().split()
+    return np.unique(np.concatenate(list(_hashes(words, width)))) if words else np.zeros(0, np.uint64)
+
+
+def profile(text: str | None, rare: np.ndarray, width: int = similar.WIDTH, least: float = similar.LEAST) -> tuple:
+    """Of the set of the text's shingles: a digest (none without words), its size, its first hashes, how many of those aren't hot, and its distinct 32-bit hashes in order."""
     import xxhash
 
-    words = (text or "").encode().lower().split()
-    if not words:
-        return None, 0, 0, np.zeros(0, np.int32)
-    found = np.unique(np.concatenate(list(_hashes(words, width))))
-    more = found * np.uint64(0x9E3779B97F4A7C15)
-    more = (more ^ more >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    made = [xxhash.xxh64_intdigest(found.tobytes(), SEED), *[_majority(h[i : i + _BLOCK] for i in range(0, len(h), _BLOCK)) for h in (found, more)]]
-    return *np.array(made, np.uint64).view(np.int64).tolist(), np.unique(found.astype(np.uint32)).view(np.int32)
+    found = shingle_hashes(text, width)
+    if not len(found):
+        return None, 0, [], 0, []
+    first, cool = similar.first_shingles(found, rare, least)
+    digest = int(np.array(xxhash.xxh64_intdigest(found.tobytes(), SEED), np.uint64).view(np.int64))
+    return digest, len(found), first, cool, np.unique(found.astype(np.uint32)).view(np.int32)
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -89,16 +85,17 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", widt
     return common.append_columns(rows.withColumn("same", F.xxhash64("text")), ["text"], "fp long", made).drop("text")
 
 
-def profiles(df: DataFrame, id_col: str, text: str, width: int, shingle: int) -> DataFrame:
-    """``fingerprints`` with each text's ``profile``: (set, sim, more, hashes)."""
+def profiles(df: DataFrame, id_col: str, text: str, width: int, shingle: int, least: float) -> DataFrame:
+    """``fingerprints`` with each text's ``profile``: (set, n, first, cool, hashes)."""
+    rare = similar.levels(df, text, lambda t: shingle_hashes(t, shingle))
 
     def made(texts: list) -> list:
-        found = [profile(t, shingle) for t in texts]
+        found = [profile(t, rare, shingle, least) for t in texts]
         prints = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
-        return [prints, *map(list, zip(*found, strict=True))] if found else [prints, [], [], [], []]
+        return [prints, *map(list, zip(*found, strict=True))] if found else [prints, [], [], [], [], []]
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return common.append_columns(rows.withColumn("same", F.xxhash64("text")), ["text"], "fp long, set long, sim long, more long, hashes array<int>", made).drop("text")
+    return common.append_columns(rows.withColumn("same", F.xxhash64("text")), ["text"], "fp long, set long, n int, first array<long>, cool int, hashes array<int>", made).drop("text")
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -122,7 +119,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over ``edges`` (a, b), for every node that has an edge and isn't itself the smallest.
 
-    Each round does a large-star and a small-star step and writes the new edges; the rounds needed
+    Each round does a large-star and a small-star step and writes the new edges, and deletes those of the round before; the rounds needed
     grow with the logarithm of the longest chain. Nothing but counts and checksums reaches the driver.
     """
 
@@ -141,7 +138,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = common.materialise(large.where("a <> b").distinct(), "large-star")
         least = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("least"))
         small = large.join(least, large["b"] == least["u"]).select(F.col("least").alias("a"), F.col("a").alias("b")).where("a <> b")
-        edges = common.materialise(small.union(least.select(F.col("least").alias("a"), F.col("u").alias("b"))).distinct(), "small-star")
+        before, edges = edges, common.materialise(small.union(least.select(F.col("least").alias("a"), F.col("u").alias("b"))).distinct(), "small-star")
+        common.discard(before, large)
         now = signature(edges)
         if now == was:
             break
@@ -149,40 +147,9 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 
-def similar(rows: DataFrame, firsts: DataFrame, least: float = LEAST) -> DataFrame:
-    """Edges between ``rows`` (row, doc_id, sim, more, hashes) with a Jaccard similarity of ``least`` or more; ``firsts`` has one row of each set.
-
-    Of n shingles the first n - ceil(least n) + 1 in order of their hashes hold one that any set as similar has among its own first.
-    """
-    n = F.size("hashes")
-    first = F.slice("hashes", F.lit(1), n - F.ceil(least * n - 1e-9).cast("int") + 1)
-    one = common.materialise(rows.select("row", "sim", "more", n.alias("n"), first.alias("first")).join(firsts.select("row"), "row", "left_semi"), "first-shingles")
-    # Most shingles are of one document alone; those go before anything else is attached.
-    shingles = one.select("row", F.explode("first").alias("key"))
-    counts = shingles.groupBy("key").count().where("count > 1")
-    shared = common.materialise(shingles.join(counts, "key").select("row", "key", (F.col("count") > CENTRES).cast("int").alias("frequent")), "shared-shingles")
-    score = shared.groupBy("row").agg(F.sum("frequent").alias("frequent"))
-    facts = one.select("row", "sim", "more", "n", F.size("first").alias("of")).join(score, "row").withColumn("score", F.col("frequent") / F.col("of")).drop("frequent", "of")
-    keys = shared.select("row", "key").join(facts, "row")
-    # Spark keeps the first rows of each task before the shuffle, so a frequent shingle is no load.
-    order = Window.partitionBy("key").orderBy(F.desc("score"), F.xxhash64("row"), "row")
-    centres = keys.withColumn("at", F.row_number().over(order)).where(F.col("at") <= CENTRES)
-    keys = keys.drop("score")
-    centres = centres.select("key", *[F.col(c).alias(f"{c}_b") for c in ("row", "sim", "more", "n")])
-    size = F.least("n", "n_b") >= least * F.greatest("n", "n_b") - 1e-9
-    apart = F.bit_count(F.col("sim").bitwiseXOR(F.col("sim_b"))) + F.bit_count(F.col("more").bitwiseXOR(F.col("more_b")))
-    met = keys.join(centres, "key").where((F.col("row") != F.col("row_b")) & size & (apart <= FAR))
-    met = common.materialise(met.select(F.least("row", "row_b").alias("x"), F.greatest("row", "row_b").alias("y")).distinct(), "met")
-    for end in "xy":
-        met = met.join(rows.select(F.col("row").alias(end), F.col("doc_id").alias(f"id_{end}"), F.col("hashes").alias(f"hashes_{end}")), end)
-    both = F.size(F.array_intersect("hashes_x", "hashes_y"))
-    right = both >= least * (F.size("hashes_x") + F.size("hashes_y") - both) - 1e-9
-    return met.where(right).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
-
-
-def _labelled(df: DataFrame, id_col: str, text: str, width: int, radius: int, shingle: int | None = None, least: float = LEAST) -> DataFrame:
+def _labelled(df: DataFrame, id_col: str, text: str, width: int, radius: int, shingle: int | None = None, least: float = similar.LEAST) -> DataFrame:
     """(doc_id, same, fp, component_id) for each row; with ``shingle``, similar sets of shingles of so many words are linked too."""
-    made = profiles(df, id_col, text, width, shingle).withColumn("row", F.monotonically_increasing_id()) if shingle else fingerprints(df, id_col, text, width)
+    made = profiles(df, id_col, text, width, shingle, least).withColumn("row", F.monotonically_increasing_id()) if shingle else fingerprints(df, id_col, text, width)
     prints = common.materialise(made, "fingerprints")
     nodes = common.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct-fingerprints")
     # Dealt anew, as the written table may be a few files and each row becomes many.
@@ -194,7 +161,7 @@ def _labelled(df: DataFrame, id_col: str, text: str, width: int, radius: int, sh
         # A row's set and its fingerprint belong together.
         tied = known.select("fp", "set").distinct().join(nodes.select("fp", F.col("rep").alias("a")), "fp")
         tied = tied.join(firsts.select("set", F.col("doc_id").alias("b")), "set").where("a <> b").select("a", "b")
-        edges = edges.unionByName(tied).unionByName(similar(known, firsts, least))
+        edges = similar.links(known, firsts, edges.unionByName(tied), least, components)
         prints = prints.select("doc_id", "same", "fp")
     found = components(edges)
     labels = common.materialise(nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "labels")
@@ -206,15 +173,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     return _labelled(df, id_col, text, width, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, radius: int = RADIUS, shingle: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """One row per component of ``near_duplicates``' links and ``similar``'s: that of the smallest id. Rows with a null id stay; all columns stay.
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, radius: int = RADIUS, shingle: int = similar.WIDTH, least: float = similar.LEAST) -> DataFrame:
+    """One row per component of ``near_duplicates``' links and those between similar sets: that of the smallest id. Rows with a null id stay; all columns stay.
 
     Rows that share an id are told apart by their text; of a component's texts with its smallest id one stays, and of rows equal in both
-    any one, whatever their other columns.
+    any one, whatever their other columns. But for the list of the ids that stay, the tables written on the way are deleted before the result is returned.
     """
-    first = _labelled(df, id_col, text, width, radius, shingle, least).where("doc_id = component_id").groupBy(F.col("component_id").alias("__keep")).agg(F.min("same").alias("__same"))
+    with common.scratch_scope(df.sparkSession):
+        found = _labelled(df, id_col, text, width, radius, shingle, least).where("doc_id = component_id")
+        first = common.materialise(found.groupBy(F.col("component_id").alias("__keep")).agg(F.min("same").alias("__first")), "kept-ids", lasting=True)
     # The join and the choice among repeated rows need the same partitioning, so texts are shuffled once.
     rows = df.withColumn("__same", F.xxhash64(df[text].cast("string")))
-    kept = rows.join(first.withColumnRenamed("__same", "__first"), (F.col(id_col).cast("long") == F.col("__keep")) & (F.col("__same") == F.col("__first")), "left_semi")
+    kept = rows.join(first, (F.col(id_col).cast("long") == F.col("__keep")) & (F.col("__same") == F.col("__first")), "left_semi")
     kept = kept.dropDuplicates([id_col, "__same"]).drop("__same")
     return kept.unionByName(df.where(F.col(id_col).isNull()))

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sigloom.llm import simhash, warc
+from sigloom.llm import common, similar, simhash, warc
 
 
 def brute_print(text, width=3):
@@ -100,6 +100,140 @@ def test_many_near_copies_of_one_text(spark):
     assert kept == set(root) and 20 < len(kept) < 250
 
 
+def kept_of(texts):
+    """The documents that brute force keeps: pairs from an inverted index of shingles, verified on the sets."""
+    sets, prints = brute_sets(texts), [brute_print(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    def tie(i, j):
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+
+    by_shingle = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            by_shingle.setdefault(x, []).append(i)
+    n = 0
+    for i, a in enumerate(sets):
+        met = Counter(j for x in a for j in by_shingle[x] if j < i)
+        for j, both in met.items():
+            if both >= 0.8 * (len(a) + len(sets[j]) - both):
+                n += 1
+                tie(i, j)
+    for bits in range(4):  # fingerprints within two bits agree on one of four runs of 16 bits at least
+        run = {}
+        for i, f in enumerate(prints):
+            for j in run.setdefault(f >> 16 * bits & 0xFFFF, []):
+                if bin(f ^ prints[j]).count("1") <= 2:
+                    tie(i, j)
+            run[f >> 16 * bits & 0xFFFF].append(i)
+    return {find(i) for i in range(len(texts))}, n
+
+
+def stage_keeps(spark, texts):
+    return {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).collect()}
+
+
+def test_pairs_behind_a_common_boilerplate(spark):
+    """Pairs of near copies that share most of their text with all other pairs: none is lost."""
+    rng = random.Random(31)
+    head, texts = [f"b{i}" for i in range(19)], []
+    for k in range(400):
+        own = [f"o{k}x{i}" for i in range(6)]
+        texts += [" ".join(head + own), " ".join(head + own[:-1] + [f"e{k}"])]
+    rng.shuffle(texts)
+    want, n = kept_of(texts)
+    assert n >= 400 and stage_keeps(spark, texts) == want
+
+
+def test_documents_of_common_paragraphs(spark, monkeypatch):
+    """All shingles are frequent, so the order of shingles tells nothing, and most sets that meet aren't similar."""
+    rng = random.Random(32)
+    paragraphs = [[f"p{k}w{i}" for i in range(30)] for k in range(24)]
+    texts = []
+    for _ in range(500):
+        chosen = rng.sample(range(24), 14)
+        texts.append(" ".join(w for k in chosen for w in paragraphs[k]))
+        if rng.random() < 0.5:
+            texts.append(" ".join(w for k in [*chosen[:-1], rng.randrange(24)] for w in paragraphs[k]))
+    want, n = kept_of(texts)
+    assert n > 100 and len(want) > 300
+    for sets in (512, 60):
+        monkeypatch.setattr(similar, "TILE_SETS", sets)
+        assert stage_keeps(spark, texts) == want
+
+
+def test_many_documents_of_one_template(spark):
+    rng = random.Random(33)
+    template, texts = [f"t{i}" for i in range(90)], []
+    for k in range(5000):
+        u = list(template)
+        for i in rng.sample(range(90), rng.choice([0, 1, 2, 3, 4, 9])):
+            u[i] = f"f{rng.randrange(40)}x{i}" if rng.random() < 0.5 else f"g{k}x{i}"
+        texts.append(" ".join(u))
+    want, n = kept_of_large(texts)
+    assert n and stage_keeps(spark, texts) == want
+
+
+def kept_of_large(texts):
+    """``kept_of`` by bit masks of words' places: texts of one template are compared as rows of word numbers."""
+    words = {w: i for i, w in enumerate({w for t in texts for w in t.split()})}
+    m = np.array([[words[w] for w in t.split()] for t in texts])
+    n = m.shape[1] - 4
+    root = np.arange(len(texts))
+    links = 0
+    prints = np.array([brute_print(t) for t in texts], np.uint64)
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(1, len(texts)):
+        same = (m[:i] == m[i])
+        both = np.lib.stride_tricks.sliding_window_view(same, 5, axis=1).all(axis=2).sum(axis=1)  # shingles of a template meet at their own place only
+        near = (both >= 0.8 * (2 * n - both)) | (np.bitwise_count(prints[:i] ^ prints[i]) <= 2)
+        links += int(near.sum())
+        for j in np.unique([find(j) for j in np.flatnonzero(near)]):
+            a, b = sorted((find(i), find(int(j))))
+            root[b] = a
+    return {find(i) for i in range(len(texts))}, links
+
+
+def test_meetings_in_small_batches():
+    """Pairs and frequent keys don't depend on how rows are cut into batches."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    rows = sorted((k, r, 20, rng.randrange(4), rng.randrange(3), int(k == 7)) for k in range(40) for r in range(rng.choice([1, 2, 3, 16, 17, 40])))
+
+    def run(size):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["key", "row", "n", "at", "before", "hot"]) for i in range(0, len(rows), size)]
+        return sorted(tuple(r.values()) for b in similar.meetings(iter(batches), 0.8) for r in b.to_pylist())
+
+    want, by_key = run(10_000), Counter(r[0] for r in rows)
+    assert all(run(size) == want for size in (1, 5, 16, 17, 100))
+    assert Counter(r[2] for r in want if r[1] < 0) == {k: n for k, n in by_key.items() if n > 16 or k == 7}
+
+
+def test_a_stage_leaves_no_tables_but_its_list_of_ids(spark):
+    root = common._scratch_root(spark).removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    d = spark.createDataFrame([(i, f"text number {i % 3} of the same few words that all texts here have in common") for i in range(9)], "doc_id long, text string")
+    kept = simhash.drop_near_duplicates(d)
+    left = set(os.listdir(root)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("kept-ids") and kept.count() in (1, 2, 3)
+    with common.scratch_scope(spark):
+        kept = common.materialise(simhash.drop_near_duplicates(d), "result", lasting=True)
+    assert {n.split("-")[0] for n in set(os.listdir(root)) - before - left} == {"result"} and kept.count() in (1, 2, 3)
+
+
 def test_one_of_each_group_stays(spark):
     t = " ".join(f"w{i}" for i in range(80))
     rows = [(3, t, "a"), (1, t, "b"), (2, "else", "c"), (2, "else", "c"), (None, t, "d"), (9, t, "e")]
