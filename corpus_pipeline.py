@@ -1,6 +1,10 @@
 """The corpus pipeline: quality rules, toxicity, near-duplicates, benchmark decontamination and packing, in this order.
 
 Each stage reads what its predecessor kept, as Parquet. All but the last return the columns of ``documents``.
+
+Defined cases: null and empty texts fail the quality rules. Rows that share an id are told apart by their text; of equal ones, and of near copies, one
+stays, that of the smallest id, and rows without an id take no part in that choice. A row repeats in a stage's result if it repeats in its
+input and the stage doesn't compare rows. Empty tables give empty results. Extra columns pass through to the packing stage.
 """
 
 from __future__ import annotations
@@ -45,7 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The packed pieces. A stage's result is written, then what it wrote on the way and its predecessor's result are deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with common.scratch_scope(spark):
+            docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}", lasting=True)
+        if before is not None:
+            common.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
