@@ -64,15 +64,16 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 
 def profile(text: str | None, rare: np.ndarray, width: int = similar.WIDTH, least: float = similar.LEAST) -> tuple:
-    """Of the set of the text's shingles: a digest (none without words), its size, its first hashes, how many of those aren't hot, and its distinct 32-bit hashes in order."""
+    """Of the set of the text's shingles: a digest (none without words), its size, its first hashes, how many of those aren't hot, its hashes by bucket, and its distinct 32-bit hashes in order."""
     import xxhash
 
     found = shingle_hashes(text, width)
     if not len(found):
-        return None, 0, [], 0, []
+        return None, 0, [], 0, [], []
     first, cool = similar.first_shingles(found, rare, least)
     digest = int(np.array(xxhash.xxh64_intdigest(found.tobytes(), SEED), np.uint64).view(np.int64))
-    return digest, len(found), first, cool, np.unique(found.astype(np.uint32)).view(np.int32)
+    short = np.unique(found.astype(np.uint32)).view(np.int32)
+    return digest, len(found), first, cool, similar.bucket_counts([short])[0], short
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -86,16 +87,16 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", widt
 
 
 def profiles(df: DataFrame, id_col: str, text: str, width: int, shingle: int, least: float) -> DataFrame:
-    """``fingerprints`` with each text's ``profile``: (set, n, first, cool, hashes)."""
+    """``fingerprints`` with each text's ``profile``: (set, n, first, cool, buckets, hashes)."""
     rare = similar.levels(df, text, lambda t: shingle_hashes(t, shingle))
 
     def made(texts: list) -> list:
         found = [profile(t, rare, shingle, least) for t in texts]
         prints = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
-        return [prints, *map(list, zip(*found, strict=True))] if found else [prints, [], [], [], [], []]
+        return [prints, *map(list, zip(*found, strict=True))] if found else [prints, [], [], [], [], [], []]
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return common.append_columns(rows.withColumn("same", F.xxhash64("text")), ["text"], "fp long, set long, n int, first array<long>, cool int, hashes array<int>", made).drop("text")
+    return common.append_columns(rows.withColumn("same", F.xxhash64("text")), ["text"], "fp long, set long, n int, first array<long>, cool int, buckets array<int>, hashes array<int>", made).drop("text")
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -3,9 +3,10 @@
 Prefix filtering: of n shingles in any fixed order of all shingles, the first n - ceil(LEAST n) + 1 hold one that any set as similar has among
 its own first. The order is rarest first, by a sketch of fixed size that counts all shingles of all texts, so what many documents share is
 last and seldom among the first. Sets meet at their first shingles (keys); a meeting counts only if sizes and places in
-the order still allow the similarity, and only at the pair's first common key where that can be told; pairs are then verified on the sets.
+the order still allow the similarity, and only at the pair's first common key where that can be told, and counts of shingles by bucket allow it. Pairs
+are then verified on the sets: each set with its likeliest partner, then those pairs that are not in one component yet.
 
-A key with more than ``CENTRES`` sets doesn't make all pairs. Its sets are first compared with those nearest to the text that
+A key with more than ``GROUP`` sets doesn't look at its pairs. Its sets are first compared with those nearest to the text that
 all of them vary, and components are found. Keys whose sets are then all in one component are done. The sets of the others are compared exactly:
 they form blocks (sets joined by such keys), a block is cut by size and then into tiles of bounded size, and a tile compares sets of different
 components, with a bound from counts of shingles by bucket before the sets themselves. A tile returns a forest of its links.
@@ -26,10 +27,10 @@ from . import common
 
 #: Words of a shingle, and the similarity from which two sets are linked.
 WIDTH, LEAST = 5, 0.8
-#: Sets of a key that all pairs are made of; and those that the sets of a larger key are compared with first.
-CENTRES = 16
+#: Sets of a key whose pairs are looked at one by one; and those that the sets of a larger key are compared with first.
+GROUP, CENTRES = 128, 16
 #: Counters of the sketch of shingles, and bits of the filter of sets that meet others.
-SKETCH_BITS, FILTER_BITS = 20, 22
+SKETCH_BITS, FILTER_BITS = 21, 22
 #: Keys whose counter is above 2^HOT are dealt to many tasks; they are counted as frequent without being counted.
 HOT, SALTS = 20, 64
 #: Sets of a tile, shingles of a tile, and buckets of the bound.
@@ -38,6 +39,8 @@ TILE_SETS, TILE_SHINGLES, BUCKETS = 512, 2_000_000, 64
 
 def counters(df: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
     """How many of the slots (below 2^bits) that ``slots`` gives for the rows fall on each: every task adds up its own, and the tasks' are added up in parts."""
+    import zlib
+
     size, part = 1 << bits, 1 << min(bits, 16)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,13 +49,13 @@ def counters(df: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], bits:
             np.add.at(total, slots(b), 1)
         for k in range(0, size, part):
             if total[k : k + part].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([total[k : k + part].tobytes()])], names=["part", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zlib.compress(total[k : k + part].tobytes(), 1)])], names=["part", "counts"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for k, counts in zip(b["part"].to_pylist(), b["counts"].to_pylist(), strict=True):
-                held[k] = held.get(k, 0) + np.frombuffer(counts, np.int64)
+                held[k] = held.get(k, 0) + np.frombuffer(zlib.decompress(counts), np.int64)
         for k, counts in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([counts.tobytes()])], names=["part", "counts"])
 
@@ -63,13 +66,15 @@ def counters(df: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], bits:
 
 
 def levels(df: DataFrame, text: str, hashes: Callable[[str | None], np.ndarray]) -> np.ndarray:
-    """How frequent a shingle is, by its hash's first bits: the number of binary digits of its counter, at most."""
+    """How frequent a shingle is, by its hash's first bits: the binary digits of what its counter has beyond the usual one and thrice its deviation."""
 
     def slots(b: pa.RecordBatch) -> np.ndarray:
         found = [hashes(t) >> np.uint64(64 - SKETCH_BITS) for t in b.column(0).to_pylist()]
         return np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
 
-    return np.ceil(np.log2(counters(common.in_small_batches(df.select(F.col(text).cast("string"))), slots, SKETCH_BITS) + 1)).astype(np.uint8)
+    counts = counters(common.in_small_batches(df.select(F.col(text).cast("string"))), slots, SKETCH_BITS)
+    usual = np.median(counts)
+    return np.ceil(np.log2(np.maximum(0, counts - usual - 3 * np.sqrt(usual)) + 1)).astype(np.uint8)
 
 
 def first_shingles(found: np.ndarray, rare: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, int]:
@@ -87,7 +92,7 @@ def possible(n: Column | np.ndarray, m: Column | np.ndarray, at: Column | np.nda
 
 
 def meetings(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """From rows (key, row, n, at, before, hot) sorted by key: pairs (x, y) of sets that meet at keys of up to CENTRES sets, and the rows of larger or hot keys (as x, with their key)."""
+    """From rows (key, row, n, at, before, hot) sorted by key: pairs (x, y) of sets that meet at keys of up to GROUP sets, and the rows of larger or hot keys (as x, with their key)."""
     names = ["x", "y", "key", "n", "at", "before"]
     held: list[np.ndarray] | None = None
     frequent: int | None = None  # the held key, once known to be frequent
@@ -98,27 +103,29 @@ def meetings(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
             columns += [np.zeros(len(x), np.int64)] + [np.zeros(len(x), np.int32)] * 3
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    def pairs(c: list[np.ndarray], lo: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
-        for a, b in combinations(range(size), 2):
-            i, j = lo + a, lo + b
-            ok = possible(c[2][i], c[2][j], c[3][i], c[3][j], least, np.minimum, np.maximum) & (c[1][i] != c[1][j])
-            ok &= (c[4][i] != c[4][j]) | (c[3][i] == 0) | (c[3][j] == 0)
-            if ok.any():
-                x, y = c[1][i[ok]], c[1][j[ok]]
-                yield sent(np.minimum(x, y), np.maximum(x, y), None)
+    def pairs(c: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ok = possible(c[2][i], c[2][j], c[3][i], c[3][j], least, np.minimum, np.maximum) & (c[1][i] != c[1][j])
+        ok &= (c[4][i] != c[4][j]) | (c[3][i] == 0) | (c[3][j] == 0)
+        if ok.any():
+            x, y = c[1][i[ok]], c[1][j[ok]]
+            yield sent(np.minimum(x, y), np.maximum(x, y), None)
 
     def done(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Whole groups."""
         edges = np.flatnonzero(np.r_[True, c[0][1:] != c[0][:-1], True])
         lo, size = edges[:-1], np.diff(edges)
-        many = np.repeat((size > CENTRES) | (c[5][lo] > 0) | (c[0][lo] == (frequent if frequent is not None else 0)) & (frequent is not None), size)
+        many = np.repeat((size > GROUP) | (c[5][lo] > 0) | (c[0][lo] == (frequent if frequent is not None else 0)) & (frequent is not None), size)
         if many.any():
             yield sent(None, None, [v[many] for v in c])
         few = ~many[lo]
-        for k in range(2, CENTRES + 1):
+        for k in range(2, 9):  # small groups of one size together
             of = lo[few & (size == k)]
             if len(of):
-                yield from pairs(c, of, k)
+                for a, b in combinations(range(k), 2):
+                    yield from pairs(c, of + a, of + b)
+        for at, k in zip(*(v[few & (size > 8)].tolist() for v in (lo, size)), strict=True):
+            a, b = np.triu_indices(k, 1)
+            yield from pairs(c, at + a, at + b)
 
     for b in batches:
         if not b.num_rows:
@@ -129,7 +136,7 @@ def meetings(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         last = int(np.searchsorted(c[0], c[0][-1]))
         yield from done([v[:last] for v in c]) if last else ()
         tail = [v[last:] for v in c]
-        if len(tail[0]) > CENTRES or (frequent is not None and tail[0][0] == frequent):
+        if len(tail[0]) > GROUP or (frequent is not None and tail[0][0] == frequent):
             frequent = int(tail[0][0])
             yield sent(None, None, tail)
             tail = [v[:0] for v in tail]
@@ -228,7 +235,7 @@ def rest(frequent: DataFrame, sets: DataFrame, roots: DataFrame, least: float, c
 def links(rows: DataFrame, firsts: DataFrame, base: DataFrame, least: float, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Edges (a, b) of ids: ``base``, and enough links between similar sets to connect what all of them do.
 
-    ``rows`` has (row, doc_id, n, first, cool, hashes) of documents, ``firsts`` (row, doc_id) one of each set.
+    ``rows`` has (row, doc_id, n, first, cool, buckets, hashes) of documents, ``firsts`` (row, doc_id) one of each set.
     """
     one = rows.join(firsts.select("row"), "row", "left_semi")
     whole = F.size("first")
@@ -253,15 +260,28 @@ def links(rows: DataFrame, firsts: DataFrame, base: DataFrame, least: float, com
         ok = possible(F.col("n"), F.col("c.n"), F.col("at"), F.col("c.at"), least, F.least, F.greatest) & (F.col("row") != F.col("c.row"))
         ok &= (F.col("before") != F.col("c.before")) | (F.col("at") == 0) | (F.col("c.at") == 0)
         pairs = pairs.unionByName(tried.where(ok).select(F.least("row", "c.row").alias("x"), F.greatest("row", "c.row").alias("y")))
-    met = common.materialise(pairs.distinct(), "met")
+    met = pairs.distinct()
+    for end in "xy":
+        met = met.join(one.select(F.col("row").alias(end), F.col("n").alias(f"n_{end}"), F.col("buckets").alias(f"buckets_{end}")), end)
+    most = F.aggregate(F.zip_with("buckets_x", "buckets_y", lambda a, b: F.least(a, b)), F.lit(0), lambda a, v: a + v)
+    met = met.select("x", "y", (most / (F.col("n_x") + F.col("n_y"))).alias("share")).where(F.col("share") >= least / (1 + least) - 1e-9)
+    met = common.materialise(met, "met")
     ids = firsts.select("row", "doc_id")
 
     def with_ids(found: DataFrame) -> DataFrame:
         return found.join(ids.select(F.col("row").alias("x"), F.col("doc_id").alias("a")), "x").join(ids.select(F.col("row").alias("y"), F.col("doc_id").alias("b")), "y").select("a", "b")
 
-    edges = common.materialise(base.unionByName(with_ids(verified(met, one, least))), "links")
+    def roots_of(edges: DataFrame) -> DataFrame:
+        known = components(edges)
+        return common.materialise(ids.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("row", F.coalesce("root", "doc_id").alias("root")), "roots")
+
+    # Each set with the likeliest of its partners first: most pairs are then within a component and need no comparison.
+    star = met.groupBy("y").agg(F.max_by("x", F.struct("share", "x")).alias("x")).select("x", "y")
+    edges = common.materialise(base.unionByName(with_ids(verified(star, one, least))), "links")
+    roots = roots_of(edges)
+    left = met.join(roots.select(F.col("row").alias("x"), F.col("root").alias("root_x")), "x").join(roots.select(F.col("row").alias("y"), F.col("root").alias("root_y")), "y")
+    left = common.materialise(left.where("root_x <> root_y").select("x", "y"), "pairs-left")
+    edges = common.materialise(edges.unionByName(with_ids(verified(left, one, least))), "links")
     if not total:
         return edges
-    known = components(edges)
-    roots = common.materialise(ids.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("row", F.coalesce("root", "doc_id").alias("root")), "roots")
-    return edges.unionByName(with_ids(common.materialise(rest(frequent, one, roots, least, components), "more-links")))
+    return edges.unionByName(with_ids(common.materialise(rest(frequent, one, roots_of(edges), least, components), "more-links")))

@@ -81,7 +81,7 @@ def test_links_of_a_wider_radius(spark):
 
 
 def test_many_near_copies_of_one_text(spark):
-    """More copies than CENTRES share each shingle; most are nearer to the text than to each other."""
+    """More copies than GROUP share each shingle; most are nearer to the text than to each other."""
     rng = random.Random(21)
     base = [f"b{i}" for i in range(200)]
     texts = [" ".join(base)]
@@ -211,15 +211,15 @@ def test_meetings_in_small_batches():
     import pyarrow as pa
 
     rng = random.Random(5)
-    rows = sorted((k, r, 20, rng.randrange(4), rng.randrange(3), int(k == 7)) for k in range(40) for r in range(rng.choice([1, 2, 3, 16, 17, 40])))
+    rows = sorted((k, r, 20, rng.randrange(4), rng.randrange(3), int(k == 7)) for k in range(40) for r in range(rng.choice([1, 2, 3, 16, 128, 129, 300])))
 
     def run(size):
         batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["key", "row", "n", "at", "before", "hot"]) for i in range(0, len(rows), size)]
         return sorted(tuple(r.values()) for b in similar.meetings(iter(batches), 0.8) for r in b.to_pylist())
 
     want, by_key = run(10_000), Counter(r[0] for r in rows)
-    assert all(run(size) == want for size in (1, 5, 16, 17, 100))
-    assert Counter(r[2] for r in want if r[1] < 0) == {k: n for k, n in by_key.items() if n > 16 or k == 7}
+    assert all(run(size) == want for size in (1, 5, 128, 129, 200))
+    assert Counter(r[2] for r in want if r[1] < 0) == {k: n for k, n in by_key.items() if n > 128 or k == 7}
 
 
 def test_a_stage_leaves_no_tables_but_its_list_of_ids(spark):
