@@ -256,10 +256,13 @@ def links(rows: DataFrame, firsts: DataFrame, base: DataFrame, least: float, com
     counts = common.materialise(frequent.groupBy("key").agg(F.count("*").alias("n")), "frequent-keys")
     total = counts.agg(F.sum("n")).first()[0] or 0
     if total:
-        tried = common.join_unique(frequent, centres, "key", counts, total).withColumn("c", F.explode("centres"))
-        ok = possible(F.col("n"), F.col("c.n"), F.col("at"), F.col("c.at"), least, F.least, F.greatest) & (F.col("row") != F.col("c.row"))
-        ok &= (F.col("before") != F.col("c.before")) | (F.col("at") == 0) | (F.col("c.at") == 0)
-        pairs = pairs.unionByName(tried.where(ok).select(F.least("row", "c.row").alias("x"), F.greatest("row", "c.row").alias("y")))
+        def meet_first(c: Column) -> Column:
+            ok = possible(F.col("n"), c["n"], F.col("at"), c["at"], least, lambda a, b: F.least(a, b), lambda a, b: F.greatest(a, b)) & (F.col("row") != c["row"])
+            return ok & ((F.col("before") != c["before"]) | (F.col("at") == 0) | (c["at"] == 0))
+
+        # Most centres of a key were met at an earlier key, or can't be similar; those go before rows are made.
+        tried = common.join_unique(frequent, centres, "key", counts, total).withColumn("c", F.explode(F.filter("centres", meet_first)))
+        pairs = pairs.unionByName(tried.select(F.least("row", "c.row").alias("x"), F.greatest("row", "c.row").alias("y")))
     met = pairs.distinct()
     for end in "xy":
         met = met.join(one.select(F.col("row").alias(end), F.col("n").alias(f"n_{end}"), F.col("buckets").alias(f"buckets_{end}")), end)

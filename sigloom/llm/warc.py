@@ -26,6 +26,7 @@ import json
 import posixpath
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ from . import common
 ROLL_BYTES = 64 << 20
 #: Bins into which a range of ids is counted at once.
 BINS = 4_096
+#: A bin is too full beyond this part of a shard's share, or a smaller one where shards are few; and finer bins per share of such a one.
+EVEN, FINER = 8, 32
 #: Every record's date: part of the input to make the output repeat, so a parameter and not the clock.
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed value: the profile that the standard gives for revisits of an identical payload.
@@ -125,37 +128,50 @@ def revisits(keys: DataFrame) -> DataFrame:
 def bounds(keys: DataFrame, shards: int) -> list[tuple[int, str]]:
     """The least (page_id, start of the digest) of each shard but the first: fewer than ``shards``, ascending, so that each shard has about as many of ``keys``.
 
-    Ids are counted in bins of equal width, and a bin with more than a shard's share in finer bins again, down to a single id and then its
-    digests' first three digits. All counts are exact; as many bins reach the driver as BINS times the bins that are too full, at most one per shard.
+    Ids are counted in bins of equal width, and a bin with more than a part of a shard's share in finer bins again, in proportion to its shares, down to a
+    single id and then its digests' first three digits. All counts are exact; what reaches the driver is in proportion to the number of shards.
     A null id comes first, as the least id.
     """
+    spark = keys.sparkSession
     least, largest, total = keys.agg(F.min("page_id"), F.max("page_id"), F.count("*")).first()
     share = -(-total // shards)
+    small = max(1, share // max(EVEN, min(256, BINS // shards)))
     nulls = keys.where("page_id is null").count()
     bins: list[tuple[int, str, int]] = []  # (first id, first digest, rows)
-    todo = [(least, largest - least + 1)] if least is not None else []
-    full = [None] if nulls > share else []  # ids with too many rows
-    bins += [(_NULL, "", nulls)] if nulls and not full else []
+    full: list[int] = []  # ids with too many rows
+    bins += [(_NULL, "", nulls)] if 0 < nulls <= share else []
+    todo = [(0, largest - least + 1, total)] if least is not None else []  # (first offset from the least id, ids, rows)
     while todo:
-        fine = [(first, max(1, -(-n // BINS)), n) for first, n in todo]
-        ids = F.col("page_id").cast("decimal(20,0)")
-        start = F.lit(None).cast("decimal(20,0)")
-        for first, width, n in fine:
-            start = F.when((ids >= first) & (ids < first + n), first + F.floor((ids - first) / width) * width).otherwise(start)
-        counted = keys.select(start.cast("decimal(20,0)").alias("start")).where("start is not null").groupBy("start").count().collect()
-        todo = []
+        todo.sort()
+        widths = [max(1, -(-n // min(BINS, max(16, FINER * rows // share, BINS // len(todo))))) for _, n, rows in todo]
+        firsts, last, width = (np.array(v, np.uint64) for v in ([f for f, _, _ in todo], [n - 1 for _, n, _ in todo], widths))
+
+        @F.pandas_udf("long")
+        def start_of(page_id: pd.Series) -> pd.Series:
+            """The offset of the id's bin, as its 64 bits; none where the id is in no bin that is counted."""
+            off = page_id.to_numpy(np.int64).view(np.uint64) - np.array(least, np.int64).view(np.uint64)
+            k = np.maximum(np.searchsorted(firsts, off, side="right").astype(np.int64) - 1, 0)
+            within = off - firsts[k]
+            found = pd.Series((firsts[k] + within // width[k] * width[k]).view(np.int64)).astype("Int64")
+            return found.where((off >= firsts[k]) & (within <= last[k]))
+
+        counted = keys.where("page_id is not null").select(start_of("page_id").alias("start")).where("start is not null").groupBy("start").count().collect()
+        before, todo = todo, []
         for r in counted:
-            at, n = int(r["start"]), r["count"]
-            width = next(w for first, w, size in fine if first <= at < first + size)
-            if n <= share:
-                bins.append((at, "", n))
-            elif width > 1:
-                todo.append((at, width))
+            at, n = r["start"] % (1 << 64), r["count"]
+            of = bisect_right(before, at, key=lambda v: v[0]) - 1
+            if n <= small or (widths[of] == 1 and n <= share):
+                bins.append((least + at, "", n))
+            elif widths[of] > 1:
+                todo.append((at, min(widths[of], before[of][0] + before[of][1] - at), n))
             else:
-                full.append(at)
-    for i in full:
-        same = F.col("page_id").isNull() if i is None else F.col("page_id") == i
-        bins += [(_NULL if i is None else i, r["d"], r["count"]) for r in keys.where(same).select(F.substring("digest", 1, 3).alias("d")).groupBy("d").count().collect()]
+                full.append(least + at)
+    if full:
+        asked = spark.createDataFrame([(i,) for i in full], "page_id long")  # at most one per shard
+        found = keys.join(F.broadcast(asked), "page_id").groupBy("page_id", F.substring("digest", 1, 3).alias("d")).count().collect()
+        bins += [(r["page_id"], r["d"], r["count"]) for r in found]
+    if nulls > share:
+        bins += [(_NULL, r["d"], r["count"]) for r in keys.where("page_id is null").select(F.substring("digest", 1, 3).alias("d")).groupBy("d").count().collect()]
     out, held = [], 0
     for at, sha, n in sorted(bins):
         if held and held + n > share and len(out) < shards - 1:

@@ -331,3 +331,18 @@ def test_bounds_of_crowded_ids(spark):
     sizes = np.diff([0, *[bisect_left(order, f) for f in found], len(order)])
     assert sizes.sum() == len(ids) and sizes.max() <= -(-len(ids) // 8) + 1
     assert warc.bounds(keys.limit(0), 8) == []
+
+
+def test_bounds_of_many_shards(spark):
+    n = 1_000_000
+    even = spark.range(n).select((F.col("id") * 9_000_000_000_000 - (1 << 62)).alias("page_id"), F.sha1(F.col("id").cast("string")).alias("digest"))
+    far = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).otherwise((1 << 62) + F.col("id")).alias("page_id"), F.sha1(F.col("id").cast("string")).alias("digest"))
+    for keys, rows, shards in ((even, n, 20_000), (far, 200_000, 5_000)):
+        found = warc.bounds(keys, shards)
+        assert found == sorted(found) and shards * 0.6 < len(found) < shards
+        ids = np.sort(np.array([r[0] for r in keys.select("page_id").toArrow().to_pandas().itertuples(index=False)]))
+        sizes = np.diff([0, *np.searchsorted(ids, [f for f, _ in found]), rows])
+        assert sizes.sum() == rows and sizes[:-1].max() <= -(-rows // shards)
+    ends = spark.createDataFrame([(-(1 << 63) + 1, "a" * 40), ((1 << 63) - 1, "b" * 40), (0, "c" * 40)], "page_id long, digest string")
+    first, second = [f for f, _ in warc.bounds(ends, 3)]
+    assert -(1 << 63) + 1 < first <= 0 < second <= (1 << 63) - 1
