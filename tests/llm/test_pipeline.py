@@ -141,6 +141,7 @@ def test_stages_of_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCUMENTS).write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{sf}/embeddings.parquet")
     assert corpus_pipeline.run(spark, sf).count() == 0
     for name, query in queries.queries().items():
         if name not in ("op7_url_templates", "op10_warc_archive"):
