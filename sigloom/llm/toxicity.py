@@ -64,17 +64,26 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
-    """Logistic regression by Newton steps; the last weight is the unpenalised intercept."""
+    """Logistic regression by Newton steps, each halved until the penalised loss falls, so separable labels don't diverge; the last weight is the hardly penalised intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, penalty = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, ridge), 1e-3]
     share = (y.sum() + 1) / (len(y) + 10)  # of no labels: seldom
     w[-1] = np.log(share / (1 - share))
     if len(np.unique(y)) < 2:
         return w
-    for _ in range(25):
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return np.logaddexp(0, z).sum() - y @ z + (penalty * w * w).sum() / 2
+
+    now = loss(w)
+    for _ in range(200):
         p = sigmoid(x @ w)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
-        w -= step
+        part = 1.0
+        while (then := loss(w - part * step)) > now + 1e-12 * (1 + abs(now)) and part > 1e-9:
+            part /= 2
+        w, now = w - part * step, then
         if np.abs(step).max() < 1e-6:
             break
     return w
