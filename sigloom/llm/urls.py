@@ -5,9 +5,10 @@ decides. Every other url is judged by its template:
 
 1. Segments of the path become shapes: digits are ``#``, so ``/en/825.html`` is ``en/#.html``. Paths are taken whole.
 2. Per host the shapes form a tree. A segment place with more than ``MAX_CHILDREN`` different children becomes ``*``.
-   The tree is grown level by level; levels at which no host has two different segments hold nothing to decide and are passed over.
+   The tree is grown level by level, at those levels alone at which some host has that many different segments.
 3. From the deepest level up, siblings whose share of bad urls differs by less than two standard errors
-   from the next one's (in order of that share) are merged, so like branches pool their labels.
+   from the next one's (in order of that share) are merged, so like branches pool their labels. Levels at which no node has two children
+   are passed over; one job finds those of either kind, so the number of jobs grows with the levels that can decide something alone.
 4. A template's purity is its share of good labels, smoothed with ``STRENGTH`` labels' worth of ``NEUTRAL``; below
    ``LEAST_PURITY`` the template is rejected. So it takes labels of the template itself: one without labels is allowed, whatever its host's other branches are.
 
@@ -69,10 +70,22 @@ def _key(host: str, segments: str) -> Column:
     return F.concat(F.col(host), F.lit("/"), F.array_join(segments, "/"))
 
 
-def levels(tree: DataFrame) -> list[int]:
-    """The levels at which a host has two different segments, at most as many as the longest path has."""
-    places = tree.select("host", F.posexplode("shape").alias("k", "seg")).groupBy("host", "k").agg(F.min("seg").alias("lo"), F.max("seg").alias("hi"))
-    return sorted(r[0] for r in places.where("lo <> hi").select("k").distinct().collect())
+def wide_levels(tree: DataFrame) -> list[int]:
+    """The levels at which a host has more than MAX_CHILDREN different segments: at no other can a node have as many children."""
+    places = tree.select("host", F.posexplode("shape").alias("k", "seg")).distinct().groupBy("host", "k").agg(F.count("*").alias("n"))
+    return sorted(r[0] for r in places.where(F.col("n") > MAX_CHILDREN).select("k").distinct().collect())
+
+
+def split_levels(small: DataFrame) -> list[int]:
+    """The levels at which a node has two children, by a hash of its host and the segments above; at no other can siblings be alike."""
+    differ = small.select("host", F.posexplode("template").alias("k", "seg")).groupBy("host", "k").agg((F.min("seg") < F.max("seg")).alias("differ"))
+    some = sorted(r[0] for r in differ.where("differ").select("k").distinct().collect())
+    if not some:
+        return []
+    ks = F.filter(F.array(*map(F.lit, some)), lambda k: k < F.size("template"))
+    node = F.transform(ks, lambda k: F.struct(k.alias("k"), F.xxhash64("host", F.slice("template", F.lit(1), k)).alias("node"), F.get("template", k).alias("seg")))
+    children = small.select(F.explode(node).alias("x")).groupBy("x.k", "x.node").agg((F.min("x.seg") < F.max("x.seg")).alias("split"))
+    return sorted(r[0] for r in children.where("split").select("k").distinct().collect())
 
 
 def wildcards(tree: DataFrame, k: int) -> DataFrame:
@@ -109,12 +122,11 @@ def templates(urls: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     bad, good = F.sum((F.col("bad") == 1).cast("long")), F.sum((F.col("bad") == 0).cast("long"))
     counted = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.coalesce(bad, F.lit(0)).alias("bad"), F.coalesce(good, F.lit(0)).alias("good"))
     tree = common.materialise(counted.withColumn("template", F.col("shape")), "url-shapes")
-    places = levels(tree)
-    for k in places:  # from the root down
+    for k in wide_levels(tree):  # from the root down
         tree = common.materialise(wildcards(tree, k), "url-wildcards")
     sums = [F.sum(c).alias(c) for c in ("n", "bad", "good")]
     small = common.materialise(tree.groupBy("host", "template").agg(*sums).withColumn("merged", F.col("template")), "url-templates")
-    for k in reversed(places):
+    for k in reversed(split_levels(small)):
         small = common.materialise(merged(small, k), "url-merged")
     purity = (F.col("good") + STRENGTH * NEUTRAL) / (F.col("good") + F.col("bad") + STRENGTH)
     pooled = small.groupBy("host", "merged").agg(*sums).select(F.col("host").alias("p_host"), F.col("merged").alias("p_merged"), purity.alias("purity"))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sigloom.llm import decontaminate, licenses, quality, queries, toxicity, urls
 
@@ -302,3 +303,19 @@ def test_deep_paths_get_templates_of_their_own_in_spark_and_sql(spark, tmp_path)
     deep = [f"http://deep.io/a/b/c/d/e/{x}/{i}" for x in ("bad", "good") for i in range(40)]
     out = {r.url: r for r in urls.judge(spark.createDataFrame([(i, u) for i, u in enumerate(deep)], "page_id long, url string"), rules).collect()}
     assert out[deep[30]].template != out[deep[70]].template and (out[deep[30]].verdict, out[deep[70]].verdict) == ("block", "allow")
+
+
+def test_url_levels_that_decide_nothing_are_passed_over(spark, monkeypatch):
+    rng = random.Random(8)
+    # Levels 1 to 10 differ between the branches and never below a node; level 11 has many segments below each.
+    rows = [(i, f"https://{'casino' if b == 'x' and i % 3 else 'calm'}.example/{b}/" + "/".join(f"{b}{k}" for k in "cdefghijkl") + "/s" + "".join(rng.choice("abcdefghij") for _ in range(4))) for i, b in enumerate("xyz" * 40)]
+    rows += [(200 + i, "https://calm.example/" + "/".join(rng.choice("pq") for _ in range(6))) for i in range(30)] + [(300, None), (301, "https://calm.example")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = sorted(map(str, urls.judge(pages, queries.URL_RULES).collect()))
+    shapes = pages.select(urls.host_of(F.col("url")).alias("host"), urls.shape_of(urls.path_of(F.col("url"))).alias("shape")).distinct()
+    assert urls.wide_levels(shapes) == [11]
+    assert urls.split_levels(shapes.select("host", F.col("shape").alias("template"))) == [0, 1, 2, 3, 4, 5, 11]
+    assert urls.split_levels(shapes.where("size(shape) = 12").select("host", F.slice("shape", 1, 11).alias("template"))) == [0]
+    monkeypatch.setattr(urls, "wide_levels", lambda tree: list(range(12)))
+    monkeypatch.setattr(urls, "split_levels", lambda small: list(range(12)))
+    assert sorted(map(str, urls.judge(pages, queries.URL_RULES).collect())) == got
