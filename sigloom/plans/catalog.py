@@ -464,7 +464,7 @@ _add(
 _add("storage_sizes", lambda spark, d: ds.storage_sizes(ds.center_split(_recordings(spark, d), ["task"])).withColumn("mb", F.round("mb", 9)), f"with {_REC}, {_split_sql(0.2, 0.2)} select split, count(*) as n, round(count(*) * 4 / 1048576.0::double, 9) as mb from done group by split")
 _add("split_summary", lambda spark, d: ds.split_summary(ds.center_split(_recordings(spark, d), ["task"])), f"with {_REC}, {_split_sql(0.2, 0.2)} select split, count(distinct task) as tasks, max(t) + 1 as longest, count(*) as n from done group by split")
 _add("sample_shapes", lambda spark, d: ds.sample_shapes(_joints(spark, d).df, ("batch", "joint", "xyz")), f"with {EMB} select max(t) + 1 as batch, 21::bigint as joint, 3::bigint as xyz from em")
-_add("label_groups", lambda spark, d: ds.label_groups(_recordings(spark, d)).withColumn("one_hot", F.array_join(F.col("one_hot").cast("array<string>"), "")), f"with {_REC}, names as (select distinct task from rec) select task, row_number() over (order by task) - 1 as label, repeat('0', (row_number() over (order by task) - 1)::int) || '1' || repeat('0', ((select count(*) from names) - row_number() over (order by task))::int) as one_hot from names")
+_add("label_groups", lambda spark, d: ds.label_groups(_recordings(spark, d), text=True), f"with {_REC}, names as (select distinct task from rec) select task, row_number() over (order by task) - 1 as label, repeat('0', (row_number() over (order by task) - 1)::int) || '1' || repeat('0', ((select count(*) from names) - row_number() over (order by task))::int) as one_hot from names")
 # Along the first axis, channels: in the SQL they take the place of t.
 _add("split_axis0", lambda spark, d: ds.split_axis(events(spark, d), test_ratio=0.3, val_ratio=0.5).withColumn("value", F.round("value", 6)), f"with {EV}, rec as (select 0 as task, channel as t, value, t as own from ev), {_split_sql(0.3, 0.5).replace('select task, value,', 'select task, value, own,')} select split, seam, t as channel, own as t, round(value, 6) as value from done")
 

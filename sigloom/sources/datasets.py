@@ -327,11 +327,21 @@ def split_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("split").agg(F.count_distinct("task").alias("tasks"), (F.max("t") + 1).alias("longest"), F.count("*").alias("n"))
 
 
-def label_groups(df: DataFrame, recording: str = "task") -> DataFrame:
-    """(recording, label, one_hot): recordings numbered by name, one row each."""
+def label_groups(df: DataFrame, recording: str = "task", text: bool = False) -> DataFrame:
+    """(recording, label, one_hot): recordings numbered by name, one row each; ``one_hot`` is an array of 0 and 1, with ``text`` a string of these digits.
+
+    One task numbers the names; the labels, n digits each, are made after the numbers are dealt out again, and aren't moved.
+    """
     names = df.select(recording).distinct()
     both = names.withColumns({"label": F.row_number().over(Window.orderBy(recording)) - 1, "n": F.count("*").over(Window.partitionBy(F.lit(0)))})
-    return both.select(recording, "label", F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda i: (i == F.col("label")).cast("int")).alias("one_hot"))
+    # With the number given, the few bytes of the numbers aren't put into fewer tasks: what is made of them is far larger.
+    dealt = both.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "label")
+    before, behind = F.col("label").cast("int"), (F.col("n") - 1 - F.col("label")).cast("int")
+    if text:
+        one_hot = F.concat(F.repeat(F.lit("0"), before), F.lit("1"), F.repeat(F.lit("0"), behind))
+    else:
+        one_hot = F.concat(F.array_repeat(F.lit(0), before), F.array(F.lit(1)), F.array_repeat(F.lit(0), behind))
+    return dealt.select(recording, "label", one_hot.alias("one_hot"))
 
 
 @dataclass
