@@ -75,3 +75,32 @@ def groups_of(batches: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iter
             held.append(b.slice(lo, hi - lo))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def firsts_of(rows: pa.Table | pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
+    """The places where groups of rows begin, sorted by ``columns``."""
+    changed = np.zeros(max(0, rows.num_rows - 1), bool)
+    for k in columns:
+        c = rows.column(k)
+        c = c.to_numpy() if isinstance(c, pa.ChunkedArray) else c.to_numpy(zero_copy_only=False)
+        changed |= c[1:] != c[:-1]
+    return np.r_[0, np.flatnonzero(changed) + 1]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: Sequence[str], least: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by ``columns`` as tables of whole groups, with the groups' sizes; ``least`` rows or one group are held at a time."""
+    held, n, most = [], 0, least
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= most:
+            t = pa.Table.from_batches(held)
+            firsts = firsts_of(t, columns)
+            last = int(firsts[-1])  # the last group may go on
+            if last:
+                yield t.slice(0, last), np.diff(firsts)
+            held, n = t.slice(last).to_batches(), t.num_rows - last
+            most = max(least, 2 * n)
+    if n:
+        t = pa.Table.from_batches(held)
+        yield t, np.diff(np.r_[firsts_of(t, columns), n])

@@ -25,6 +25,8 @@ from ..frame import SignalFrame, Transform
 
 #: Values that a task works on at once, if they are not of one series, and series that are filtered together rather than one by one.
 SERIES_ROWS, TOGETHER = 1_000_000, 8
+#: Samples that a task holds at once of a series in blocks, if they are not of one block.
+BLOCK_ROWS = 1 << 18
 
 Section = tuple[float, float, float, float, float]  # b0, b1, b2, a1, a2
 
@@ -47,31 +49,10 @@ def by_series(x: SignalFrame, dim: str, fn: Callable[[np.ndarray, np.ndarray], n
     rows = x.df.select(*keys, dim, "value")
     rows = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, dim)
 
-    def starts(t: pa.Table) -> np.ndarray:
-        changed = np.zeros(max(0, t.num_rows - 1), bool)
-        for k in keys:
-            c = t.column(k).to_numpy()
-            changed |= c[1:] != c[:-1]
-        return np.r_[0, np.flatnonzero(changed) + 1]
-
-    def made(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        if t.num_rows:
-            out = fn(t.column("value").to_numpy(), np.diff(np.r_[starts(t), t.num_rows]))
-            yield from t.set_column(t.num_columns - 1, "value", pa.array(out)).combine_chunks().to_batches()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, most = [], 0, SERIES_ROWS
-        for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n >= most:
-                t = pa.Table.from_batches(held)
-                last = int(starts(t)[-1])  # the last series may go on
-                yield from made(t.slice(0, last))
-                held, n = t.slice(last).to_batches(), t.num_rows - last
-                most = max(SERIES_ROWS, 2 * n)
-        if held:
-            yield from made(pa.Table.from_batches(held))
+        for t, sizes in blocks.whole_groups(batches, keys, SERIES_ROWS):
+            out = fn(t.column("value").to_numpy(), sizes)
+            yield from t.set_column(t.num_columns - 1, "value", pa.array(out)).combine_chunks().to_batches()
 
     return x.to(rows.mapInArrow(run, rows.schema))
 
@@ -168,75 +149,147 @@ def cascade(x: np.ndarray, sections: list[Section], start: np.ndarray, clamp: bo
     return x, ends
 
 
+def cascades(x: np.ndarray, sections: list[Section], starts: np.ndarray, clamp: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``cascade`` of many blocks of one length, a row each: a sample of all at a time, or one by one where they are few and long."""
+    ends = np.empty((len(x), 2 * len(sections)))
+    if len(x) ** 2 < x.shape[1]:
+        out = np.empty(x.shape)
+        for k, v in enumerate(x):
+            out[k], ends[k] = cascade(v, sections, starts[k], clamp)
+        return out, ends
+    x = np.ascontiguousarray(x.T)
+    for k, (b0, b1, b2, a1, a2) in enumerate(sections):
+        z1, z2 = starts[:, 2 * k], starts[:, 2 * k + 1]
+        y = np.empty_like(x)
+        for j, v in enumerate(x):
+            y[j] = w = b0 * v + z1
+            z1, z2 = b1 * v - a1 * w + z2, b2 * v - a2 * w
+        ends[:, 2 * k], ends[:, 2 * k + 1] = z1, z2
+        x = np.clip(y, -1.0, 1.0) if clamp else y
+    return x.T, ends
+
+
+def run_blocks(values: np.ndarray, sizes: np.ndarray, sections: list[Section], starts: np.ndarray, clamp: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``cascade`` of blocks one after another, each from its row of ``starts``; those of one length together."""
+    firsts, out, ends = np.cumsum(sizes) - sizes, np.empty(len(values)), np.empty((len(sizes), 2 * len(sections)))
+    for n in np.unique(sizes):
+        own = np.flatnonzero(sizes == n)
+        places = firsts[own][:, None] + np.arange(n)
+        out[places], ends[own] = cascades(values[places].astype(float), sections, starts[own], clamp)
+    return out, ends
+
+
 def silence(sections: list[Section]) -> np.ndarray:
     """The matrix by which a sample of silence changes the states of an unclamped cascade."""
     return np.stack([cascade(np.zeros(1), sections, e, False)[1] for e in np.eye(2 * len(sections))], axis=1)
 
 
+def lists_of(a: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The rows of a matrix as an Arrow column of lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.ravel()), type=kind)
+
+
+def matrix_of(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
 def in_blocks(x: SignalFrame, sections: list[Section], clamp: bool, dim: str, block: int) -> SignalFrame:
     """The cascade with every series spread over tasks by blocks of ``block`` samples.
 
     A round finds the blocks' starting states of one clamped pass, or of the whole cascade where nothing is clamped. The samples are shuffled
-    once and stay where they are; only states, a row per block, move on from round to round.
+    once and stay where they are; only states, a row per block, move on from round to round and are joined to the samples. A task works on
+    BLOCK_ROWS samples at once, those of many short blocks together.
     """
     keys = x.keys(dim)
-    by = [*keys, "__block"]
+    by = [*keys, "__none", "__block"]
     # With the number given, small blocks aren't put into fewer tasks: a block costs far more than its bytes.
     n_tasks = int(x.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = x.df.select(*keys, F.floor(F.col(dim) / block).alias("__block"), dim, "value").repartition(n_tasks, *by)
-    rounds = [[s] for s in sections] if clamp else [list(sections)]
-    whole = x.df.select(*keys, dim, "value").schema
+    # A join loses keys that are null, so they are filled; __none tells which were.
+    filled = [F.coalesce(F.col(k), F.lit(0).cast(x.df.schema[k].dataType)).alias(k) for k in keys]
+    none = sum((F.col(k).isNull().cast("int") * (1 << i) for i, k in enumerate(keys)), F.lit(0))
+    number = F.floor(F.col(dim) / block)
+    rows = x.df.select(*filled, none.alias("__none"), F.coalesce(number, F.lit(-(1 << 62))).alias("__block"), dim, "value").repartition(n_tasks, *by)
+    passes = [1] * len(sections) if clamp else [len(sections)]
     key_fields = [f for f in rows.schema.fields if f.name in by]
     state = T.StructType([*key_fields, T.StructField("n", T.LongType()), T.StructField("starts", T.ArrayType(T.DoubleType())), T.StructField("ends", T.ArrayType(T.DoubleType()))])
+    whole = rows.drop("__block").schema
     as_arrow, out_arrow = to_arrow_schema(state), to_arrow_schema(whole)
 
-    def ordered(t: pa.Table) -> pa.Table:
-        return t.sort_by(dim)
+    def opened(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+        """Whole blocks, their samples in turn, as tables with the blocks' sizes, first places and starting states of ``width`` numbers."""
+        for t, sizes in blocks.whole_groups(batches, by, BLOCK_ROWS):
+            firsts = np.cumsum(sizes) - sizes
+            starts = np.zeros((len(sizes), 0))
+            if width:
+                starts = matrix_of(t["starts"].take(pa.array(firsts)).combine_chunks(), width)
+                t = t.drop_columns(["starts"])
+            of, at = np.repeat(np.arange(len(sizes)), sizes), t[dim].to_numpy()
+            if not np.all((at[1:] > at[:-1]) | (of[1:] > of[:-1])):
+                t = t.take(pa.array(np.lexsort((at, of))))
+            yield t, sizes, firsts, starts
+
+    def ends(done: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """The blocks' end states of round ``done`` from silence, behind the rounds before it."""
+        before, own = sum(passes[:done]), passes[done]
 
-    def ends(t: pa.Table, starts: list[float], done: int) -> pa.Table:
-        """The block's end state of round ``done`` from silence, behind the rounds before it."""
-        y = ordered(t)["value"].to_numpy()
-        y, _ = cascade(y, [s for r in rounds[:done] for s in r], np.array(starts), clamp)
-        _, end = cascade(y, rounds[done], np.zeros(2 * len(rounds[done])), clamp)
-        return pa.Table.from_pylist([{**{k: t[k][0].as_py() for k in by}, "n": len(y), "starts": starts, "ends": end.tolist()}], schema=as_arrow)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t, sizes, firsts, starts in opened(batches, 2 * before):
+                _, end = run_blocks(t["value"].to_numpy(), sizes, sections[: before + own], np.hstack([starts, np.zeros((len(sizes), 2 * own))]), clamp)
+                at = pa.array(firsts)
+                columns = [*[t[k].take(at) for k in by], pa.array(sizes), lists_of(starts, as_arrow.field("starts").type), lists_of(end[:, 2 * before :], as_arrow.field("ends").type)]
+                yield from pa.table(columns, schema=as_arrow).combine_chunks().to_batches()
 
-    def first(t: pa.Table) -> pa.Table:
-        return ends(t, [], 0)
+        return run
 
     def carried(done: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        """The starting states of round ``done`` from its end states, along each series; a row per block passes through."""
-        step, powers = silence(rounds[done]), {}
+        """The starting states of round ``done`` from its end states, along each series; a row per block passes through, the blocks of many series at once."""
+        before, own = sum(passes[:done]), passes[done]
+        step, powers = silence(sections[before : before + own]), {}
+
+        def over(states: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+            """The states after blocks of silence."""
+            kinds, which = np.unique(sizes, return_inverse=True)
+            for n in kinds.tolist():
+                if n not in powers:
+                    powers[n] = np.linalg.matrix_power(step, n)
+            if len(kinds) == 1:
+                return states @ powers[int(kinds[0])].T
+            return np.einsum("kij,kj->ki", np.stack([powers[n] for n in kinds.tolist()])[which], states)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last, now = None, None
             for b in batches:
-                made = b.to_pylist()
-                for r in made:
-                    series = tuple(r[k] for k in keys)
-                    if now is None or series != last:
-                        last, now = series, np.zeros(len(step))
-                    r["starts"] = [*r["starts"], *now.tolist()]
-                    if r["n"] not in powers:
-                        powers[r["n"]] = np.linalg.matrix_power(step, r["n"])
-                    now = powers[r["n"]] @ now + np.array(r["ends"])
-                yield pa.RecordBatch.from_pylist(made, schema=as_arrow)
+                if not b.num_rows:
+                    continue
+                firsts = blocks.firsts_of(b, by[:-1])
+                lengths = np.diff(np.r_[firsts, b.num_rows])
+                series = [b.slice(k, 1).select(by[:-1]).to_pylist() for k in (0, b.num_rows - 1)]
+                states = np.zeros((len(firsts), 2 * own))
+                if series[0] == last:
+                    states[0] = now
+                sizes, end, starts = b.column("n").to_numpy(), matrix_of(b.column("ends"), 2 * own), np.empty((b.num_rows, 2 * own))
+                for k in range(int(lengths.max())):
+                    there = np.flatnonzero(lengths > k)
+                    at = firsts[there] + k
+                    starts[at] = states[there]
+                    states[there] = over(states[there], sizes[at]) + end[at]
+                last, now = series[1], states[-1]
+                made = lists_of(np.hstack([matrix_of(b.column("starts"), 2 * before), starts]), as_arrow.field("starts").type)
+                yield b.set_column(b.schema.get_field_index("starts"), as_arrow.field("starts"), made)
 
         return run
 
-    def joined(done: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-        return lambda t, states: ends(t, states["starts"][0].as_py(), done)
-
-    def filtered_block(t: pa.Table, states: pa.Table) -> pa.Table:
-        t = ordered(t)
-        y, _ = cascade(t["value"].to_numpy(), sections, np.array(states["starts"][0].as_py()), clamp)
-        return pa.table([*[t[k] for k in keys], t[dim], pa.array(y)], schema=out_arrow)
-
-    states = rows.groupBy(*by).applyInArrow(first, state)
-    for done in range(len(rounds)):
-        if done:
-            states = rows.groupBy(*by).cogroup(states.groupBy(*by)).applyInArrow(joined(done), state)
-        states = (states.repartition(*keys) if keys else states.repartition(1)).sortWithinPartitions(*by).mapInArrow(carried(done), state)
-    return x.to(rows.groupBy(*by).cogroup(states.groupBy(*by)).applyInArrow(filtered_block, whole))
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, sizes, _, starts in opened(batches, 2 * len(sections)):
+            y, _ = run_blocks(t["value"].to_numpy(), sizes, sections, starts, clamp)
+            yield from pa.table([*[t[k] for k in keys], t["__none"], t[dim], pa.array(y)], schema=out_arrow).combine_chunks().to_batches()
+
+    seen = rows.sortWithinPartitions(*by)
+    for done in range(len(passes)):
+        states = seen.mapInArrow(ends(done), state).repartition(*by[:-1]).sortWithinPartitions(*by).mapInArrow(carried(done), state)
+        seen = rows.join(states.select(*by, "starts").repartition(n_tasks, *by).hint("merge"), by)
+    y = seen.mapInArrow(made, whole)
+    return x.to(y.select(*[F.when(F.col("__none").bitwiseAND(1 << i) == 0, F.col(k)).alias(k) for i, k in enumerate(keys)], dim, "value"))
 
 
 def reversed_series(x: SignalFrame, dim: str) -> SignalFrame:

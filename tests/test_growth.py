@@ -1,7 +1,11 @@
 """What grows with the tables: spread over tasks, and bounded in each."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from sigloom.frame import from_array
+from sigloom.operators import filters as fl
 from sigloom.plans import catalog
 from sigloom.sources import datasets as ds
 
@@ -17,3 +21,42 @@ def test_label_groups_are_made_by_several_tasks(spark):
     assert [(r.task, r.label, r.one_hot) for r in texts] == [(r.task, r.label, "".join(map(str, r.one_hot))) for r in rows]
     assert [r.one_hot for r in ds.label_groups(df.where("task = 6")).collect()] == [[1]] and ds.label_groups(df.where("task < 0"), text=True).count() == 0
     assert {f.name: f.dataType.simpleString() for f in catalog.queries()["label_groups"](spark, SF).schema} == {"task": "bigint", "label": "int", "one_hot": "string"}
+
+
+def plan_of(x):
+    return x.df._jdf.queryExecution().executedPlan().toString()
+
+
+def checked(spark, op):
+    """The filter in blocks of 16 equals that of whole series, with a series whose key is null and blocks cut over several batches; no task calls Python once per block."""
+    a = np.random.default_rng(2).normal(size=(40, 83))
+    x = from_array(spark, a)
+    x = x.to(x.df.where("channel > 3 or t < 10 * channel + 1").withColumn("channel", F.when(F.col("channel") != 39, F.col("channel"))))
+    got = {(r.channel, r.t): r.value for r in op(x).df.collect()}
+    sizes = {None if k == 39 else k: 83 if k > 3 else 10 * k + 1 for k in range(40)}
+    want = {}
+    for k, n in sizes.items():
+        y = fl.run_sections(a[39 if k is None else k, :n].tolist(), op.sections, op.clamp)
+        y = fl.run_sections(y[::-1], op.sections, op.clamp)[::-1] if op.both_ways else y
+        want |= {(k, t): v for t, v in enumerate(y)}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-10
+    assert "FlatMap" not in plan_of(op(x))
+
+
+@pytest.mark.parametrize("rows", [50, 1 << 18])
+def test_short_blocks_are_filtered_together(spark, monkeypatch, rows):
+    monkeypatch.setattr(fl, "BLOCK_ROWS", rows)
+    checked(spark, fl.bandpass(20.0, 450.0, 2048.0, order=2, block=16))
+
+
+def test_many_blocks_as_one_by_one():
+    rng = np.random.default_rng(3)
+    sections = fl.bandpass(20.0, 450.0, 2048.0, order=1).sections
+    for clamp in (True, False):
+        for m, n in ((1, 1), (9, 16), (2, 500), (300, 7)):
+            x, starts = rng.normal(size=(m, n)), rng.normal(size=(m, 4))
+            y, ends = fl.cascades(x, sections, starts, clamp)
+            for k in range(m):
+                one, end = fl.cascade(x[k], sections, starts[k], clamp)
+                np.testing.assert_allclose(y[k], one, atol=1e-12)
+                np.testing.assert_allclose(ends[k], end, atol=1e-12)
