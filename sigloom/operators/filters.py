@@ -193,8 +193,8 @@ def matrix_of(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
-def in_blocks(x: SignalFrame, sections: list[Section], clamp: bool, dim: str, block: int) -> SignalFrame:
-    """The cascade with every series spread over tasks by blocks of ``block`` samples.
+def in_blocks(x: SignalFrame, sections: list[Section], clamp: bool, dim: str, block: int, backwards: bool = False) -> SignalFrame:
+    """The cascade with every series spread over tasks by blocks of ``block`` samples; ``backwards`` from the series' ends.
 
     A round finds the blocks' starting states of one clamped pass, or of the whole cascade where nothing is clamped. The samples are shuffled
     once and stay where they are; only states, a row per block, move on from round to round and are joined to the samples. A task works on
@@ -207,8 +207,8 @@ def in_blocks(x: SignalFrame, sections: list[Section], clamp: bool, dim: str, bl
     # A join loses keys that are null, so they are filled; __none tells which were.
     filled = [F.coalesce(F.col(k), F.lit(0).cast(x.df.schema[k].dataType)).alias(k) for k in keys]
     none = sum((F.col(k).isNull().cast("int") * (1 << i) for i, k in enumerate(keys)), F.lit(0))
-    number = F.floor(F.col(dim) / block)
-    rows = x.df.select(*filled, none.alias("__none"), F.coalesce(number, F.lit(-(1 << 62))).alias("__block"), dim, "value").repartition(n_tasks, *by)
+    number, turn = F.floor(F.col(dim) / block), -1 if backwards else 1
+    rows = x.df.select(*filled, none.alias("__none"), F.coalesce(number * turn, F.lit(-(1 << 62))).alias("__block"), dim, "value").repartition(n_tasks, *by)
     passes = [1] * len(sections) if clamp else [len(sections)]
     key_fields = [f for f in rows.schema.fields if f.name in by]
     state = T.StructType([*key_fields, T.StructField("n", T.LongType()), T.StructField("starts", T.ArrayType(T.DoubleType())), T.StructField("ends", T.ArrayType(T.DoubleType()))])
@@ -223,7 +223,7 @@ def in_blocks(x: SignalFrame, sections: list[Section], clamp: bool, dim: str, bl
             if width:
                 starts = matrix_of(t["starts"].take(pa.array(firsts)).combine_chunks(), width)
                 t = t.drop_columns(["starts"])
-            of, at = np.repeat(np.arange(len(sizes)), sizes), t[dim].to_numpy()
+            of, at = np.repeat(np.arange(len(sizes)), sizes), turn * t[dim].to_numpy()
             if not np.all((at[1:] > at[:-1]) | (of[1:] > of[:-1])):
                 t = t.take(pa.array(np.lexsort((at, of))))
             yield t, sizes, firsts, starts
@@ -292,10 +292,6 @@ def in_blocks(x: SignalFrame, sections: list[Section], clamp: bool, dim: str, bl
     return x.to(y.select(*[F.when(F.col("__none").bitwiseAND(1 << i) == 0, F.col(k)).alias(k) for i, k in enumerate(keys)], dim, "value"))
 
 
-def reversed_series(x: SignalFrame, dim: str) -> SignalFrame:
-    return x.to(x.with_stats(x.keys(dim), n=F.max(dim) + 1).withColumn(dim, F.col("n") - 1 - F.col(dim)))
-
-
 @dataclass
 class Sections(Transform):
     """A cascade of biquads along the axis; ``both_ways`` filters again from the end. With ``block`` a series is filtered by many tasks, so many samples in each."""
@@ -310,7 +306,7 @@ class Sections(Transform):
         if self.block:
             y = in_blocks(x, self.sections, self.clamp, self.dim, self.block)
             if self.both_ways:
-                y = reversed_series(in_blocks(reversed_series(y, self.dim), self.sections, self.clamp, self.dim, self.block), self.dim)
+                y = in_blocks(y, self.sections, self.clamp, self.dim, self.block, backwards=True)
             return y
         sections, clamp, both = self.sections, self.clamp, self.both_ways
 

@@ -60,3 +60,9 @@ def test_many_blocks_as_one_by_one():
                 one, end = fl.cascade(x[k], sections, starts[k], clamp)
                 np.testing.assert_allclose(y[k], one, atol=1e-12)
                 np.testing.assert_allclose(ends[k], end, atol=1e-12)
+
+
+def test_both_ways_without_the_series_lengths(spark):
+    op = fl.Sections(fl.lowpass(20.0, 2048.0, 2).sections, clamp=False, both_ways=True, block=16)
+    checked(spark, op)
+    assert "Aggregate" not in plan_of(op(from_array(spark, np.ones((2, 40)))))
