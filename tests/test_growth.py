@@ -66,3 +66,7 @@ def test_both_ways_without_the_series_lengths(spark):
     op = fl.Sections(fl.lowpass(20.0, 2048.0, 2).sections, clamp=False, both_ways=True, block=16)
     checked(spark, op)
     assert "Aggregate" not in plan_of(op(from_array(spark, np.ones((2, 40)))))
+
+
+def test_clamped_low_pass_in_short_blocks(spark):
+    checked(spark, fl.lowpass(400.0, 2048.0, 2, block=16))
