@@ -70,3 +70,7 @@ def test_both_ways_without_the_series_lengths(spark):
 
 def test_clamped_low_pass_in_short_blocks(spark):
     checked(spark, fl.lowpass(400.0, 2048.0, 2, block=16))
+
+
+def test_unclamped_low_pass_in_short_blocks(spark):
+    checked(spark, fl.lowpass(20.0, 2048.0, clamp=False, block=16))
